@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from quillstone.llm import secrets
+from quillstone.llm import chat, secrets, warc
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
+    "op8_warc": warc.op8_warc,
     "op10_secret_links": secrets.op10_secret_links,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_chat_format": chat.OP3_SQL,
+    "op8_warc": warc.OP8_SQL,
+}
