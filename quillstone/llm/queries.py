@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat, secrets, warc
+from quillstone.llm import chat, decontaminate, pii, secrets, topk, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op3_chat_format": chat.op3_chat_format,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_topk": topk.op7_topk,
     "op8_warc": warc.op8_warc,
     "op10_secret_links": secrets.op10_secret_links,
 }
 SQL: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_topk": topk.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
 }
