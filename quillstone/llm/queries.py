@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat, decontaminate, pii, secrets, topk, warc
+from quillstone.llm import chat, decontaminate, packing, pii, quality, secrets, topk, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_chat_format": chat.op3_chat_format,
+    "op5_pack": packing.op5_pack,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
     "op8_warc": warc.op8_warc,
+    "op9_quality": quality.op9_quality,
     "op10_secret_links": secrets.op10_secret_links,
 }
 SQL: dict[str, str] = {
