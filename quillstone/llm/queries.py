@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat, decontaminate, packing, pii, quality, secrets, topk, warc
+from quillstone.llm import chat, decontaminate, ngram_join, packing, pii, quality, secrets, topk, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_pack": packing.op5_pack,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_topk": topk.op7_topk,
