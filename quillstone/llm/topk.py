@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import stage, table
 
 #: Rows of a data block and of a query block; points of a leaf of either tree; children of a node at most.
-DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF, FANOUT = 16_384, 2_048, 128, 32, 24
+DATA_BLOCK, QUERY_BLOCK, DATA_LEAF, QUERY_LEAF, FANOUT = 16_384, 2_048, 256, 64, 24
 LEAST = np.iinfo(np.int64).min
 
 
@@ -84,30 +84,46 @@ def search(queries: CoverTree, q_uid: np.ndarray, data: CoverTree, d_uid: np.nda
     top = float(np.abs(queries.points).max()) * float(np.abs(data.points).max()) * queries.points.shape[1]
     as_float = top < 2**53  # then products of doubles are exact integers
     qp, dp = (queries.points.astype(np.float64), data.points.astype(np.float64)) if as_float else (queries.points, data.points)
+    # a score and the place of its row in the order of (id, uid) make one integer, so the best are the largest
+    places = np.empty(len(d_id), np.int64)
+    by_id = np.lexsort((d_uid, d_id))
+    places[by_id] = len(d_id) - 1 - np.arange(len(d_id))
+    bits = max(1, int(len(d_id) - 1).bit_length())
+    if top >= 2 ** (62 - bits):
+        raise ValueError("components are too large for exact 64-bit scores")
+    best = np.full((n, k), LEAST)
+    worst = np.full(n, LEAST)  # the k-th score of each query
 
     def bounds(q: int, ds: list[int]) -> np.ndarray:
         dots = data.centre[ds] @ queries.centre[q]
         up = dots + queries.norm[q] * data.radius[ds] + data.norm[ds] * queries.radius[q] + queries.radius[q] * data.radius[ds]
         return up + 1e-9 * np.abs(up) + 1e-3
 
+    own = np.full(n, -1)
+    at = np.searchsorted(d_uid, q_uid, sorter=(by_uid := np.argsort(d_uid)))
+    found = (at < len(d_uid)) & (d_uid[by_uid[np.minimum(at, len(d_uid) - 1)]] == q_uid)
+    own[found] = by_uid[at[found]]
+
     def leaf(q: int, d: int) -> None:
         a, b, c, e = queries.lo[q], queries.hi[q], data.lo[d], data.hi[d]
         s = (qp[a:b] @ dp[c:e].T).astype(np.int64)
-        s[q_uid[a:b, None] == d_uid[None, c:e]] = LEAST
-        change = np.flatnonzero(s.max(1) >= score[a:b, -1])
-        if len(change):
-            r = a + change
-            both = np.concatenate([score[r], s[change]], 1)
-            both_id = np.concatenate([ids[r], np.broadcast_to(d_id[c:e], (len(r), e - c))], 1)
-            both_uid = np.concatenate([uids[r], np.broadcast_to(d_uid[c:e], (len(r), e - c))], 1)
-            best = np.lexsort((both_uid, both_id, ~both), axis=1)[:, :k]
-            score[r], ids[r], uids[r] = (np.take_along_axis(x, best, 1) for x in (both, both_id, both_uid))
+        change = np.flatnonzero(s.max(1) >= worst[a:b])
+        if not len(change):
+            return
+        keys = (s[change] << bits) + places[c:e]
+        mine = own[a + change]
+        self_at = np.flatnonzero((mine >= c) & (mine < e))
+        keys[self_at, mine[self_at] - c] = LEAST
+        both = np.concatenate([best[a + change], keys], 1)
+        best[a + change] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        low = best[a + change].min(1)
+        worst[a + change] = np.where(low == LEAST, LEAST, low >> bits)
 
     # depth first over query nodes; within one, data nodes best first
     heap, tie = [(-bounds(0, [0])[0], 0, 0, 0)], 0
     while heap:
         bound, _, q, d = heapq.heappop(heap)
-        if -bound < score[queries.lo[q] : queries.hi[q], -1].min():
+        if -bound < worst[queries.lo[q] : queries.hi[q]].min():
             continue
         qs, ds = queries.children[q], data.children[d]
         if not qs and not ds:
@@ -118,9 +134,12 @@ def search(queries: CoverTree, q_uid: np.ndarray, data: CoverTree, d_uid: np.nda
         else:
             pairs = list(zip(bounds(q, ds), [q] * len(ds), ds, strict=True))
         for up, x, y in pairs:
-            if up >= score[queries.lo[x] : queries.hi[x], -1].min():
+            if up >= worst[queries.lo[x] : queries.hi[x]].min():
                 tie += 1
                 heapq.heappush(heap, (-up, tie, x, y))
+    known = best != LEAST
+    row = by_id[len(d_id) - 1 - (best[known] & ((1 << bits) - 1))]
+    score[known], ids[known], uids[known] = best[known] >> bits, d_id[row], d_uid[row]
     return score, ids, uids
 
 
