@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillstone.llm import chat, decontaminate, ngram_join, packing, pii, quality, secrets, topk, warc
+from quillstone.llm import chat, decontaminate, ngram_join, packing, pii, quality, secrets, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_ngram_jaccard": ngram_join.op4_ngram_jaccard,
     "op5_pack": packing.op5_pack,
