@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,12 @@ def drop_staged(*frames: DataFrame) -> None:
             _delete(path, df.sparkSession)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of stages that nothing refers to any more; it does so once their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(path: str, spark: SparkSession) -> None:
     if _staged.pop(path, None) is not None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

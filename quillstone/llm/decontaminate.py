@@ -163,6 +163,28 @@ def _searcher(tables: list[WuManber], names: list[str]):
     return run
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:
+    """The rows of docs without a hit; columns stay. Blocks of patterns are filters one after another."""
+
+    def without(tables: list[WuManber]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a, z, buf, off in text_chunks(b.column("text")):
+                    s, e, rows = words(buf, off, ALNUM)
+                    wh = word_hashes(buf, s, e)
+                    row_end = np.cumsum(np.bincount(rows, minlength=z - a))[rows] if len(rows) else np.zeros(0, np.int64)
+                    fine = np.ones(z - a, bool)
+                    for t in tables:
+                        fine[rows[t.search(wh, row_end)[0]]] = False
+                    yield b.slice(a, z - a).filter(pa.array(fine))
+
+        return run
+
+    for _, texts in benchmark_blocks(items, limit):
+        docs = docs.mapInArrow(without(compile_items(texts, window)), docs.schema)
+    return docs
+
+
 HIT_RUNS = "array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>"
 
 

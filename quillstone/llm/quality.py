@@ -191,6 +191,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*fields, "score double", "passage_weights array<float>"]))
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches threshold; columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z, buf, off in text_chunks(b.column("text")):
+                yield b.slice(a, z - a).filter(pa.array(model.score(buf, off)[0] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))

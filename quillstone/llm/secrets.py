@@ -115,24 +115,38 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every base or linked span of text replaced by mark and n_chars counted anew; rows and columns stay."""
-    staged = stage(docs.withColumn("row_id", F.monotonically_increasing_id()), "redact")
-    found = stage(found_parts(staged.select("row_id", "text")).drop("text"), "secrets").where("size(base) + size(weak) > 0")
-    spans = found.join(linked(found), "row_id", "left").select("row_id", F.sort_array(F.concat("base", F.coalesce("linked", F.expr("cast(array() as array<struct<s:int,r:int,k:string,e:int>>)")))).alias("spans")).where("size(spans) > 0")
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """text with each of the sorted spans replaced by mark, overlapping ones once."""
     cut = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.expr("''"), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    out = staged.join(spans, "row_id", "left").withColumn("text", F.when(F.col("spans").isNotNull(), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.concat(cut["out"], F.substring(text, cut["at"] + 1, F.length(text)))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
+    """docs with every base or linked span of text replaced by mark and n_chars counted anew; rows and columns stay.
+
+    Only rows with weak parts are written and joined; the rest are changed where they stand.
+    """
+    found = found_parts(docs)
+
+    def changed(rows: DataFrame, spans: Column) -> DataFrame:
+        hit = F.size(spans) > 0
+        out = rows.withColumn("text", F.when(hit, _without(F.col("text"), spans, mark)).otherwise(F.col("text")))
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    plain = changed(found.where(F.size("weak") == 0), F.col("base"))
+    mixed = stage(found.where(F.size("weak") > 0).withColumn("row_id", F.monotonically_increasing_id()), "redact")
+    empty = F.expr("cast(array() as array<struct<s:int,r:int,k:string,e:int>>)")
+    joint = mixed.join(linked(mixed.select("row_id", "base", "weak"), scope), "row_id", "left").withColumn("spans_", F.sort_array(F.concat("base", F.coalesce("linked", empty))))
+    return plain.unionByName(changed(joint, F.col("spans_")))
 
 
 def op10_secret_links(spark, sf_dir: str) -> DataFrame:
