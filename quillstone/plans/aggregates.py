@@ -79,12 +79,12 @@ def e09(spark, d):
     return legs.groupBy("account").agg(*(F.sum(F.when(F.col("dr_cr") == k, F.col("amount"))).cast("double").alias(n) for k, n in (("Dr", "debit"), ("Cr", "credit"))))
 
 
-_VOUCHER = """v AS (SELECT l_orderkey, max(l_tax) > 0.01 AS taxed, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value, sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,2))) AS tax FROM lineitem GROUP BY l_orderkey)"""
+_VOUCHER = """v AS (SELECT l_orderkey, max(l_tax) > 0.01 AS taxed, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS value, sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS tax FROM lineitem GROUP BY l_orderkey)"""
 
 
 def _vouchers(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    v = li.groupBy("l_orderkey").agg((F.max("l_tax") > 0.01).alias("taxed"), F.sum(F.col("l_extendedprice").cast(D2)).alias("value"), F.sum((F.col("l_extendedprice") * F.col("l_tax")).cast(D2)).alias("tax"))
+    v = li.groupBy("l_orderkey").agg((F.max("l_tax") > 0.01).alias("taxed"), F.sum(F.col("l_extendedprice").cast(D2)).alias("value"), F.sum(F.col("l_extendedprice").cast(D2) * F.col("l_tax").cast("decimal(4,2)")).alias("tax"))
     return v.join(o, v.l_orderkey == o.o_orderkey).withColumns({"fy": X.fiscal_year("o_orderdate"), "period": X.month_name("o_orderdate")})
 
 

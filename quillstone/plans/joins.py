@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillstone.functions import exprs as X
 from quillstone.operators import rules as R
 from quillstone.plans.registry import query
 from quillstone.plans.rules import _G1, _dup_keys, monthly
@@ -155,5 +154,3 @@ def i09(spark, d):
 def rule_options(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderpriority").alias("rule")).distinct().orderBy("rule")
 
-
-_ = X

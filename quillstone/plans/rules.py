@@ -84,11 +84,8 @@ def g06(spark, d):
     gl = o.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "O", m)).cast("double").alias("debit"), F.sum(F.when(F.col("o_orderstatus") != "O", m)).cast("double").alias("credit")).na.fill(0.0)
     tb = cu.select("c_custkey", F.col("c_name").alias("account"), (F.col("c_acctbal") * 100).alias("tb"))
     j = tb.join(gl, tb.c_custkey == gl.o_custkey)
-    left = j.select("account", "debit", "credit")
-    right = j.select("account", F.col("tb").alias("debit"), F.col("tb").alias("credit"))
     # both sides come from one join: unpivot it instead of joining again
     flat = j.select("account", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col("tb").alias("tb_amount"), F.col(s).alias("gl_amount")) for s in ("debit", "credit")))).alias("x")).select("account", "x.*")
-    del left, right
     gap = F.col("gl_amount") - F.col("tb_amount")
     return flat.where(F.abs(gap) > 1.0).select("account", "side", F.round("tb_amount", 2).alias("tb_amount"), F.round("gl_amount", 2).alias("gl_amount"), F.round(gap, 2).alias("mismatch"), X.percent_severity(gap, "tb_amount").alias("severity"))
 
@@ -133,14 +130,14 @@ def g09(spark, d):
     return R.reconcile(a, b, ["m"], ["taxable"], 10.0).select(F.col("m").alias("period"), "check", F.round("mismatch", 2).alias("mismatch"), "severity")
 
 
-@query("g10_payment_completeness", f"""WITH p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(CAST(l_extendedprice * l_tax AS DECIMAL(18,2))) AS DOUBLE) AS payable, CAST(coalesce(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice * l_tax AS DECIMAL(18,2)) END), 0) AS DOUBLE) AS paid FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-SELECT period, round(payable - paid, 2) AS mismatch, {PERCENT.format('(payable - paid)', 'payable')} AS severity FROM p WHERE abs(payable - paid) > 10.0""")
+@query("g10_payment_completeness", f"""WITH p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS payable, CAST(coalesce(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) END), 0) AS DOUBLE) AS paid FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+SELECT period, round(payable - paid, 4) AS mismatch, {PERCENT.format('(payable - paid)', 'payable')} AS severity FROM p WHERE abs(payable - paid) > 10.0""")
 def g10(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    tax = (F.col("l_extendedprice") * F.col("l_tax")).cast("decimal(18,2)")
+    tax = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_tax").cast("decimal(4,2)")
     p = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.trunc("o_orderdate", "month").alias("period")).agg(F.sum(tax).cast("double").alias("payable"), F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", tax)).cast("double"), F.lit(0.0)).alias("paid"))
     gap = F.col("payable") - F.col("paid")
-    return p.where(F.abs(gap) > 10).select("period", F.round(gap, 2).alias("mismatch"), X.percent_severity(gap, "payable").alias("severity"))
+    return p.where(F.abs(gap) > 10).select("period", F.round(gap, 4).alias("mismatch"), X.percent_severity(gap, "payable").alias("severity"))
 
 
 @query("g11_ledger_vs_gstr1", f"""WITH {_G1}, f AS (SELECT * FROM a WHERE month(m) <> 6), span AS (SELECT min(m) AS lo, max(m) AS hi FROM f)
@@ -168,10 +165,10 @@ def converged(spark, d):
     return R.converge(legs, flags)
 
 
-@query("g12_convergence", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT * FROM conv")
+@query("g12_convergence", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM conv")
 def g12(spark, d):
     f = converged(spark, d)
-    return f.select("entry_id", "leg_num", "date", "account", "amount", F.array_join(F.transform("reasons", lambda x: x["rule"]), "; ").alias("rules"), F.col("signal_count").cast("int").alias("signal_count"), "severity")
+    return f.select("entry_id", "leg_num", "date", "account", F.col("amount").cast("double").alias("amount"), F.array_join(F.transform("reasons", lambda x: x["rule"]), "; ").alias("rules"), F.col("signal_count").cast("int").alias("signal_count"), "severity")
 
 
 @query("g13_comparison_status", f"WITH {_G1} SELECT CASE WHEN na = 0 THEN 'no_gstr1' WHEN nb = 0 THEN 'no_gstr3b' WHEN n = 0 THEN 'no_overlap' ELSE 'ok' END AS status, n AS compared FROM (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a JOIN b USING (m)) AS n)")

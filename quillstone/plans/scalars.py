@@ -11,10 +11,10 @@ from quillstone.sources.views import FY, PERCENT, SEVERITY, table
 _NUM = "CASE l_linenumber % 5 WHEN 0 THEN '(' || {p} || ')' WHEN 1 THEN {p} || '-' WHEN 2 THEN '-' || {p} WHEN 3 THEN '-' ELSE {p} END"
 
 
-@query("c01_ledger_projection", "SELECT 'SO_' || l_orderkey AS entry_id, CAST(l_shipdate AS DATE) AS date, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CASE WHEN l_linestatus = 'O' THEN 'Dr' ELSE 'Cr' END AS entry_type, '' AS vendor FROM lineitem")
+@query("c01_ledger_projection", "SELECT 'SO_' || l_orderkey AS entry_id, CAST(l_shipdate AS DATE) AS date, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount, CASE WHEN l_linestatus = 'O' THEN 'Dr' ELSE 'Cr' END AS entry_type, '' AS vendor FROM lineitem")
 def c01(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select(F.concat(F.lit("SO_"), F.col("l_orderkey").cast("string")).alias("entry_id"), F.col("l_shipdate").cast("date").alias("date"), F.coalesce(F.col("l_extendedprice").cast("string").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).alias("amount"), F.when(F.col("l_linestatus") == "O", "Dr").otherwise("Cr").alias("entry_type"), F.lit("").alias("vendor"))
+    return li.select(F.concat(F.lit("SO_"), F.col("l_orderkey").cast("string")).alias("entry_id"), F.col("l_shipdate").cast("date").alias("date"), F.coalesce(F.col("l_extendedprice").cast("string").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).cast("double").alias("amount"), F.when(F.col("l_linestatus") == "O", "Dr").otherwise("Cr").alias("entry_type"), F.lit("").alias("vendor"))
 
 
 @query("c02_indian_number", """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS p FROM lineitem)
@@ -124,10 +124,10 @@ def c21(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.is_sales_type(v).alias("is_sale"), X.counts_as_sale(v).alias("counts"))
 
 
-@query("c22_split_voucher_no", """SELECT o_orderkey, o_orderstatus || '/24-25/' AS prefix, CAST(o_orderkey AS DECIMAL(38,0)) AS number FROM orders""")
+@query("c22_split_voucher_no", """SELECT o_orderkey, o_orderstatus || '/24-25/' AS prefix, o_orderkey AS number FROM orders""")
 def c22(spark, d):
     no = F.concat(F.col("o_orderstatus"), F.lit("/24-25/"), F.col("o_orderkey").cast("string"))
-    return table(spark, d, "orders").select("o_orderkey", X.voucher_prefix(no).alias("prefix"), X.voucher_number(no).alias("number"))
+    return table(spark, d, "orders").select("o_orderkey", X.voucher_prefix(no).alias("prefix"), X.voucher_number(no).cast("long").alias("number"))
 
 
 @query("c23_direction_day", "SELECT o_orderkey, o_orderstatus = 'O' AS debit, CAST(day(o_orderdate) AS DOUBLE) AS day FROM orders")
