@@ -20,11 +20,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ DIMENSIONS, BITS, SPREAD = 4, 12, 8.0
 CACHE_WORDS, CACHE_CHARS, KEPT_CHARS = 600_000, 64, 9
 #: White space to Python but not to the tokenizer; texts with these are encoded whole.
 _ODD = re.compile("[\x1c-\x1f]")
+#: How the tokenizer splits lower-cased text.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_END = b"\xff"
+#: Words with characters from here on go to the tokenizer itself: its tables of letters may be of another Unicode version.
+OTHER_SCRIPTS = "\u0530"
 
 
 def tokenizer_path() -> str:
@@ -53,30 +60,45 @@ class WordEncoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.piece = self._pieces(vocab)
 
     def _ids(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _pieces(self, vocab: dict[str, int]):
+        """The same merges in a byte-pair coder that takes one piece at a time. A byte that UTF-8 never has stands for the end of a word; joining it to a letter comes before every merge, as in the vocabulary's order."""
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        ranks, known = {bytes([b]): 1 << 20 | b for b in range(256)}, True
+        for token, i in vocab.items():
+            body = token.removesuffix("</w>")
+            if all(c in byte_of for c in body) and body:
+                ranks[bytes(byte_of[c] for c in body) + (WORD_END if token != body else b"")] = i
+            elif not token.startswith("<|"):
+                known = False
+        if not known or len(ranks) < len(vocab) - 2 or len(set(ranks.values())) < len(ranks):
+            return None
+        return tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
-        """ids of each word. Words of letters alone are one pre-token, whose last id ends a word: they are encoded in long runs and cut there."""
-        plain, odd, out = [], [], {}
-        for w in new:
-            (plain if w.isascii() and w.isalpha() or w.isalpha() and (v := unicodedata.normalize("NFC", w).lower()).isalpha() and len(v) == len(w) else odd).append(w)
-        runs = [plain[i : i + 500] for i in range(0, len(plain), 500)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(run) or not len(cut) or cut[-1] != len(ids):
-                odd += run
+        """ids of each word: split as the tokenizer's own pattern splits it, and each piece coded alone."""
+        odd, out, kind, piece = [], {}, "H" if self.dtype.itemsize == 2 else "I", self.piece
+        if piece is None:
+            odd = new
+        for w in () if piece is None else new:
+            if "<|" in w or not w.isascii() and max(w) >= OTHER_SCRIPTS:
+                odd.append(w)
                 continue
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            at = 0
-            for w, c in zip(run, (cut * size).tolist(), strict=True):
-                out[w] = raw[at:c]
-                at = c
+            v = w.lower() if w.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", w))
+            if v.isalpha():
+                ids = piece(v.encode() + WORD_END)
+            else:
+                ids = [i for p in _PIECES.findall(v) for i in piece(p.encode() + WORD_END)]
+            out[w] = array(kind, ids).tobytes()
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             out[w] = self._ids(e.ids)
         return out
@@ -138,9 +160,19 @@ def doc_cells(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.clip((np.tanh(mean * SPREAD) + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder: a worker runs many tasks, and the words of one help the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
