@@ -16,4 +16,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from quillstone.plans import aggregates, documents, joins, rules, scalars, windows  # noqa: E402, F401
+from quillstone.plans import aggregates, documents, extra, joins, rules, scalars, windows  # noqa: E402, F401

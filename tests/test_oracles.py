@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillstone.plans import registry
@@ -17,7 +18,7 @@ def normal(frame):
     cols = sorted(frame.columns)
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "NULL"
         if isinstance(v, float):
             return repr(float(f"{v:.9g}")) if math.isfinite(v) else str(v)
