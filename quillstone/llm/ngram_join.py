@@ -14,12 +14,14 @@ distinct SIZE-word shingles; components are taken over the links.
    under every order. The first order takes rare shingles first and makes the
    candidates; two more (by the magnitude of the count, then another hash;
    by a third hash alone) must each agree before a pair is verified by
-   intersecting the whole sets.
-4. Candidates come in two rounds. First each prefix shingle pairs its classes
-   with the least of them only, and the verified links give components; then
-   only pairs that share a shingle but not a component are tried. So a group
-   of m near copies costs about m pairs, and no link between components is
-   lost.
+   intersecting the whole sets. A shingle's place in the first order bounds
+   what two sets can share if they first meet there, and drops most pairs.
+4. Each prefix shingle first pairs its classes with a few centres only, and
+   the verified links give components; a second turn takes other centres for
+   shingles that still join several components; then every pair that shares a
+   shingle but not a component is tried, unless bitmaps of the two sets differ
+   in more bits than linked sets can. So a group of m near copies costs some
+   m pairs, and no link between components is lost.
 
 Null, empty or blank text: an empty set that links with nothing. Fewer words
 than SIZE: the sequence is the one shingle. Repeated rows are rows of their
@@ -31,19 +33,22 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, drop_staged, mix, partitions, shingles, stage, table, text_chunks
+from quillstone.llm.common import components, drop_staged, mix, partitions, release, shingles, stage, table, text_chunks
 
 SIZE, PERCENT = 5, 80
+#: Rows that each prefix shingle pairs its classes with in a turn, and turns before all pairs that are left are tried.
+CENTRES, TURNS = 3, 3
 #: Hashes that a map task holds before it sends them off.
 FLUSH = 3_000_000
 SHUFFLED = "part int, kind int, data binary"
-SETS = "uid long, doc_id long, n long, repeats long, same binary, hashes binary, counts binary"
+SETS = "uid long, doc_id long, digest binary, n long, repeats long, same binary, hashes binary, counts binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -99,12 +104,12 @@ def _split(parts: int, size: int):
                     first = np.flatnonzero(np.concatenate([[True], u[a + 1 : z] != u[a : z - 1]]))
                     yield p, 0, _pack(u[a:z][first], np.diff(np.append(first, z - a)).astype(np.uint32), h[a:z])
         if meta:
-            u, d, known, n = (np.concatenate(x) for x in zip(*meta, strict=True))
+            u, d, known, n, m1, m2 = (np.concatenate(x) for x in zip(*meta, strict=True))
             order, bounds = _by_part(_home(u, parts), parts)
             for p in range(parts):
                 o = order[bounds[p] : bounds[p + 1]]
                 if len(o):
-                    yield p, 1, _pack(u[o], d[o], known[o], n[o])
+                    yield p, 1, _pack(u[o], d[o], known[o], n[o], m1[o], m2[o])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uids, hashes, meta, held = [], [], [], 0
@@ -116,7 +121,9 @@ def _split(parts: int, size: int):
                 rows, h = shingles(buf, off, size)
                 uids.append(uid[a:z][rows])
                 hashes.append(h)
-                meta.append((uid[a:z], ids[a:z], known[a:z], np.bincount(rows, minlength=z - a).astype(np.int64)))
+                raw = buf.tobytes()
+                digest = np.frombuffer(b"".join(hashlib.md5(raw[x:y]).digest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), np.int64).reshape(-1, 2)
+                meta.append((uid[a:z], ids[a:z], known[a:z], np.bincount(rows, minlength=z - a).astype(np.int64), digest[:, 0], digest[:, 1]))
                 held += len(h)
                 if held >= FLUSH:
                     yield from _batched(flush(uids, hashes, meta))
@@ -170,14 +177,14 @@ def _sets(percent: int):
         for b in batches:
             for kind, data in zip(b.column("kind").to_pylist(), b.column("data"), strict=True):
                 if kind == 1:
-                    meta.append(_unpack(data.as_py(), np.int64, np.int64, np.uint8, np.int64))
+                    meta.append(_unpack(data.as_py(), np.int64, np.int64, np.uint8, np.int64, np.int64, np.int64))
                 else:
                     found.append(_unpack(data.as_py(), np.int64, np.uint64, np.uint32))
         if not meta:
             return
-        uid, ids, known, n = (np.concatenate(x) for x in zip(*meta, strict=True))
+        uid, ids, known, n, m1, m2 = (np.concatenate(x) for x in zip(*meta, strict=True))
         order = np.argsort(uid)
-        uid, ids, known, n = uid[order], ids[order], known[order], n[order]
+        uid, ids, known, n, digest = uid[order], ids[order], known[order], n[order], np.stack([m1[order], m2[order]], 1)
         if found:
             u, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
@@ -205,30 +212,37 @@ def _sets(percent: int):
                 hashes.append(raw)
                 counts.append(c[bounds[i] : bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[a:z]), pa.array(ids[a:z], mask=known[a:z] == 0), pa.array(n[a:z]), pa.array(repeats[a:z].astype(np.int64)), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
-                names=["uid", "doc_id", "n", "repeats", "same", "hashes", "counts"],
+                [pa.array(uid[a:z]), pa.array(ids[a:z], mask=known[a:z] == 0), pa.array([x.tobytes() for x in digest[a:z]], pa.binary()), pa.array(n[a:z]), pa.array(repeats[a:z].astype(np.int64)), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
+                names=["uid", "doc_id", "digest", "n", "repeats", "same", "hashes", "counts"],
             )
 
     return run
 
 
 def prefixes(h: np.ndarray, c: np.ndarray, n: int, percent: int) -> list[np.ndarray]:
-    """The prefix under each global order, sorted by hash."""
+    """The prefix under each global order: the first in that order, the others sorted by hash."""
     size = len(h) - -(-percent * n // 100) + 1
     orders = [np.lexsort((h, c)), np.lexsort((mix(h ^ np.uint64(0xA5A5A5A5)), np.log2(c).astype(int))), np.argsort(mix(h ^ np.uint64(0x3C3C3C3C3C)))]
-    return [np.sort(h[o[:size]]) for o in orders]
+    return [h[orders[0][:size]], *(np.sort(h[o[:size]]) for o in orders[1:])]
+
+
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each of 512 bits, as 8 integers: two sets differ in as many hashes as bits at least."""
+    return np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(">i8").astype(np.int64)
 
 
 def _prefixed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [[], [], []]
+            cols = [[], [], [], [], []]
             for n, h, c in zip(b.column("n").to_pylist(), b.column("hashes"), b.column("counts"), strict=True):
                 p = prefixes(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32), n, percent)
                 cols[0].append(p[0].view(np.int64))
                 cols[1].append(p[1].tobytes())
                 cols[2].append(p[2].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("n"), b.column("hashes"), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["uid", "n", "hashes", "p1", "p2", "p3"])
+                cols[3].append(len(h.as_buffer()) // 8)
+                cols[4].append(parity_bits(np.frombuffer(h.as_buffer(), np.uint64)))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("n"), b.column("hashes"), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], names=["uid", "n", "hashes", "p1", "p2", "p3", "r", "bits"])
 
     return run
 
@@ -259,43 +273,60 @@ def _verify(percent: int):
     return run
 
 
+def _near_enough(percent: int):
+    """Whether sets of ar and br repeating hashes with bitmaps as and bs can share enough: they differ in as many hashes as bits at least."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col("as")[i].bitwiseXOR(F.col("bs")[i])) for i in range(8)))
+    return (100 + percent) * (F.col("ar") + F.col("br") - differ) >= 2 * percent * (F.col("an") + F.col("bn"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that pass the other orders' filters and the exact test."""
-    side = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"), F.col("hashes").alias(f"{x}h"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) of class ids that pass the bitmaps, the other orders' filters and the exact test; whole sets travel for what the bitmaps leave."""
+    mark = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), F.col("r").alias(f"{x}r"), F.col("bits").alias(f"{x}s"))
+    few = pairs.join(mark("b"), "b").join(mark("a"), "a").where(_near_enough(percent)).select("a", "b", "an", "bn")
+    side = lambda x: sets.select(F.col("uid").alias(x), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"), F.col("hashes").alias(f"{x}h"))
+    return few.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify(percent), "a long, b long")
 
 
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts: uid, doc_id, n, same; classes: same, uid of the representative; links between representatives a, b)."""
+    """(texts: uid, doc_id, digest, n, same; classes: same, uid of the representative; links between representatives a, b)."""
     parts = partitions(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sent = rows.mapInArrow(_split(parts, size), SHUFFLED).repartitionById(parts, F.col("part"))
     back = sent.mapInArrow(_count(parts), SHUFFLED).repartitionById(parts, F.col("part"))
     sets = stage(back.mapInArrow(_sets(percent), SETS), "shingle-sets")
+    del sent, back
+    release(docs.sparkSession)
     alive = sets.where("same is not null")
     classes = stage(alive.groupBy("same").agg(F.min("uid").alias("uid")), "classes")
-    reps = stage(alive.join(classes.select("uid"), "uid").select("uid", "n", "hashes", "counts").mapInArrow(_prefixed(percent), "uid long, n long, hashes binary, p1 array<long>, p2 binary, p3 binary"), "prefixes")
-    index = reps.select("uid", "n", F.explode("p1").alias("t"))
-
-    fits = (F.col("an") * 100 >= F.col("bn") * percent) & (F.col("bn") * 100 >= F.col("an") * percent)
-    least = index.groupBy("t").agg(F.min(F.struct("uid", "n")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    star = index.join(least, "t").select(F.col("m.uid").alias("a"), F.col("uid").alias("b"), F.col("m.n").alias("an"), F.col("n").alias("bn")).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    first = stage(verified(star, reps, percent), "links")
-
-    near = components(first).select(F.col("node").alias("uid"), "component")
-    placed = index.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    mixed = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
-    placed = stage(placed.join(mixed, "t"), "across")
-    left = placed.select("t", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    right = placed.select("t", F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    across = left.join(right, "t").where((F.col("ac") < F.col("bc")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = stage(verified(across, reps, percent), "links")
-    drop_staged(placed)
-    return sets.select("uid", "doc_id", "n", "same"), classes, first.unionByName(second)
+    reps = stage(alive.join(classes.select("uid"), "uid").select("uid", "n", "hashes", "counts").mapInArrow(_prefixed(percent), "uid long, n long, hashes binary, p1 array<long>, p2 binary, p3 binary, r long, bits array<long>"), "prefixes")
+    # left: this shingle and what repeats after it in the first order. Where two sets first meet at a shingle they share no more than the lesser left.
+    index = reps.select("uid", "n", F.posexplode("p1").alias("at", "t"), "r").select("t", "uid", "n", (F.col("r") - F.col("at")).alias("left"))
+    fits = (100 + percent) * F.least("al", "bl") >= percent * (F.col("an") + F.col("bn"))
+    links, placed = [], index.withColumn("component", F.col("uid"))
+    for turn in range(TURNS):
+        # CENTRES rows of each shingle, the least under a hash of the row, so shingles of one group choose alike; cut before the shuffle
+        order = Window.partitionBy("t").orderBy(F.xxhash64("uid", F.lit(turn)), "uid")
+        some = placed.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= CENTRES)
+        centres = stage(some.select("t", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("left").alias("al"), F.col("component").alias("ac")), "centres")
+        met = placed.select("t", F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bl"), F.col("component").alias("bc")).join(centres, "t")
+        star = met.where((F.col("ac") != F.col("bc")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links.append(stage(verified(star, reps, percent), "links"))
+        release(docs.sparkSession)
+        near = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("uid"), "component")
+        known = index.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        mixed = known.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
+        placed = stage(known.join(mixed, "t"), "across")
+        drop_staged(centres)
+    marked = placed.join(reps.select("uid", "r", "bits"), "uid")
+    as_side = lambda x: marked.select("t", *(F.col(c).alias(x + k) for c, k in (("uid", ""), ("n", "n"), ("left", "l"), ("component", "c"), ("r", "r"), ("bits", "s"))))
+    across = as_side("a").join(as_side("b"), "t").where((F.col("ac") < F.col("bc")) & fits & _near_enough(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links.append(stage(verified(across, reps, percent), "links"))
+    release(docs.sparkSession)
+    return sets.select("uid", "doc_id", "digest", "n", "same"), classes, reduce(DataFrame.unionByName, links)
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """uid (row number of the input), doc_id, n_shingles, component_id (least doc_id of the component), keeper (one row of each component)."""
+    """uid (a row's number here), doc_id, digest (md5 of the text), n_shingles, component_id (least doc_id of the component), keeper (one row of each component)."""
     texts, classes, links = link_classes(docs, size, percent, text, doc_id)
     near = components(links)
     known = texts.where("same is not null").groupBy("same").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first"))
@@ -303,10 +334,30 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, t
     of = stage(of.join(known, "same"), "class-components")
     least = of.groupBy("component").agg(F.min("first").alias("least"))
     place = stage(of.select("same", "component").join(least, "component").select("same", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keeper_uid")), "places")
-    linked = texts.where("same is not null").join(place, "same").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("keeper_uid")).alias("keeper"))
-    alone = texts.where("same is null").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
+    linked = texts.where("same is not null").join(place, "same").select("uid", "doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("keeper_uid")).alias("keeper"))
+    alone = texts.where("same is null").select("uid", "doc_id", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
     return alone.unionByName(linked)
 
 
+#: A text with a word; others are linked with nothing.
+WORDED = r"[^\x20\x09-\x0D]"
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: its least doc_id (nulls last). Rows without words stay. Columns stay.
+
+    A row is known by doc_id and text, so rows that repeat both are one; the
+    first of them stays, taken before anything is shuffled by key.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    worded = docs.where(text.rlike(WORDED))
+    found = near_duplicates(worded, size, percent).where("keeper").select(F.col("doc_id").isNull().alias("no_id_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("digest").alias("digest_"))
+    found = stage(found.distinct(), "kept")
+    release(docs.sparkSession)
+    keys = {"no_id_": F.col("doc_id").isNull(), "id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "digest_": F.unhex(F.md5(F.encode(text, "UTF-8")))}
+    once = worded.withColumns(keys).dropDuplicates(list(keys))
+    return docs.where(~text.rlike(WORDED)).unionByName(once.join(found, list(keys), "left_semi").select(*docs.columns))
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
