@@ -27,18 +27,27 @@ def blank_to_null(x) -> Column:
     return F.nullif(F.trim(c(x)), F.lit(""))
 
 
+def let(x, f) -> Column:
+    """f of x with x computed once: repeated use would copy its expression each time."""
+    return F.transform(F.array(c(x)), f)[0]
+
+
 def indian_number(x) -> Column:
     """Signed number from an accounting string; null where it is none."""
-    s = F.trim(c(x))
-    bracket = s.startswith("(") & s.endswith(")")
-    s1 = F.when(bracket, F.trim(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    tail = s1.endswith("-")
-    s2 = F.when(tail, F.trim(F.substring(s1, F.lit(1), F.length(s1) - 1))).otherwise(s1)
-    head = s2.startswith("-")
-    digits = F.regexp_replace(s2, r"[^0-9.]", "")
-    # "Rs. 500" keeps the full stop of its abbreviation
-    number = F.when(digits.rlike(r"^[0-9]+(\.[0-9]+)?$"), digits.try_cast("double"))
-    return F.when(~s.isin(NULL_TOKENS), F.when(bracket | tail | head, -number).otherwise(number))
+
+    def cut(s, hit, start, end):
+        return F.struct(F.when(hit, F.trim(F.substring(s, F.lit(1 + start), F.length(s) - start - end))).otherwise(s).alias("s"), hit.alias("neg"))
+
+    bracket = lambda s: cut(s, s.startswith("(") & s.endswith(")"), 1, 1)
+    tail = lambda a: F.struct(let(a["s"], lambda s: cut(s, s.endswith("-"), 0, 1)).alias("x"), a["neg"].alias("neg"))
+    head = lambda a: F.struct(let(a["x"]["s"], lambda s: cut(s, s.startswith("-"), 1, 0)).alias("x"), (a["neg"] | a["x"]["neg"]).alias("neg"))
+
+    def number(a):
+        # "Rs. 500" keeps the full stop of its abbreviation and is no number
+        value = let(F.regexp_replace(a["x"]["s"], r"[^0-9.]", ""), lambda t: F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?$"), t.try_cast("double")))
+        return F.when(a["neg"] | a["x"]["neg"], -value).otherwise(value)
+
+    return let(F.trim(c(x)), lambda s: F.when(~s.isin(NULL_TOKENS), let(let(let(bracket(s), tail), head), number)))
 
 
 def plain_amount(x) -> Column:
@@ -165,24 +174,23 @@ def day_of_month(text) -> Column:
     return F.when((F.size(p) > 1) & two.rlike(r"^\d{1,2}$"), two.cast("double")).when((F.size(p) == 3) & three.rlike(r"^\d+$"), three.cast("double")).otherwise(F.lit(15.0))
 
 
-def line_status(text) -> Column:
-    t = F.trim(F.coalesce(c(text), F.lit("")))
-    return F.when(t == "", "empty").when(t.rlike(MONTH_LINE), "period_marker").when(t.rlike(LINE_AMOUNT), "parsed").otherwise("unparsed")
-
+def parsed_line(text) -> Column:
+    """struct of status, amount, direction and particulars of a day-book line."""
 
-def line_amount(text) -> Column:
-    t = F.trim(c(text))
-    return F.when(line_status(text) == "parsed", indian_number(F.regexp_extract(t, LINE_AMOUNT, 1)))
+    def parts(t):
+        status = F.when(t == "", "empty").when(t.rlike(MONTH_LINE), "period_marker").when(t.rlike(LINE_AMOUNT), "parsed").otherwise("unparsed")
+        return let(status, lambda s: F.struct(
+            s.alias("status"),
+            F.when(s == "parsed", indian_number(F.regexp_extract(t, LINE_AMOUNT, 1))).alias("amount"),
+            F.when(s == "parsed", F.initcap(F.regexp_extract(t, LINE_AMOUNT, 2))).alias("direction"),
+            F.when(s == "parsed", let(F.split(t, LINE_AMOUNT, 2), lambda p: F.trim(F.concat_ws(" ", F.trim(p[0]), F.trim(F.coalesce(F.try_element_at(p, F.lit(2)), F.lit(""))))))).otherwise(t).alias("particulars"),
+        ))
 
+    return let(F.trim(F.coalesce(c(text), F.lit(""))), parts)
 
-def line_direction(text) -> Column:
-    return F.when(line_status(text) == "parsed", F.initcap(F.regexp_extract(F.trim(c(text)), LINE_AMOUNT, 2)))
 
-
-def line_particulars(text) -> Column:
-    t = F.trim(F.coalesce(c(text), F.lit("")))
-    parts = F.split(t, LINE_AMOUNT, 2)
-    return F.when(line_status(text) == "parsed", F.trim(F.concat_ws(" ", F.trim(parts[0]), F.trim(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")))))).otherwise(t)
+def line_status(text) -> Column:
+    return parsed_line(text)["status"]
 
 
 def csv_safe(x) -> Column:

@@ -148,7 +148,7 @@ def c32(spark, d):
     k = F.col("o_orderkey") % 4
     p = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     t = F.when(k == 0, F.concat(F.lit("Paid Rs. "), p, F.lit(" dr cash"))).when(k == 1, " April 2024 ").when(k == 2, "no amount").otherwise("  ")
-    return table(spark, d, "orders").select("o_orderkey", X.line_status(t).alias("status"), X.line_amount(t).alias("amount"), X.line_direction(t).alias("direction"), X.line_particulars(t).alias("particulars"))
+    return table(spark, d, "orders").select("o_orderkey", X.parsed_line(t).alias("x")).select("o_orderkey", "x.status", "x.amount", "x.direction", "x.particulars")
 
 
 @query("c33_display_rewrite", "SELECT o_orderkey, 'same as SO_' || o_custkey || ' on date; round amount' AS why FROM orders")
