@@ -25,6 +25,7 @@ kept; repeated rows are copies of each other; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import _BASE, _INV, BYTE_HASH, column, drop_staged, mix, partitions, powers, shared_root, stage, table, utf8_view
+from quillstone.llm.common import _BASE, _INV, BYTE_HASH, column, drop_staged, mix, partitions, powers, release, shared_root, stage, table, utf8_view
 from quillstone.llm.ngram_join import SHUFFLED, _batched, _by_part, _count, _pack, _unpack
 from quillstone.llm.suffixes import SEPARATOR, Scratch, repeats
 
 LENGTH, GRAM, HOT = 400, 16, 256
 #: Memory of a shard's sort before it goes on in files.
 SORT_MEMORY = 256_000_000
+#: Shards for each shuffle partition: a sort holds some 50 bytes for each of a shard's.
+SHARDS = 4
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -92,7 +95,7 @@ def _runs(length: int, gram: int):
 
 
 def _cut(length: int):
-    kind = pa.schema([("key", pa.int64()), ("sh", pa.binary()), ("rid", pa.int64()), ("tk", pa.binary()), ("start", pa.int64()), ("windows", pa.int64()), ("inner", pa.bool_()), ("seg", pa.binary()), ("text", pa.binary())])
+    kind = pa.schema([("key", pa.int64()), ("sh", pa.binary()), ("rid", pa.int64()), ("tk", pa.binary()), ("start", pa.int64()), ("windows", pa.int64()), ("inner", pa.bool_()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # rows that repeat a text's row add nothing
@@ -106,8 +109,8 @@ def _cut(length: int):
                 for i, r in enumerate(runs):
                     seg = raw[r["start"] : r["start"] + r["windows"] + length - 1]
                     sh = hashlib.blake2b(seg, digest_size=16, key=r["key"].to_bytes(8, "little", signed=True)).digest()
-                    rows.append((r["key"], sh, r["rid"], tk, r["start"], r["windows"], r["inner"], seg, raw if i == 0 else None))
-                    size += len(seg)
+                    rows.append((r["key"], sh, r["rid"], tk, r["start"], r["windows"], r["inner"], raw if i == 0 else None))
+                size += len(raw)
                 if size > 16_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
                     rows, size = [], 0
@@ -117,6 +120,19 @@ def _cut(length: int):
     return run
 
 
+def _segments(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, runs in zip(b.column("text"), b.column("runs").to_pylist(), strict=True):
+                raw = text.as_py()
+                rows += [(r["key"], r["sh"], raw[r["start"] : r["start"] + r["windows"] + length - 1]) for r in runs]
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "sh", "seg"])
+
+    return run
+
+
 def _flag_rows(found: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
     """(sh, runs of repeating windows) from a mask a segment."""
     hashes, values, sizes = [], [], [0]
@@ -139,7 +155,7 @@ def _sorted_shard(length: int, folder: str | None):
             segs.update(zip(b.column("sh").to_pylist(), b.column("seg").to_pylist(), strict=True))
         if not segs:
             return
-        scratch = Scratch(folder, SORT_MEMORY)
+        scratch = Scratch(folder, SORT_MEMORY if folder else sys.maxsize)  # no file on a machine's own disk
         try:
             total = sum(map(len, segs.values())) + len(segs)
             text, at, places = scratch.array(total, np.uint8), 0, []
@@ -262,21 +278,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     twice = runs.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("inner").alias("in_")).where("lo <> hi or in_").select("key")
     wanted = stage(runs.join(twice, "key").groupBy("tk").agg(F.min("did").alias("did"), F.collect_set(F.struct("key", "rid", "start", "windows", "inner")).alias("runs")), "wanted")
     drop_staged(runs)
-    cut = stage(long.join(wanted, ["tk", "did"]).mapInArrow(_cut(length), "key long, sh binary, rid long, tk binary, start long, windows long, inner boolean, seg binary, text binary"), "segments")
+    # by merging, so rows that repeat a text's row meet in a task, which takes the first
+    cut = stage(long.join(wanted.hint("merge"), ["tk", "did"]).mapInArrow(_cut(length), "key long, sh binary, rid long, tk binary, start long, windows long, inner boolean, text binary"), "segments")
     drop_staged(wanted)
+    release(spark)
 
     places = cut.groupBy("key", "sh").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.max("inner").alias("inner"))
     places = stage(places, "places")
     keys = places.groupBy("key").agg(F.count("*").alias("segments"), F.max("inner").alias("any_inner")).where("segments > 1 or any_inner")
     active = places.select("key", F.col("sh"), F.col("first").alias("rid")).join(keys.select("key", "segments"), "key").select("sh", "rid", "segments")
-    body = cut.select("sh", "rid", "key", "seg").join(active, ["sh", "rid"])
-    cold = body.where(F.col("segments") <= hot).select("key", "sh", "seg").repartition(parts, "key")
+    texts = cut.where("text is not null").select("tk", "text")
+    chosen = stage(cut.select("sh", "rid", "key", "tk", "start", "windows").join(active, ["sh", "rid"]), "chosen")
+
+    def bodies(which: DataFrame) -> DataFrame:
+        """key, sh, seg of one place of each segment, cut from the texts anew: no segment is written before it is known to be wanted."""
+        by = which.groupBy("tk").agg(F.collect_set(F.struct("key", "sh", "start", "windows")).alias("runs"))
+        return texts.join(by, "tk").mapInArrow(_segments(length), "key long, sh binary, seg binary")
+
+    cold = bodies(chosen.where(F.col("segments") <= hot)).repartition(SHARDS * parts, "key")
     flags = cold.select("sh", "seg").mapInArrow(_sorted_shard(length, scratch), f"sh binary, flags {SPANS}")
-    warm = stage(body.where(F.col("segments") > hot).select("sh", "seg"), "hot-segments")
+    warm = stage(bodies(chosen.where(F.col("segments") > hot)).select("sh", "seg"), "hot-segments")
     counted = warm.mapInArrow(_window_split(length, parts), SHUFFLED).repartitionById(parts, F.col("part")).mapInArrow(_count(parts), SHUFFLED).repartitionById(parts, F.col("part"))
     marked = counted.mapInArrow(_window_home, "sid long, hashes binary")
     hot_flags = warm.withColumn("sid", _sid_of(F.col("sh"))).join(marked, "sid", "left").select("sh", "seg", "hashes").mapInArrow(_window_flags(length), f"sh binary, flags {SPANS}")
     flagged = stage(flags.unionByName(hot_flags), "flags")
+    release(spark)
 
     all_windows = places.where("first <> last").select("sh").withColumn("whole", F.lit(True))
     of = flagged.dropDuplicates(["sh"]).join(all_windows, "sh", "full").select("sh", "flags", "whole")
@@ -284,7 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("windows").alias("end")))
     moved = F.transform(F.when(F.col("whole"), whole).otherwise(F.col("flags")), lambda f: F.struct((f["start"] + F.col("start")).alias("start"), (f["end"] + F.col("start")).alias("end")))
     by_text = member.select("tk", F.explode(moved).alias("f")).groupBy("tk").agg(F.collect_set("f").alias("flags"))
-    result = stage(cut.where("text is not null").select("tk", "text").join(by_text, "tk").mapInArrow(_removed(length), f"tk binary, spans {SPANS}, n_removed long, kept_sha256 string"), "removed")
+    result = stage(texts.join(by_text, "tk").mapInArrow(_removed(length), f"tk binary, spans {SPANS}, n_removed long, kept_sha256 string").dropDuplicates(["tk"]), "removed")
 
     copies = known.where(F.octet_length("text") >= length).groupBy("tk").agg(F.count("*").alias("copies")).where("copies > 1")
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -172,13 +172,18 @@ class Shard:
         lo, hi = powers(_INV, 1 << 12), powers(pow(_INV, 1 << 12, 1 << 64), (self.n >> 12) + 2)
         return raw * lo[a & 4095] * hi[a >> 12]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefix of suffixes a and b, cap at most."""
+    def common(self, a: np.ndarray, b: np.ndarray, floor: int = 0) -> np.ndarray:
+        """Common prefix of suffixes a and b, cap at most; those under floor count as 0."""
         limit = np.minimum(self.cap, self.n - np.maximum(a, b))
         out = np.zeros(len(a), np.int64)
-        step = 1 << (self.cap.bit_length() - 1)
-        while step:
-            at = np.flatnonzero(out + step <= limit)
+        left = np.arange(len(a))
+        if floor:
+            left = np.flatnonzero(limit >= floor)
+            left = left[self.hashes(a[left], floor) == self.hashes(b[left], floor)]
+            out[left] = floor
+        step = 1 << max(self.cap - floor, 1).bit_length() - 1
+        while step and len(left):
+            at = left[out[left] + step <= limit[left]]
             o = out[at]
             same = self.hashes(a[at] + o, step) == self.hashes(b[at] + o, step)
             out[at[same]] += step
@@ -297,8 +302,8 @@ class Shard:
                 seen(back, turned)
                 go(back, turned)
 
-    def sorted_stars(self) -> tuple[np.ndarray, np.ndarray]:
-        """S* positions in suffix order (to cap bytes) and their common prefixes."""
+    def sorted_stars(self, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """S* positions in suffix order (to cap bytes) and their common prefixes; unless exact, prefixes too short to matter count as 0."""
         stars = self.stars
         if len(stars) < 2:
             return stars, np.zeros(len(stars), np.int16)
@@ -327,7 +332,7 @@ class Shard:
             tied[:-1] |= tied[1:]
             at = np.flatnonzero(tied)
             part = order[at]
-            part = part[np.lexsort((nxt[part], rank[part]))]
+            part = part[np.argsort((rank[part] << 32) + nxt[part] + 1)]
             order[at] = part
             mine, follow = rank[order], nxt[order]
             new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (follow[1:] != follow[:-1])])
@@ -335,9 +340,11 @@ class Shard:
             depth *= 2
         out = stars[order]
         lcp = np.zeros(len(out), np.int16)
-        for a in range(1, len(out), 1 << 18):
-            z = min(a + (1 << 18), len(out))
-            lcp[a:z] = self.common(out[a - 1 : z - 1], out[a:z])
+        # an induced suffix stands before its S* one by that one's distance to the last at most, so shorter prefixes can't reach cap
+        floor = 0 if exact else max(0, self.cap - 1 - int(np.diff(stars, prepend=0, append=self.n).max()))
+        for a in range(1, len(out), 1 << 16):
+            z = min(a + (1 << 16), len(out))
+            lcp[a:z] = self.common(out[a - 1 : z - 1], out[a:z], floor)
         return out, lcp
 
 
@@ -349,7 +356,7 @@ def repeats(text: np.ndarray, cap: int, scratch: Scratch | None = None) -> np.nd
     if len(text) < 2:
         return flags
     shard = Shard(text, cap, scratch)
-    stars, lcps = shard.sorted_stars()
+    stars, lcps = shard.sorted_stars(exact=False)
     before = [None]
 
     def seen(pos, lcp):
