@@ -88,3 +88,65 @@ def balances(legs: DataFrame) -> DataFrame:
     """Whether debits and credits of a voucher agree to a hundredth."""
     d = F.sum(F.when(F.col("dr_cr") == "Dr", F.col("amount")).otherwise(-F.col("amount")))
     return legs.groupBy("entry_id").agg((F.abs(d) < 0.01).alias("balanced"))
+
+
+# ---------------------------------------------------------------- accounts of pages
+def headed_pages(pages: DataFrame) -> DataFrame:
+    """pages (doc, page, account, brought, carried) with account filled in on pages without a header.
+
+    Such a page takes the account of the next headed page if what it carries
+    over is what that page brings forward; otherwise it stays null.
+    """
+    ahead = Window.partitionBy("doc").orderBy("page").rowsBetween(1, Window.unboundedFollowing)
+    headed = F.when(F.col("account").isNotNull(), F.struct("account", "brought"))
+    nxt = F.first(headed, ignorenulls=True).over(ahead)
+    out = pages.withColumn("next_", nxt)
+    fits = F.col("carried").isNotNull() & F.col("carried").eqNullSafe(F.col("next_.brought"))
+    return out.withColumn("account", F.coalesce("account", F.when(fits, F.col("next_.account")))).drop("next_")
+
+
+def continuations(pages: DataFrame) -> DataFrame:
+    """(later, earlier) names of one account: adjacent pages of different names whose balances meet, where that names one account only."""
+    w = Window.partitionBy("doc").orderBy("page")
+    pair = pages.withColumns({"later": F.lead("account").over(w), "brings": F.lead("brought").over(w), "follows": F.lead("page").over(w)})
+    pair = pair.where((F.col("follows") == F.col("page") + 1) & F.col("carried").isNotNull() & F.col("carried").eqNullSafe(F.col("brings")) & (F.col("later") != F.col("account")))
+    return pair.groupBy("later").agg(F.min("account").alias("earlier"), F.max("account").alias("other")).where("earlier = other").select("later", "earlier")
+
+
+def settled(aliases: DataFrame, rounds: int = 10) -> DataFrame:
+    """Chains of aliases followed to their ends, doubling the step each round; what still turns in a circle is dropped."""
+    now = aliases
+    for _ in range(rounds):
+        nxt = now.select(F.col("later").alias("earlier"), F.col("earlier").alias("end"))
+        now = now.join(nxt, "earlier", "left").select("later", F.coalesce("end", "earlier").alias("earlier")).where("later <> earlier")
+        if not now.join(now.select(F.col("later").alias("earlier")), "earlier", "left_semi").limit(1).count():
+            break
+    return now
+
+
+# ---------------------------------------------------------------- legs of one voucher
+def merge_aliases(legs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Legs (entry_id, particulars, dr_cr, amount, source_pages) where a leg under a short name joins the one under its full name on other pages.
+
+    aliases: short, full. Both must agree in voucher, side and amount, lie on
+    disjoint pages, and the short leg must have one such partner only.
+    """
+    key = ["entry_id", "dr_cr", "amount"]
+    short = legs.join(aliases, F.col("particulars") == F.col("short")).select(*key, F.col("particulars").alias("short_"), F.col("source_pages").alias("pages_"), F.col("full").alias("particulars"))
+    pair = legs.join(short, [*key, "particulars"]).where(~F.arrays_overlap("source_pages", "pages_"))
+    alone = pair.groupBy(*key, "short_").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    pair = pair.join(alone, [*key, "short_"])
+    gone = pair.select(*key, F.col("short_").alias("particulars")).distinct()
+    more = pair.groupBy(*key, "particulars").agg(F.flatten(F.collect_list("pages_")).alias("more_"))
+    kept = legs.join(gone, [*key, "particulars"], "left_anti").join(more, [*key, "particulars"], "left")
+    return kept.withColumn("source_pages", F.array_sort(F.concat("source_pages", F.coalesce("more_", F.expr("cast(array() as array<int>)"))))).drop("more_")
+
+
+def absorb(legs: DataFrame, loose: DataFrame, into) -> tuple[DataFrame, DataFrame]:
+    """(legs, loose rows that are left): each loose row (entry_id, dr_cr, amount, page) whose voucher has exactly one leg of the same side and amount satisfying `into` gives it its page; none or several: it stays."""
+    key = ["entry_id", "dr_cr", "amount"]
+    target = legs.where(into).groupBy(*key).agg(F.count("*").alias("n"), F.min("particulars").alias("particulars")).where("n = 1").drop("n")
+    hit = loose.join(target, key)
+    more = hit.groupBy(*key, "particulars").agg(F.collect_list("page").alias("more_"))
+    out = legs.join(more, [*key, "particulars"], "left").withColumn("source_pages", F.array_sort(F.concat("source_pages", F.coalesce("more_", F.expr("cast(array() as array<int>)"))))).drop("more_")
+    return out, loose.join(target, key, "left_anti")

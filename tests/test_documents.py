@@ -141,3 +141,25 @@ def test_stream(spark, tmp_path):
     ingest.into_table(ingest.distinct_once(stream, ["event_id"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
     assert {r.n for r in ingest.rolled_up(spark.read.parquet(str(tmp_path / "out"))).collect()} == {3}
+
+
+def test_page_accounts(spark):
+    from quillstone.operators import reconstruct as C
+
+    rows = [("d", 1, None, None, 10.0), ("d", 2, "Cash", 10.0, 20.0), ("d", 3, "Cash A/c", 20.0, 30.0), ("d", 4, None, None, 99.0), ("d", 5, "Bank", 30.0, None)]
+    pages = spark.createDataFrame(rows, "doc string, page int, account string, brought double, carried double")
+    assert [r.account for r in C.headed_pages(pages).orderBy("page").collect()] == ["Cash", "Cash", "Cash A/c", None, "Bank"]
+    assert [tuple(r) for r in C.continuations(pages.where("account is not null")).collect()] == [("Cash A/c", "Cash")]
+    chain = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a")], "later string, earlier string")
+    assert {tuple(r) for r in C.settled(chain).collect()} == {("d", "a"), ("c", "a"), ("b", "a")}
+
+
+def test_leg_merging(spark):
+    from quillstone.operators import reconstruct as C
+
+    legs = spark.createDataFrame([("v", "Hdfc", "Dr", 5.0, [1]), ("v", "Hdfc Bank", "Dr", 5.0, [2]), ("w", "Hdfc", "Dr", 5.0, [2]), ("w", "Hdfc Bank", "Dr", 5.0, [2]), ("x", "[redacted]", "Cr", 7.0, [3])], "entry_id string, particulars string, dr_cr string, amount double, source_pages array<int>")
+    got = C.merge_aliases(legs, spark.createDataFrame([("Hdfc", "Hdfc Bank")], "short string, full string"))
+    assert sorted((r.entry_id, r.particulars, tuple(r.source_pages)) for r in got.collect()) == [("v", "Hdfc Bank", (1, 2)), ("w", "Hdfc", (2,)), ("w", "Hdfc Bank", (2,)), ("x", "[redacted]", (3,))]
+    loose = spark.createDataFrame([("x", "Cr", 7.0, 9), ("w", "Dr", 5.0, 9), ("z", "Dr", 1.0, 9)], "entry_id string, dr_cr string, amount double, page int")
+    out, left = C.absorb(legs, loose, F.lit(True))
+    assert sorted(r.entry_id for r in left.collect()) == ["w", "z"] and out.where("entry_id = 'x'").first().source_pages == [3, 9]
