@@ -119,7 +119,9 @@ def compile_items(texts: pa.Array, window: int = WINDOW) -> list[WuManber]:
 
 
 def _searcher(tables: list[WuManber], names: list[str]):
-    sorted_rank = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable")) if names else np.zeros(0, int)
+    in_order = sorted(set(names))
+    place = {n: i for i, n in enumerate(in_order)}
+    sorted_rank = np.array([place[n] for n in names], int)  # an id that comes again is one item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +154,6 @@ def _searcher(tables: list[WuManber], names: list[str]):
                     names=["first_word", "end_word", "first_byte", "end_byte"],
                 )
                 pairs = np.unique(np.stack([np.concatenate([*hit_rows, np.zeros(0, np.int64)]), sorted_rank[np.concatenate([*hit_items, np.zeros(0, np.int64)]).astype(int)]], 1), axis=0) if tables else np.zeros((0, 2), np.int64)
-                in_order = sorted(names)
                 item_lists = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0].astype(int), minlength=n))]).astype(np.int32)
                 item_values = pa.array([in_order[int(r)] for r in pairs[:, 1]], pa.string())
                 yield pa.RecordBatch.from_arrays(

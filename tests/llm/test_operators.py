@@ -252,12 +252,12 @@ def test_hilbert():
 
 
 # ---------------------------------------------------------------- 6
-ITEMS = [(1, prose(30, 900)), (2, prose(12, 901)), (3, "lone Words"), (10, prose(30, 900)), (4, None), (5, ""), (6, "a b a b a b a b a b a b a b")]
+ITEMS = [(1, prose(30, 900)), (2, prose(12, 901)), (3, "lone Words"), (10, prose(30, 900)), (4, None), (5, ""), (6, "a b a b a b a b a b a b a b"), (2, prose(14, 902))]
 
 
 def contaminated():
     p = ITEMS[0][1].split()
-    return [" ".join(p[5:20]).upper() + "!", "x " + " ".join(p[:9]), "y, lone-words. lone words", None, "", "a b " * 30, ITEMS[1][1].replace(" ", " , "), prose(3000, 8) + " " + " ".join(p[3:14]) + " " + prose(3000, 9), " ".join(p[:9]) + " zz"]
+    return [" ".join(p[5:20]).upper() + "!", "x " + " ".join(p[:9]), "y, lone-words. lone words", None, "", "a b " * 30, ITEMS[1][1].replace(" ", " , "), prose(3000, 8) + " " + " ".join(p[3:14]) + " " + prose(3000, 9), " ".join(p[:9]) + " zz", ITEMS[1][1] + " " + ITEMS[-1][1]]
 
 
 @pytest.mark.parametrize("limit", [32_000_000, 200])
