@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import column, partitions, stage, table
+from quillstone.llm.common import column, stage, table
 
 #: Content bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES, BUNDLE_BYTES = 256_000, 8_000_000
@@ -129,18 +129,16 @@ class Reader:
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, made, bundle, last = TaskContext.get().partitionId(), 0, Bundle(), None
+    part, made, bundle = TaskContext.get().partitionId(), 0, Bundle()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{made:04d}"]), pa.array([len(bundle.index)], pa.int64()), pa.array([bundle.finish()], pa.binary())], names=["bundle", "n_records", "data"])
 
     for b in batches:
-        cols = [b.column(k) for k in ("page_id", "url", "html", "first_id", "payload_key")]
+        cols = [b.column(k) for k in ("page_id", "url", "html", "first_id", "copy")]
         for i in range(b.num_rows):
-            page, url, html, first, key = (c[i].as_py() for c in cols)
-            again = (page, key) == last
-            last = (page, key)
-            revisit = page != first or again
+            page, url, html, first, copy = (c[i].as_py() for c in cols)
+            revisit = page != first or copy > 1
             bundle.add(page, record(page, url, (html or "").encode(), revisit, first))
             if bundle.bytes + len(bundle.open) >= BUNDLE_BYTES:
                 yield out()
@@ -154,9 +152,13 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     p = pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
     p = p.withColumn("payload_key", F.sha1(F.encode("html", "UTF-8")))
     firsts = p.groupBy("payload_key").agg(F.min("page_id").alias("first_id"))  # min skips nulls, so they come last
-    chosen = p.join(firsts, "payload_key")
-    dealt = chosen.repartition(partitions(pages), "page_id", "payload_key").sortWithinPartitions("page_id", "payload_key")
-    return stage(dealt.select("page_id", "url", "html", "first_id", "payload_key").mapInArrow(_write, BUNDLE_TYPE), "warc")
+    # html is shuffled once, by page; the choice is made on ids and hashes alone
+    p = p.withColumns({"no_id": F.col("page_id").isNull(), "id": F.coalesce("page_id", F.lit(0))})
+    by = ["no_id", "id", "payload_key"]
+    choice = p.select(*by).distinct().join(firsts, "payload_key")
+    copy = F.row_number().over(Window.partitionBy(*by).orderBy("url"))
+    chosen = p.join(choice.hint("merge"), by).withColumn("copy", copy)
+    return stage(chosen.select("page_id", "url", "html", "first_id", "copy").mapInArrow(_write, BUNDLE_TYPE), "warc")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
