@@ -20,6 +20,8 @@ def normal(frame):
     def text(v):
         if v is None or v is pd.NA or v != v:
             return "NULL"
+        if isinstance(v, float) and v.is_integer():
+            return str(int(v))  # integers with nulls arrive as floats
         if isinstance(v, float):
             return repr(float(f"{v:.9g}")) if math.isfinite(v) else str(v)
         return str(v).removesuffix(" 00:00:00")
