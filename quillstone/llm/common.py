@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from quillstone.session import ship
 
 U = np.uint64
 #: Bytes of text that one numpy pass takes at once; a longer text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 # ---------------------------------------------------------------- tables
@@ -89,6 +90,15 @@ def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine: idle workers of earlier stages would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 # ---------------------------------------------------------------- Arrow text
 def utf8_view(arr) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty. offsets are relative to the returned bytes."""
@@ -114,6 +124,7 @@ def text_chunks(arr, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.nd
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    trim()
 
 
 # ---------------------------------------------------------------- hashing

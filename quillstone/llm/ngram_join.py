@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, drop_staged, mix, partitions, release, shingles, stage, table, text_chunks
+from quillstone.llm.common import components, drop_staged, mix, partitions, release, shingles, stage, table, text_chunks, trim
 
 SIZE, PERCENT = 5, 80
 #: Rows that each prefix shingle pairs its classes with in a turn, and turns before all pairs that are left are tried.
 CENTRES, TURNS = 3, 3
 #: Hashes that a map task holds before it sends them off.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 SHUFFLED = "part int, kind int, data binary"
 SETS = "uid long, doc_id long, digest binary, n long, repeats long, same binary, hashes binary, counts binary"
 
@@ -165,6 +165,8 @@ def _count(parts: int):
                     yield _sent([(part, kind, data.as_py())])
         if blobs:
             yield from _batched(repeated(blobs))
+            blobs.clear()
+        trim()
 
     return run
 
@@ -215,6 +217,7 @@ def _sets(percent: int):
                 [pa.array(uid[a:z]), pa.array(ids[a:z], mask=known[a:z] == 0), pa.array([x.tobytes() for x in digest[a:z]], pa.binary()), pa.array(n[a:z]), pa.array(repeats[a:z].astype(np.int64)), pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
                 names=["uid", "doc_id", "digest", "n", "repeats", "same", "hashes", "counts"],
             )
+        trim()
 
     return run
 
@@ -269,6 +272,7 @@ def _verify(percent: int):
                 keep.append(ok)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
+            trim()
 
     return run
 
