@@ -269,7 +269,9 @@ def sample_texts(docs: DataFrame, text: str = "text") -> list[str]:
     """At most SAMPLE_DOCS texts that hold digits, chosen by hash: the same for any partitioning."""
     t = F.col(f"`{text}`")
     some = docs.select(t.alias("t")).where(F.length("t").between(1, SAMPLE_CHARS) & F.col("t").rlike(r"[0-9]{2,}[.)-]?[0-9]|@")).withColumn("h", F.xxhash64("t"))
-    return [r.t for r in some.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
+    # hashes find the cut, so no partition sends more texts than are taken
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    return sorted({r.t for r in some.where(F.col("h") <= least[-1]).select("t").distinct().collect()}) if least else []
 
 
 SPANS = "array<struct<start:int,end:int>>"
