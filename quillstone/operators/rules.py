@@ -19,11 +19,14 @@ class Config:
     tolerance: float = 10.0
     balance_tolerance: float = 1.0
     chi_threshold: float = 15.5
-    gap_digits: int = 6
+    gap_digits: int | None = 6
     gap_least: int = 3
     related_shown: int = 3
 
 
+#: Numbers of a range that one window takes.
+GAP_RANGE = 100_000
+
 LONG = ["entry_id", "leg_num", "rule", "reason", "severity"]
 
 
@@ -69,14 +72,24 @@ def benford(df: DataFrame, amount="amount", by: list[str] = ()) -> DataFrame:
 
 
 def sequence_gaps(vouchers: DataFrame, series: list[str], number="number", cfg: Config = Config()) -> DataFrame:
-    """Missing numbers of each series with the neighbours that are there; short or long-numbered series are skipped."""
+    """Missing numbers of each series with the neighbours that are there; short or long-numbered series are skipped (gap_digits None: no number is too long)."""
     first = vouchers.where(F.col(number).isNotNull()).groupBy(*series, F.col(number).alias("num")).agg(F.min_by("entry_id", "row_idx").alias("entry_id"), F.min_by("date", "row_idx").alias("date"))
-    size = first.groupBy(*series).agg(F.count("*").alias("group_size"), F.max("num").alias("top")).where((F.col("group_size") >= cfg.gap_least) & (F.length(F.col("top").cast("string")) <= cfg.gap_digits))
-    w = Window.partitionBy(*series).orderBy("num")
-    # short numbers only are left, so a series has at most 10**gap_digits rows in its window
+    size = first.groupBy(*series).agg(F.count("*").alias("group_size"), F.max("num").alias("top")).where(F.col("group_size") >= cfg.gap_least)
+    if cfg.gap_digits is not None:
+        size = size.where(F.length(F.col("top").cast("string")) <= cfg.gap_digits)
     near = first.join(F.broadcast(size) if not series else size, series) if series else first.crossJoin(F.broadcast(size))
-    near = near.withColumns({"next": F.lead("num").over(w), "after_id": F.lead("entry_id").over(w)})
-    return near.where(F.col("next") - F.col("num") > 1).select(*series, F.explode(F.sequence((F.col("num") + 1).cast("long"), (F.col("next") - 1).cast("long"))).alias("missing"), F.col("num").cast("long").alias("before"), F.col("entry_id").alias("before_id"), F.col("next").cast("long").alias("after"), "after_id", "group_size")
+    near = near.withColumn("range", F.floor(F.col("num") / GAP_RANGE))
+    # a window holds one range of numbers; the last number of a range is followed by the first one of the next range that has any
+    heads = near.groupBy(*series, "range").agg(F.min("num").alias("head"), F.min_by("entry_id", "num").alias("head_id"))
+    w = Window.partitionBy(*series).orderBy("range")
+    heads = heads.select(*series, "range", F.lead("head").over(w).alias("head"), F.lead("head_id").over(w).alias("head_id"))
+    w = Window.partitionBy(*series, "range").orderBy("num")
+    near = near.withColumns({"next": F.lead("num").over(w), "after_id": F.lead("entry_id").over(w)}).join(heads, [*series, "range"])
+    near = near.withColumns({"after_id": F.when(F.col("next").isNull(), F.col("head_id")).otherwise(F.col("after_id")), "next": F.coalesce("next", "head")})
+    lo, hi = (F.col("num") + 1).cast("long"), (F.col("next") - 1).cast("long")
+    # a wide gap is cut into pieces, so no array is longer than a range
+    near = near.where(F.col("next") - F.col("num") > 1).withColumns({"hi": hi, "lo": F.explode(F.sequence(lo, hi, F.lit(GAP_RANGE).cast("long")))})
+    return near.select(*series, F.explode(F.sequence("lo", F.least(F.col("lo") + GAP_RANGE - 1, "hi"))).alias("missing"), F.col("num").cast("long").alias("before"), F.col("entry_id").alias("before_id"), F.col("next").cast("long").alias("after"), "after_id", "group_size")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str], tolerance: float, reference: str = "right", how: str = "inner", never_none: bool = False) -> DataFrame:

@@ -99,7 +99,7 @@ def gaps(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     v = o.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     v = v.select(F.col("o_orderstatus").alias("vch_type"), F.col("o_orderkey").alias("number"), F.concat(F.lit("SO_"), F.col("o_orderkey").cast("string")).alias("entry_id"), F.col("o_orderdate").alias("date"), F.col("o_orderkey").alias("row_idx"))
-    return R.sequence_gaps(v, ["vch_type"])
+    return R.sequence_gaps(v, ["vch_type"], cfg=R.Config(gap_least=1, gap_digits=None))
 
 
 @query("g07_voucher_gaps", f"WITH {_SERIES} SELECT * FROM gaps")
