@@ -43,11 +43,12 @@ def round_amounts(legs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def duplicates(legs: DataFrame, keys: list, amount="amount", cfg: Config = Config()) -> DataFrame:
-    """Legs whose key occurs in other vouchers too; more than two vouchers escalate.
+    """Legs whose key occurs in other vouchers too; more than two vouchers escalate. Invoice rounding repeats by nature and is left alone.
 
     The vouchers of a key are grouped and joined back, so a frequent key is
     pre-aggregated before the shuffle and its join can be split.
     """
+    legs = legs.where(~F.coalesce(X.invoice_rounding("account", amount), F.lit(False)))
     keyed = legs.withColumns({f"k{i}": F.coalesce(k.cast("string"), F.lit("")) for i, k in enumerate(keys)})
     names = [f"k{i}" for i in range(len(keys))]
     groups = keyed.groupBy(*names).agg(F.collect_set("entry_id").alias("ids")).where(F.size("ids") > 1)

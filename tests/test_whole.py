@@ -33,3 +33,12 @@ def test_gaps_across_ranges(spark):
     df = spark.createDataFrame([(n, f"e{n}", dt.date(2024, 4, 1), "J", i) for i, n in enumerate(KEYS)], "number long, entry_id string, date date, vch_type string, row_idx long")
     got = R.sequence_gaps(df, ["vch_type"], cfg=R.Config(gap_digits=None)).groupBy("before", "before_id", "after", "after_id").agg(F.count("*").alias("n"), F.min("missing").alias("lo"), F.max("missing").alias("hi")).orderBy("before").collect()
     assert [tuple(r) for r in got] == [(a, f"e{a}", b, f"e{b}", b - a - 1, a + 1, b - 1) for a, b in zip(KEYS, KEYS[1:], strict=False) if b - a > 1]
+
+
+def test_invoice_rounding_repeats(spark):
+    """FIXTURES 1b, and rows without account or amount, which the exclusion must not drop."""
+    twice = [("Round Off/Discount", 0.2), ("Round Off/Discount", 6000.0), ("Bank Charges", 0.5), *((n, 0.3) for n in ("Rounding Off", "Round off", "Rounded Off", "ROUNDING")), (None, 0.2), ("Round Off", None), ("Round Off", -1.0)]
+    rows = [(f"e{2 * i + k}", 1, dt.date(2024, 4, 1), a, x, "Dr") for i, (a, x) in enumerate(twice) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "entry_id string, leg_num int, date date, account string, amount double, dr_cr string")
+    got = {r.entry_id for r in R.duplicates(df, [F.col("date"), F.col("account"), F.col("amount"), F.col("dr_cr")]).collect()}
+    assert got == {"e2", "e3", "e4", "e5", "e14", "e15", "e16", "e17", "e18", "e19"}
