@@ -15,8 +15,8 @@ from quillstone.operators import anomaly
 from quillstone.operators import rules as R
 
 
-def ledger_report(legs: DataFrame, label: str, keys: list | None = None, limit: int = 1000) -> tuple[dict, dict[str, DataFrame]]:
-    """(report, tables) of a ledger: flags of the leg rules together, gaps, first digits, anomalies; the report holds small aggregates only."""
+def ledger_report(legs: DataFrame, label: str, keys: list | None = None) -> tuple[dict, dict[str, DataFrame]]:
+    """(report, tables) of a ledger: flags of the leg rules together, gaps, first digits, anomalies; the report holds small aggregates, and all leg flags as a sorted frame that sinks.write_json streams."""
     keys = keys or [F.trim("date_raw") if "date_raw" in legs.columns else F.col("date"), F.trim("account"), F.col("amount"), F.col("dr_cr")]
     flags = R.converge(legs, [R.segregation(legs), R.round_amounts(legs), R.duplicates(legs, keys)])
     vouchers = legs.withColumns({"prefix": X.voucher_prefix("vch_no"), "number": X.voucher_number("vch_no")}).where("vch_type is not null and number is not null")
@@ -29,7 +29,7 @@ def ledger_report(legs: DataFrame, label: str, keys: list | None = None, limit:
         "dataset": {"total_legs": legs.count(), "report_label": label},
         "benford": None if benford is None else {**benford.asDict(), "mad_conformity": _band(benford.mad)},
         "summary": {"total_legs_flagged": one.n, "multi_signal": one.multi, "single_signal": one.n - one.multi, "by_severity": {s: counts.get(s, 0) for s in X.SEVERITIES[1:]}},
-        "ledger_leg_flags": [r.asDict(recursive=True) for r in flags.orderBy(F.col("signal_count").desc(), X.rank_of("severity").desc(), "entry_id", "leg_num").limit(limit).collect()],
+        "ledger_leg_flags": flags.orderBy(F.col("signal_count").desc(), X.rank_of("severity").desc(), "entry_id", "leg_num"),
     }
     tables = {"leg_flags": flags}
     if gaps is not None:

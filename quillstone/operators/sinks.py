@@ -45,11 +45,25 @@ def write_csv(df: DataFrame, path: str, export: str, label: str | None = None) -
 
 
 def write_json(report: dict, path: str) -> None:
-    """Whole or not at all: written beside the target and moved over it."""
+    """Whole or not at all: written beside the target and moved over it. A frame becomes the list of all its rows, of which one partition at a time is here."""
     guard(path)
     temp = f"{path}.{uuid.uuid4().hex}"
-    Path(temp).write_text(json.dumps(report, default=str, indent=1))
-    os.replace(temp, path)
+    try:
+        with open(temp, "w") as f:
+            f.write("{")
+            for i, (name, value) in enumerate(report.items()):
+                f.write(f"{',' if i else ''}\n {json.dumps(name)}: ")
+                if isinstance(value, DataFrame):
+                    f.write("[")
+                    for j, row in enumerate(value.toLocalIterator()):
+                        f.write(f"{',' if j else ''}\n  {json.dumps(row.asDict(recursive=True), default=str)}")
+                    f.write("\n ]")
+                else:
+                    f.write(json.dumps(value, default=str, indent=1))
+            f.write("\n}")
+        os.replace(temp, path)
+    finally:
+        Path(temp).unlink(missing_ok=True)
 
 
 def guard(path: str, protected: tuple[str, ...] = PROTECTED) -> None:

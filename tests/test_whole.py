@@ -1,12 +1,14 @@
 """Places where a query or an operator once did less than the whole job."""
 
 import datetime as dt
+import json
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.operators import pipelines, sinks
 from quillstone.operators import rules as R
 from quillstone.plans import registry
 
@@ -42,3 +44,14 @@ def test_invoice_rounding_repeats(spark):
     df = spark.createDataFrame(rows, "entry_id string, leg_num int, date date, account string, amount double, dr_cr string")
     got = {r.entry_id for r in R.duplicates(df, [F.col("date"), F.col("account"), F.col("amount"), F.col("dr_cr")]).collect()}
     assert got == {"e2", "e3", "e4", "e5", "e14", "e15", "e16", "e17", "e18", "e19"}
+
+
+def test_report_holds_all_flags(spark, tmp_path):
+    n = F.col("id")
+    legs = spark.range(1142).select(F.format_string("JV_%d", n).alias("entry_id"), F.lit(1).alias("leg_num"), F.lit(dt.date(2024, 4, 1)).alias("date"), F.lit("Fees").alias("account"), (n * 17 + 10_001).cast("decimal(18,2)").alias("amount"), F.lit("Dr").alias("dr_cr"), F.lit("U1").alias("entered_by"), F.lit("U1").alias("approved_by"), F.lit("Journal").alias("vch_type"), n.cast("string").alias("vch_no"))
+    report, _ = pipelines.ledger_report(legs, "FY")
+    sinks.write_json(report, str(tmp_path / "report.json"))
+    got = json.loads((tmp_path / "report.json").read_text())
+    flags = got["ledger_leg_flags"]
+    assert len(flags) == got["summary"]["total_legs_flagged"] == 1142 and len({f["entry_id"] for f in flags}) == 1142
+    assert [f["signal_count"] for f in flags] == sorted((f["signal_count"] for f in flags), reverse=True) and flags[0]["reasons"][0]["rule"]
