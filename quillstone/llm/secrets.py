@@ -26,7 +26,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Weak parts. identifiers: a short or temporary key id, or a named id; secrets: a quoted or named run of base64; endpoints: a URL.
 WEAK_ID = r"""\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{6,}|\b(?i:(?:access|client|account)[_-]?(?:key)?[_-]?id)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_-]{6,}"""
-WEAK_SECRET = r"""(?<![A-Za-z0-9+/])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Za-z+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"""
+#: A quoted run of 16 or more, or one after the name of a secret, with its padding; bare runs have 40 characters, or 16 to 23 of hex.
+_RUN = r"[A-Za-z0-9+/_-]{16,}+={0,2}+"
+_QUOTED = rf"""(?<=["'])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9]){_RUN}(?=["'])"""
+_NAMED = rf"""(?<=(?i:key|secret|token|passw(?:or)?d|pwd|credentials?|signature)["']?\x20{{0,4}}[:=]\x20{{0,4}}["']?)(?=[a-z+/_-]*+[A-Z0-9]){_RUN}"""
+WEAK_SECRET = rf"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{16}})(?:{_QUOTED}|{_NAMED})|(?<![A-Za-z0-9+/])(?=[a-z0-9+/]{{0,39}}[A-Z])(?=[A-Za-z+/]{{0,39}}[0-9])[A-Za-z0-9+/]{{40}}(?![A-Za-z0-9+/])|(?<![0-9A-Za-z])[0-9a-f]{{16,23}}(?![0-9A-Za-z])"""
 ENDPOINT = r"""\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
 #: Code points between the starts of parts that belong to one credential.
 SCOPE = 512
