@@ -51,6 +51,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+#: A group of digits of a number, and what may stand between two groups.
+_GROUP, _BETWEEN = re.compile(r"[0-9+().-]+"), re.compile(r"[ \u00a0().-]{1,4}")
+#: Digits of a number at most.
+DIGITS = 20
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -104,8 +108,8 @@ def _bucket(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
 
-def nodes(text: str) -> tuple[list[tuple[int, int]], list[int], list[str]]:
-    """(spans, token numbers, previous words) of the tokens that hold a digit or '@', without outer punctuation."""
+def nodes(text: str, base: list[list[tuple[int, int]]] | None = None) -> tuple[list[tuple[int, int]], list[int], list[str]]:
+    """(spans, token numbers, previous words) of the tokens that hold a digit or '@', without outer punctuation; the digit groups of a number are one node."""
     spans, numbers, before = [], [], []
     last = ""
     for k, m in enumerate(_TOKEN.finditer(text)):
@@ -118,7 +122,52 @@ def nodes(text: str) -> tuple[list[tuple[int, int]], list[int], list[str]]:
                 numbers.append(k)
                 before.append(last)
         last = token.lower()
-    return spans, numbers, before
+    return _grouped(text, spans, numbers, before, base) if base and (base[2] or base[3]) else (spans, numbers, before)
+
+
+def _grouped(text: str, spans, numbers, before, base):
+    """The nodes with the groups of each base number put together, and elsewhere those that spell a base number or its end again."""
+    known: dict[str, set[str]] = {}
+    for s, e in base[2] + base[3]:
+        digits = _NOT_DIGIT.sub("", text[s:e])
+        known.setdefault(digits[-7:], set()).add(digits)
+    label = labels_of(spans, [sorted(base[2] + base[3])])
+    groups = [_NOT_DIGIT.sub("", text[s:e]) if _GROUP.fullmatch(text, s, e) else "" for s, e in spans]
+    # whether a node goes on from the one before
+    near = [i > 0 and bool(groups[i] and groups[i - 1]) and label[i] == label[i - 1] and bool(_BETWEEN.fullmatch(text, spans[i - 1][1], spans[i][0])) for i in range(len(spans))]
+    first = list(range(len(spans)))
+    at = 0
+    for s, e in sorted(base[2] + base[3]):
+        while at < len(spans) and spans[at][1] <= s:
+            at += 1
+        i = at
+        while i + 1 < len(spans) and spans[i + 1][0] < e and near[i + 1]:
+            i += 1
+            first[i] = at
+    i = len(spans) - 1
+    while i > 0:
+        best, digits, j = i, groups[i], i
+        while not label[i] and near[j] and len(digits) < DIGITS:
+            j -= 1
+            digits = groups[j] + digits
+            if len(digits) >= 7 and any(d.endswith(digits.lstrip("0") or "-") for d in known.get(digits[-7:], ())):
+                best = j
+        for k in range(best + 1, i + 1):
+            first[k] = best
+        i = best - 1
+    out: tuple[list, list, list] = ([], [], [])
+    fewer = 0
+    for i, (s, e) in enumerate(spans):
+        if first[i] < i:
+            out[0][-1] = (out[0][-1][0], e)
+            fewer += 1
+            continue
+        out[0].append((s, e))
+        out[1].append(numbers[i] - fewer)
+        out[2].append(before[i])
+    # a bracket that the number closes itself belongs to it
+    out[0][:] = [(s - 1, e) if s and text[s - 1] == "(" and ")" in text[s:e] and "(" not in text[s:e] else (s, e) for s, e in out[0]]
+    return out
 
 
 def features(token: str, previous: str) -> list[int]:
@@ -213,7 +262,7 @@ class Field:
         out: list[list[tuple[int, int]]] = [[], [], [], []]
         if not any(base):
             return out
-        spans, numbers, before = nodes(text)
+        spans, numbers, before = nodes(text, base)
         label = labels_of(spans, base)
         if label.all() or not len(spans):
             return out
@@ -240,7 +289,7 @@ def train(texts: list[str], epochs: int = 200, rate: float = 0.5, l2: float = 1e
     chains, skips = np.ones((n, n)), np.ones((n, n))
     for text in texts:
         base = base_spans(text)
-        spans, numbers, before = nodes(text)
+        spans, numbers, before = nodes(text, base)
         label = labels_of(spans, base)
         rows += [features(text[s:e], p) for (s, e), p in zip(spans, before, strict=True)]
         ys += label.tolist()

@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from quillstone.llm import secrets
+from quillstone.llm import pii, secrets
+
+from .test_operators import prose
 
 DOCS = "doc_id long, text string"
 
@@ -31,3 +33,36 @@ def test_what_is_no_weak_secret(spark):
     hid = "access_key_id = ABCD1234 "
     rows = [(i, hid + t) for i, t in enumerate(['"a-plain-lower-case-name"', "some/ordinary/path/with/words", '"Short1"', "key = value", '"twenty words 1 A of prose here in quotes"'])]
     assert not any(r.linked for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect())
+
+
+@pytest.fixture(scope="module")
+def field():
+    r = random.Random(8)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    return pii.train([f"{prose(20, k)} mail{number(2)}@x{k}.example.com {prose(5, k)} +1 ({number(3)}) 555-{number(4)} {prose(9, k + 1)} 10.{k}.3.{k} {number(3)} {number(6)} {prose(4, k)}" for k in range(80)])
+
+
+@pytest.mark.parametrize(
+    "told,again",
+    [
+        ("+44 20 7946 0958", "020 7946 0958"), ("+44 20 7946 0958", "02079460958"), ("+44 20 7946 0958", "20-7946-0958"), ("+1 (415) 555-0100", "415 555-0100"), ("+1 (415) 555-0100", "(415) 555-0100"),
+        ("+1 415 555 0100", "415.555.0100"), ("+49 30 12 34 56 78", "030 12 34 56 78"), ("+33 1 23 45 67 89", "01 23 45 67 89"), ("+1 (017) 555-7713", "555-7713"),
+    ],
+)
+@pytest.mark.parametrize("around", ["call {} or later {} again", "call {} or 12 {} 34 again", "in 2021 {}, then {}."])
+def test_spaced_numbers(field, told, again, around):
+    text = around.format(told, again)
+    base = pii.base_spans(text)
+    spans, numbers, _ = pii.nodes(text, base)
+    label = pii.labels_of(spans, base)
+    said = [text[s:e] for s, e in spans]
+    assert [text[s:e] for s, e in base[3]] == [told] and (said.index(again), said.index(told)) in pii.edges(text, spans, numbers, label)[1]
+    if "12 {} 34" not in around and "." not in again:  # numbers beside it, or dots, may speak against a phone
+        assert [[text[s:e] for s, e in x] for x in field.added(text, base)] == [[], [], [], [again]]
+
+
+def test_other_numbers_stay_apart(field):
+    text = "call +44 20 7946 0958 or 4155550100 4155550101 and 12 34 56 78 90 12 or 020 7946 0959"
+    assert not any(field.added(text, pii.base_spans(text)))
+    base = pii.base_spans(text)
+    assert [text[s:e] for s, e in pii.nodes(text, base)[0]][:4] == ["+44 20 7946 0958", "4155550100", "4155550101", "12"]
