@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -148,26 +150,37 @@ def _flag_rows(found: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)], names=["sh", "flags"])
 
 
+def mounted(root: str, default: str | None = None) -> str | None:
+    """The mounted path of a folder (file:///x, file:/x, or /x where files are the default), or None."""
+    uri = urlsplit(root)
+    kind = uri.scheme or urlsplit(default or "file:///").scheme
+    path = unquote(uri.path)
+    return path if kind == "file" and not uri.netloc and path.startswith("/") and not path.startswith("//") else None
+
+
 def _sorted_shard(length: int, folder: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs: dict[bytes, bytes] = {}
-        for b in batches:
-            segs.update(zip(b.column("sh").to_pylist(), b.column("seg").to_pylist(), strict=True))
-        if not segs:
-            return
+        places: dict[bytes, tuple[int, int]] = {}
+
+        def pieces() -> Iterator[bytes]:
+            at = 0
+            for b in batches:
+                for sh, seg in zip(b.column("sh").to_pylist(), b.column("seg"), strict=True):
+                    if sh not in places:
+                        raw = seg.as_py()
+                        places[sh] = (at, len(raw) - length + 1)
+                        at += len(raw) + 1
+                        yield raw + bytes([SEPARATOR])
+
         scratch = Scratch(folder, SORT_MEMORY if folder else sys.maxsize)  # no file on a machine's own disk
         try:
-            total = sum(map(len, segs.values())) + len(segs)
-            text, at, places = scratch.array(total, np.uint8), 0, []
-            for sh, seg in segs.items():
-                text[at : at + len(seg)] = np.frombuffer(seg, np.uint8)
-                text[at + len(seg)] = SEPARATOR
-                places.append((sh, at, len(seg) - length + 1))
-                at += len(seg) + 1
-            segs.clear()
+            text = scratch.gathered(pieces())
+            if not places:
+                return
             flags = repeats(text, length, scratch)
-            for i in range(0, len(places), 5000):
-                yield _flag_rows([(sh, np.asarray(flags[a : a + n])) for sh, a, n in places[i : i + 5000]])
+            found = iter(places.items())
+            while some := list(islice(found, 5000)):
+                yield _flag_rows([(sh, np.asarray(flags[a : a + n])) for sh, (a, n) in some])
         finally:
             scratch.close()
 
@@ -268,8 +281,7 @@ def _removed(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs' columns without text, plus n_bytes, spans (removed byte ranges), n_removed and kept_sha256."""
     spark, parts = docs.sparkSession, partitions(docs)
-    root = shared_root(spark)
-    scratch = root.removeprefix("file://") if root.startswith("file:/") and not root.startswith("file:////") else None
+    scratch = mounted(shared_root(spark), spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = docs.withColumns({"text": text, "tk": F.unhex(F.md5(F.encode(text, "UTF-8"))), "did": F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63)))})
     long = known.where(F.octet_length("text") >= length).select("tk", "did", "text")

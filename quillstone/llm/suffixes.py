@@ -50,6 +50,23 @@ class Scratch:
             return np.empty(n, dtype)
         return np.memmap(self._file(), dtype, "w+", shape=(n,))
 
+    def gathered(self, pieces) -> np.ndarray:
+        """The bytes of all pieces one after another; in a file once they pass what is left of the bound."""
+        held, f, n = bytearray(), None, 0
+        for piece in pieces:
+            held += piece
+            if len(held) > (BATCH if f else self.memory - self.used):
+                f = f or self._file()
+                f.write(held)
+                n += len(held)
+                held = bytearray()
+        if f is None:
+            self.used += len(held)
+            return np.frombuffer(held, np.uint8)
+        f.write(held)
+        f.flush()
+        return np.memmap(f, np.uint8, "r+", shape=(n + len(held),))
+
     def close(self) -> None:
         for f in self.files:
             f.close()

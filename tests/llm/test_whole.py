@@ -3,9 +3,11 @@
 import base64
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillstone.llm import pii, secrets
+from quillstone.llm import pii, secrets, suffix_dedup, suffixes
 
 from .test_operators import prose
 
@@ -66,3 +68,23 @@ def test_other_numbers_stay_apart(field):
     assert not any(field.added(text, pii.base_spans(text)))
     base = pii.base_spans(text)
     assert [text[s:e] for s, e in pii.nodes(text, base)[0]][:4] == ["+44 20 7946 0958", "4155550100", "4155550101", "12"]
+
+
+@pytest.mark.parametrize("root,default,path", [("file:///a/b", None, "/a/b"), ("file:/a/b", "hdfs://n", "/a/b"), ("/a/b", "file:///", "/a/b"), ("/a/b", "hdfs://n:8020", None), ("hdfs://n/a", "file:///", None), ("file://host/a", None, None), ("file:////a", None, None)])
+def test_mounted(root, default, path):
+    assert suffix_dedup.mounted(root, default) == path
+
+
+def test_shards_are_streamed(tmp_path, monkeypatch):
+    """Segments beyond the bound go to a file while they arrive, one that comes again counts once, and the flags are those of a shard in memory."""
+    r = random.Random(3)
+    segs = [bytes(r.choice(b"abcdefgh ") for _ in range(400)) for _ in range(40)]
+    segs += [s[50:200] + b"tail" * 30 for s in segs[:9]] + segs[:5]
+    batches = [pa.RecordBatch.from_arrays([pa.array([s[:32] for s in part], pa.binary()), pa.array(part, pa.binary())], names=["sh", "seg"]) for part in (segs[:25], segs[25:])]
+    inside = [b.to_pylist() for b in suffix_dedup._sorted_shard(50, None)(iter(batches))]
+    monkeypatch.setattr(suffix_dedup, "SORT_MEMORY", 3_000)
+    sizes, gathered = [], suffixes.Scratch.gathered
+    monkeypatch.setattr(suffixes.Scratch, "gathered", lambda self, x: sizes.append(type(y := gathered(self, x))) or y)
+    assert [b.to_pylist() for b in suffix_dedup._sorted_shard(50, str(tmp_path))(iter(batches))] == inside and sizes == [np.memmap]
+    assert sum(map(len, inside)) >= 18 and not list(tmp_path.iterdir())
+    assert not list(suffix_dedup._sorted_shard(50, None)(iter([batches[0].slice(0, 0)])))
