@@ -33,6 +33,12 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of df whose names are not taken; case does not tell names apart."""
+    low = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 _staged: dict[str, SparkSession] = {}
 
 

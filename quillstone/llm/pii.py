@@ -1,45 +1,55 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Base spans (email, ip, card, phone) come from patterns and always stay. The
-field adds spans for tokens that no pattern takes but that a document's other
-tokens vouch for:
+field adds spans that no pattern takes:
 
 * nodes: the tokens of a document that hold a digit or '@'; every other token
-  is outside by definition, so no node stands for it;
-* node potentials: a multinomial logistic model of the token's shape and its
-  neighbours' words, trained here on a bounded sample whose labels are the
-  base spans (patterns are never a feature);
-* chain edges join nodes at most GAP tokens apart; skip edges join each node
-  to the first node of the document with the same or a similar key (the
-  token's letters and digits, or its last digits), the first that a pattern
-  took if there is one; edge potentials are trained piecewise from label
-  counts;
+  is outside by definition, so no node stands for it. The groups of a number
+  that a base span writes in groups, or that begins with '+', are one node;
+* node potentials: a multinomial logistic model of the token's shape and the
+  word before it, trained here on a bounded sample whose labels are the base
+  spans (patterns are never a feature; a token that a pattern takes only by
+  itself has no label). Each base span also gives near misses (a part over
+  255, a wrong check digit, too few digits) that are outside;
+* chain edges join nodes at most GAP tokens apart, with a table of label
+  counts; skip edges join each node to the one before it with the same or a
+  similar key (the token's letters and digits, or its last digits) and to the
+  first of that key which a pattern took. Agreement has one weight, learned
+  from pairs of one key: a form of a base span's number that no pattern takes
+  has the span's label beside it and is outside beside a token that is, as a
+  near miss is; pairs of the text count where a pattern took both or neither
+  (where it took one, the other's label is not known);
 * nodes in base spans are clamped; loopy sum-product with damping gives the
-  marginals, so a bare repetition of a known number takes its label.
-
-A token is added where the marginal of its label is at least CONFIDENT and a
-skip edge ties it to a base span, so a document without base spans is left
-alone. Null or empty text: no spans. Work is linear in the text: every
-pattern is anchored or possessive, and each node has one skip edge at most.
+  marginals, so a bare repetition of a known number takes its label, and so
+  does a number that its own form and neighbours give away.
+
+A node is added where the marginal of its label is at least CONFIDENT. Null
+or empty text and tables without rows: no spans. Repeated rows are each
+reported; equal spans of one kind count once. Columns of the input stay but
+for text and those named as a result (KIND_base, KIND_added), which give way.
+Work is linear in the text, however long: every pattern is anchored or
+possessive, and each node has four skip edges at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import table
+from quillstone.llm.common import others, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-#: Documents of the training sample at most, and the code points of each at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 6_000
+#: Documents of the training sample at most, of any length, and distinct rows that are learned from at most.
+SAMPLE_DOCS, SAMPLE_ROWS = 400, 50_000
 GAP, ROUNDS, DAMPING, CONFIDENT = 3, 12, 0.3, 0.9
 FEATURES = 512
 
@@ -104,6 +114,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+@lru_cache(1 << 16)
 def _bucket(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
 
@@ -122,7 +133,52 @@ def nodes(text: str, base: list[list[tuple[int, int]]] | None = None) -> tuple[l
                 numbers.append(k)
                 before.append(last)
         last = token.lower()
-    return _grouped(text, spans, numbers, before, base) if base and (base[2] or base[3]) else (spans, numbers, before)
+    if base and (base[2] or base[3]):
+        spans, numbers, before = _grouped(text, spans, numbers, before, base)
+    return _led(text, spans, numbers, before, base) if "+" in text else (spans, numbers, before)
+
+
+def _put_together(spans, numbers, before, first: list[int]):
+    """The nodes with node i joined to the one before it where first[i] < i."""
+    out: tuple[list, list, list] = ([], [], [])
+    fewer = 0
+    for i, (s, e) in enumerate(spans):
+        if first[i] < i:
+            out[0][-1] = (out[0][-1][0], e)
+            fewer += 1
+            continue
+        out[0].append((s, e))
+        out[1].append(numbers[i] - fewer)
+        out[2].append(before[i])
+    return out
+
+
+def _octets(token: str) -> bool:
+    parts = token.split(".")
+    return len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+
+
+def _led(text: str, spans, numbers, before, base):
+    """The nodes with the groups after a '+' put together that make 9 to 15 digits, where no base span is."""
+    label = labels_of(spans, base or [[], [], [], []])
+    first = list(range(len(spans)))
+    i = 0
+    while i < len(spans):
+        s, e = spans[i]
+        j, size = i, 0
+        if text[s] == "+" and not label[i] and _GROUP.fullmatch(text, s, e):
+            size = len(_NOT_DIGIT.sub("", text[s:e]))
+            while j + 1 < len(spans) and not label[j + 1] and _BETWEEN.fullmatch(text, spans[j][1], spans[j + 1][0]):
+                more = text[slice(*spans[j + 1])]
+                digits = len(_NOT_DIGIT.sub("", more))
+                if not _GROUP.fullmatch(more) or "+" in more or _octets(more) or size + digits > 15:
+                    break
+                j, size = j + 1, size + digits
+        if size >= 9:
+            for k in range(i + 1, j + 1):
+                first[k] = i
+        i = j + 1
+    return _put_together(spans, numbers, before, first)
 
 
 def _grouped(text: str, spans, numbers, before, base):
@@ -155,16 +211,7 @@ def _grouped(text: str, spans, numbers, before, base):
         for k in range(best + 1, i + 1):
             first[k] = best
         i = best - 1
-    out: tuple[list, list, list] = ([], [], [])
-    fewer = 0
-    for i, (s, e) in enumerate(spans):
-        if first[i] < i:
-            out[0][-1] = (out[0][-1][0], e)
-            fewer += 1
-            continue
-        out[0].append((s, e))
-        out[1].append(numbers[i] - fewer)
-        out[2].append(before[i])
+    out = _put_together(spans, numbers, before, first)
     # a bracket that the number closes itself belongs to it
     out[0][:] = [(s - 1, e) if s and text[s - 1] == "(" and ")" in text[s:e] and "(" not in text[s:e] else (s, e) for s, e in out[0]]
     return out
@@ -173,14 +220,13 @@ def _grouped(text: str, spans, numbers, before, base):
 def features(token: str, previous: str) -> list[int]:
     digits = _NOT_DIGIT.sub("", token[:200])
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", token[:60]))
-    parts = token.split(".")
     told = [
         "bias",
         f"n={min(len(digits), 24)}",
         f"luhn={len(digits) >= 13 and luhn(digits)}",
         f"at={'@' in token}",
         f"dots={min(token.count('.'), 5)}",
-        f"octets={len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)}",
+        f"octets={_octets(token)}",
         f"plus={token[:1] == '+'}",
         f"sep={'-' in token}{'(' in token}",
         f"shape={shape}",
@@ -212,19 +258,38 @@ def keys(token: str) -> list[str]:
 
 
 def edges(text: str, spans, numbers, label) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(chain, skip) pairs of nodes; a skip pair names the later or untaken node first."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if numbers[i + 1] - numbers[i] <= GAP]
-    first: dict[str, int] = {}
-    owned = [keys(text[s:e]) for s, e in spans]
-    for i, ks in enumerate(owned):
-        for key in ks:
-            if key not in first or (label[i] and not label[first[key]]):
-                first[key] = i
-    skip = []
-    for i, ks in enumerate(owned):
-        targets = sorted({first[k] for k in ks if first[k] != i}, key=lambda j: (not label[j], j))
-        if targets:
-            skip.append((i, targets[0]))
-    return chain, skip
+    groups: dict[str, list[int]] = {}
+    for i, (s, e) in enumerate(spans):
+        for key in keys(text[s:e]):
+            groups.setdefault(key, []).append(i)
+    skip = set()
+    for members in groups.values():
+        skip.update(zip(members[1:], members, strict=False))
+        taken = next((i for i in members if label[i]), None)
+        if taken is not None:
+            skip.update((i, taken) for i in members if i != taken and (taken, i) not in skip)
+    return chain, sorted(skip)
+
+
+def again(token: str) -> list[str]:
+    """Forms in which a text may repeat a number that a pattern took: its digits, and the last ten and seven of them."""
+    digits = _NOT_DIGIT.sub("", token)
+    own = set(keys(token))
+    return [x for x in dict.fromkeys((digits, digits[-10:], digits[-7:], f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"{digits[-7:-4]}-{digits[-4:]}")) if x != token and own & set(keys(x))]
+
+
+def near_misses(kind: int, token: str) -> list[str]:
+    """The token changed so that its pattern would not take it."""
+    if kind == 1:
+        local, _, domain = token.partition("@")
+        return [f"@{domain}", f"{local}@{domain.split('.')[0]}"]
+    if kind == 2 and _octets(token):
+        return [f"{int(token.split('.')[0]) + 256}.{token.split('.', 1)[1]}"]
+    if kind == 3 and token[-1].isdecimal():
+        return [token[:-1] + str((int(token[-1]) + 1) % 10)]
+    return [token[: len(token) // 2].rstrip(" ().-")] if kind == 4 else []
 
 
 class Field:
@@ -233,94 +298,137 @@ class Field:
     def __init__(self, node: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.node, self.chain, self.skip = node, chain, skip
 
-    def marginals(self, unary: np.ndarray, pairs: np.ndarray, pots: np.ndarray) -> np.ndarray:
-        """Loopy sum-product; pots[i] is the table of pairs[i]."""
-        n, m = len(unary), len(pairs)
-        if not m:
-            p = np.exp(unary - unary.max(1, keepdims=True))
-            return p / p.sum(1, keepdims=True)
-        src = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        dst = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        tables = np.exp(np.concatenate([pots, pots.transpose(0, 2, 1)]))
-        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
-        msg = np.zeros((2 * m, unary.shape[1]))
-        for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, dst, msg)
-            out = belief[src] - msg[back]
-            out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("es,est->et", out, tables) + 1e-30)
-            new -= new.max(1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
+    def marginals(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Loopy sum-product over both kinds of pairs; messages of one kind share its table."""
+        sides = [(a, b, np.exp(t)) for pairs, t in ((chain, self.chain), (skip, self.skip)) if len(pairs) for a, b in ((pairs[:, 0], pairs[:, 1]), (pairs[:, 1], pairs[:, 0]))]
+        msgs = [np.zeros((len(a), unary.shape[1])) for a, _, _ in sides]
         belief = unary.copy()
-        np.add.at(belief, dst, msg)
+        for _ in range(ROUNDS if sides else 0):
+            new = []
+            for i, (a, _, t) in enumerate(sides):
+                out = belief[a] - msgs[i ^ 1]  # sides of one kind stand beside each other
+                out = np.exp(out - out.max(1, keepdims=True)) @ t
+                out = np.log(out + 1e-30)
+                new.append(DAMPING * msgs[i] + (1 - DAMPING) * (out - out.max(1, keepdims=True)))
+            msgs = new
+            belief = unary.copy()
+            for (_, b, _), m in zip(sides, msgs, strict=True):
+                np.add.at(belief, b, m)
         p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
     def added(self, text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
         """Spans of each kind beside the base ones."""
         out: list[list[tuple[int, int]]] = [[], [], [], []]
-        if not any(base):
+        if not text or not _MARK.search(text):
             return out
         spans, numbers, before = nodes(text, base)
         label = labels_of(spans, base)
-        if label.all() or not len(spans):
+        if not len(spans) or label.all():
             return out
         chain, skip = edges(text, spans, numbers, label)
-        if not skip:
-            return out
-        unary = np.stack([self.node[features(text[s:e], p)].sum(0) for (s, e), p in zip(spans, before, strict=True)])
+        unary = self.node[np.array([features(text[s:e], p) for (s, e), p in zip(spans, before, strict=True)])].sum(1)
         unary = np.where(label[:, None] > 0, np.where(np.arange(len(LABELS)) == label[:, None], 0.0, -30.0), unary)
-        pairs = np.array(chain + skip)
-        pots = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
-        p = self.marginals(unary, pairs, pots)
-        tied = {i: j for i, j in skip}
-        for i in np.flatnonzero((label == 0) & (p.argmax(1) > 0)):
-            k = int(p[i].argmax())
-            if p[i, k] >= CONFIDENT and label[tied.get(int(i), i)] == k:
-                out[k - 1].append(spans[i])
+        p = self.marginals(unary, np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 2))
+        for i in np.flatnonzero((label == 0) & (p[:, 1:].max(1) >= CONFIDENT)):
+            out[int(p[i, 1:].argmax())].append(spans[i])
         return out
 
 
-def train(texts: list[str], epochs: int = 200, rate: float = 0.5, l2: float = 1e-3) -> Field:
-    """Node weights by multinomial logistic regression, edge tables from label counts of tied nodes (piecewise training)."""
+#: What is learned from a text: (0, features, 0, label) of nodes, (1, none, label, label) of chain pairs and (2, features, label, label of these) of skip pairs.
+Seen = tuple[int, tuple[int, ...], int, int]
+
+
+def observed(text: str) -> Counter[Seen]:
+    out: Counter[Seen] = Counter()
+    base = base_spans(text)
+    spans, numbers, before = nodes(text, base)
+    label = labels_of(spans, base).tolist()
+    told = [tuple(features(text[s:e], p)) for (s, e), p in zip(spans, before, strict=True)]
+    # what a pattern takes by itself, but not here, is of unknown label
+    out.update((0, f, 0, y) for f, y, (s, e) in zip(told, label, spans, strict=True) if y or not any(base_spans(text[s:e])))
+    chain, skip = edges(text, spans, numbers, label)
+    for i, j in chain:
+        out[1, (), label[i], label[j]] += 1
+        out[1, (), label[j], label[i]] += 1
+    for i, j in skip:
+        if bool(label[i]) == bool(label[j]):
+            out[2, told[i], label[j], label[i]] += 1
+            out[2, told[j], label[i], label[j]] += 1
+    for (s, e), p, y in zip(spans, before, label, strict=True):
+        if y:
+            for x in again(text[s:e]):
+                told_again = tuple(features(x, p))
+                out.update([(2, told_again, y, y), (2, told_again, 0, 0)])
+            for x in near_misses(y, text[s:e]):
+                told_wrong = tuple(features(x, p))
+                out.update([(0, told_wrong, 0, 0), (2, told_wrong, 0, 0)])
+    return out
+
+
+def fit(seen: dict[Seen, int], epochs: int = 300, rate: float = 2.0, l2: float = 1e-4, tie_l2: float = 1e-3) -> Field:
+    """Node weights by multinomial logistic regression, then the weight of agreement over a skip edge by the likelihood of a node's label given its partner's; the chain table from label counts."""
     n = len(LABELS)
-    rows, ys = [], []
-    chains, skips = np.ones((n, n)), np.ones((n, n))
-    for text in texts:
-        base = base_spans(text)
-        spans, numbers, before = nodes(text, base)
-        label = labels_of(spans, base)
-        rows += [features(text[s:e], p) for (s, e), p in zip(spans, before, strict=True)]
-        ys += label.tolist()
-        chain, skip = edges(text, spans, numbers, label)
-        for counts, found in ((chains, chain), (skips, skip)):
-            for i, j in found:
-                counts[label[i], label[j]] += 1
-                counts[label[j], label[i]] += 1
-    w = np.zeros((FEATURES, n))
-    if rows:
-        x, y = np.array(rows), np.eye(n)[ys]
+    chains, eye = np.ones((n, n)), np.eye(n)
+    for (kind, _, a, b), m in seen.items():
+        if kind == 1:
+            chains[a, b] += m
+
+    def taken(kind):
+        rows = sorted((x, m) for x, m in seen.items() if x[0] == kind)
+        return np.array([x[1] for x, _ in rows]), np.array([x[2] for x, _ in rows]), np.array([x[3] for x, _ in rows]), np.array([m for _, m in rows], float)
+
+    def softmax(z):
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    w, skips = np.zeros((FEATURES, n)), np.zeros((n, n))
+    x, _, y, m = taken(0)
+    if len(x):
+        m /= m.sum()
+        for _ in range(epochs):
+            g = l2 * w
+            np.add.at(g, x, ((softmax(w[x].sum(1)) - eye[y]) * m[:, None])[:, None, :])
+            w -= rate * g
+    x, a, y, m = taken(2)
+    if len(x):
+        m /= m.sum()
+        own, agree = w[x].sum(1), 0.0
         for _ in range(epochs):
-            z = w[x].sum(1)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = np.zeros_like(w)
-            np.add.at(g, x, ((p - y) / len(y))[:, None, :])
-            w -= rate * (g + l2 * w)
-    # tied nodes agree: the table starts from the identity and is weighed with what the sample shows
-    skips += 40 * np.eye(n)
-    lift = lambda c: np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True)))
-    return Field(w, np.clip(lift(chains), -2, 2), np.clip(lift(skips), -4, 6))
-
-
-def sample_texts(docs: DataFrame, text: str = "text") -> list[str]:
-    """At most SAMPLE_DOCS texts that hold digits, chosen by hash: the same for any partitioning."""
+            p = softmax(own + agree * eye[a])
+            agree -= rate * (((p[np.arange(len(a)), a] - (y == a)) * m).sum() + tie_l2 * agree)
+        skips = agree * eye
+    lift = np.log(chains * chains.sum() / (chains.sum(1, keepdims=True) * chains.sum(0, keepdims=True)))
+    return Field(w, np.clip(lift, -1, 1), skips)
+
+
+def train(texts: list[str]) -> Field:
+    seen: Counter[Seen] = Counter()
+    for text in texts:
+        seen.update(observed(text))
+    return fit(seen)
+
+
+def sample(docs: DataFrame, text: str = "text") -> dict[Seen, int]:
+    """What is learned from at most SAMPLE_DOCS texts with digits or '@', of any length, chosen by hash: the same for any partitioning. Counts alone reach the driver."""
     t = F.col(f"`{text}`")
-    some = docs.select(t.alias("t")).where(F.length("t").between(1, SAMPLE_CHARS) & F.col("t").rlike(r"[0-9]{2,}[.)-]?[0-9]|@")).withColumn("h", F.xxhash64("t"))
-    # hashes find the cut, so no partition sends more texts than are taken
+    some = docs.select(t.alias("t")).where(F.col("t").rlike(r"[0-9]{2,}[.)-]?[0-9]|@")).withColumn("h", F.xxhash64("t"))
+    # hashes find the cut, so no partition sends more than are taken
     least = [r.h for r in some.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
-    return sorted({r.t for r in some.where(F.col("h") <= least[-1]).select("t").distinct().collect()}) if least else []
+    if not least:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell in b.column("t"):
+                got = observed(cell.as_py())
+                kind, told, a, z = zip(*got, strict=True) if got else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(told, pa.list_(pa.int32())), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(got.values(), pa.int64())], names=["kind", "told", "a", "b", "n"])
+
+    texts = some.where(F.col("h") <= least[-1]).select("t").distinct()
+    rows = texts.mapInArrow(run, "kind int, told array<int>, a int, b int, n long").groupBy("kind", "told", "a", "b").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy(F.xxhash64("kind", "told", "a", "b"), "kind", "told", "a", "b").limit(SAMPLE_ROWS)
+    return {(r.kind, tuple(r.told), r.a, r.b): r.n for r in rows.collect()}
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -328,9 +436,10 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def find(docs: DataFrame, text: str = "text", field: Field | None = None) -> DataFrame:
     """docs without text, plus for each kind KIND_base and KIND_added: arrays of start and end in code points."""
-    field = field or train(sample_texts(docs, text))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
-    kind = ", ".join([*fields, *(f"{k}_{w} {SPANS}" for k in KINDS for w in ("base", "added"))])
+    field = field or fit(sample(docs, text))
+    results = [f"{k}_{w}" for k in KINDS for w in ("base", "added")]
+    keep = others(docs, text, *results)
+    kind = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{r} {SPANS}" for r in results)])
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,15 +452,18 @@ def find(docs: DataFrame, text: str = "text", field: Field | None = None) -> Dat
                 for k in range(len(KINDS)):
                     cols[2 * k].append([{"start": s, "end": e} for s, e in base[k]])
                     cols[2 * k + 1].append([{"start": s, "end": e} for s, e in more[k]])
-            keep = [c for c in b.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pair) for c in cols)], names=[*keep, *(f"{k}_{w}" for k in KINDS for w in ("base", "added"))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pair) for c in cols)], names=[*keep, *results])
+
+    return docs.select(*(F.col(f"`{c}`") for c in (*keep, text))).mapInArrow(run, kind)
+
 
-    return docs.mapInArrow(run, kind)
+def _written(kind: str, spans: F.Column) -> F.Column:
+    """array of kind:start:end; transform's function takes one parameter, as a second would be the place."""
+    return F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
 
 def _joined(kinds_to_cols) -> F.Column:
-    parts = [F.transform(F.sort_array(c), lambda x, k=k: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string"))) for k, c in kinds_to_cols]
-    return F.array_join(F.concat(*parts), ",")
+    return F.array_join(F.concat(*(_written(k, c) for k, c in kinds_to_cols)), ",")
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -83,8 +83,42 @@ def test_pii_fuzz():
 
 def test_pii_empty(spark, none):
     assert pii.find(none).count() == 0
-    extra = spark.createDataFrame([(1, "a@b.cd", "k")], "doc_id long, text string, spans string")
-    assert pii.find(extra).first().spans == "k"
+    assert pii.find(spark.createDataFrame([(1, None)], DOCS)).first().email_base == []
+    extra = spark.createDataFrame([(1, "a@b.cd", "k", "m", "n")], "doc_id long, text string, spans string, email_base string, PHONE_added string")
+    got = pii.find(extra)
+    assert got.columns == ["doc_id", "spans", *(f"{k}_{w}" for k in pii.KINDS for w in ("base", "added"))]
+    assert got.first().spans == "k" and [tuple(x) for x in got.first().email_base] == [(0, 6)]
+
+
+def written(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, found in zip(pii.KINDS, spans, strict=True) for s, e in sorted(found))
+
+
+def test_pii_query(spark, tmp_path):
+    """Every column of the query's own rows against the plain version; the spans hold the base ones and those that the field adds."""
+    taught = [f"{prose(20, k)} mail{k}@x{k}.example.com {prose(5, k)} +1 ({100 + k}) 555-{2000 + k} {prose(9, k + 1)} 10.{k}.3.{k} {prose(4, k)}" for k in range(60)]
+    rows = list(enumerate(PERSONAL * 2 + taught + ["y " * 200_000 + "a@b.cd +1 (826) 555-4081 190.137.223.204"]))
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    field = pii.fit(pii.sample(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    added = 0
+    for i, t in rows:
+        base = brute.pii(t)
+        more = field.added(t or "", base)
+        added += sum(map(len, more))
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == list(map(len, base))
+        assert got[i].base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        assert got[i].spans == written([b + a for b, a in zip(base, more, strict=True)])
+    assert len(got) == len(rows) and added > 0
+    assert got[len(rows) - 1].spans.split(",")[-1] == "phone:400007:400024"  # the pattern runs on into the address and fails
+
+
+def test_pii_repeats_agree():
+    """A number that is outside by its form does not become personal by being repeated."""
+    taught = [f"{prose(9, k)} {4000_0000_0000_0000 + 7919 * k} {prose(9, k + 1)} {4111111111111111} {prose(3, k)}" for k in range(60)]
+    field = pii.train(taught)
+    wrong = "4111111111111112"
+    assert not any(field.added(f"{prose(3, 1)} {wrong} {prose(5, 2)} {wrong} {wrong} {wrong}", [[], [], [], []]))
 
 
 # ---------------------------------------------------------------- 2
