@@ -107,13 +107,13 @@ def trim() -> None:
 
 # ---------------------------------------------------------------- Arrow text
 def utf8_view(arr) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty. offsets are relative to the returned bytes."""
+    """(bytes, offsets) of a column of strings or bytes; null counts as empty. offsets are relative to the returned bytes."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
+    if pa.types.is_binary(arr.type) or pa.types.is_string(arr.type):
+        arr = arr.cast(pa.large_binary())
     if arr.null_count:
-        arr = pc.fill_null(arr, "")
-    if not pa.types.is_large_string(arr.type):
-        arr = arr.cast(pa.large_string())
+        arr = pc.fill_null(arr, pa.scalar(b"" if pa.types.is_large_binary(arr.type) else "", arr.type))
     _, off, data = arr.buffers()
     offsets = np.frombuffer(off, np.int64, len(arr) + 1, arr.offset * 8) if off is not None and off.size else np.zeros(1, np.int64)
     if data is None or not len(offsets) or offsets[-1] == offsets[0]:

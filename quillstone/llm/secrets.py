@@ -7,10 +7,14 @@ interval join on (document, bin).
 
 Offsets without Python: the pieces between matches (split) and the matches
 themselves (regexp_extract_all) have lengths whose running sum gives each
-match's start in code points.
-
-Null and empty texts have no spans. Repeated rows are each reported. Rows are
-told apart by a row id, so equal or null ids never mix.
+match's start in code points. The sum runs over blocks of BLOCK matches, so a
+text of very many matches copies no long array for each of them.
+
+Null and empty texts have no spans; a table without rows gives none. Repeated
+rows are each reported, and equal spans of one kind count once. Rows are told
+apart by a row id, so equal or null ids never mix. Texts of any length are
+taken whole. Columns of the input stay, but for scan those named as a result
+(row_id, base, linked) give way; redact keeps every column.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import stage
+from quillstone.llm.common import others, stage
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,35 +38,61 @@ WEAK_SECRET = rf"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{16}})(?:{_QUOTED}|{_N
 ENDPOINT = r"""\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+"""
 #: Code points between the starts of parts that belong to one credential.
 SCOPE = 512
+#: Matches of a block of the running sum.
+BLOCK = 256
+_SPANS = "array<struct<s:int,r:int,k:string,e:int>>"
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _matches(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
-    """array<struct<s,e>> of the pattern's matches, leftmost and non-overlapping; keep(start, end, group) filters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group is not None else whole
-    sizes = F.zip_with(F.zip_with(F.slice(between, 1, F.size(whole)), whole, lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("n"))), inner, lambda x, g: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,g:int>>)").alias("out"))
-    folded = F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["n"]).alias("e"), x["g"].alias("g")))).alias("out"),
-        ),
+    """array<struct<s,e,g>> of the pattern's matches, leftmost and non-overlapping; keep filters by start, end and length of the group."""
+    # the piece before each match, and the match; the last piece has none
+    sizes = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, w: F.struct(F.length(b).alias("gap"), F.length(w).alias("n"), F.length(w).alias("g")))
+    if group is not None:
+        sizes = F.zip_with(sizes, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x, g: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), F.length(g).alias("g")))
+    spans = _once(F.filter(sizes, lambda x: x["n"].isNotNull()), lambda z: F.flatten(_block_spans(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(z) - 1, F.lit(0)) / BLOCK).cast("int")), lambda i: F.slice(z, i * BLOCK + 1, F.lit(BLOCK))))))
+    return F.filter(spans, keep) if keep is not None else spans
+
+
+def _block_spans(blocks: Column) -> Column:
+    """Blocks of (gap, n, g) to blocks of spans: each starts at the sum of those before it."""
+    begun = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), _none("array<struct<b:array<struct<gap:int,n:int,g:int>>,at:int>>").alias("out")),
+        lambda acc, b: F.struct(F.aggregate(b, acc["at"], lambda n, x: n + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(b.alias("b"), acc["at"].alias("at")))).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.filter(folded, keep) if keep is not None else folded
+
+    def spans(block: Column) -> Column:
+        return F.aggregate(
+            block["b"],
+            F.struct(block["at"].alias("at"), _none("array<struct<s:int,e:int,g:int>>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["n"]).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["n"]).alias("e"), x["g"].alias("g")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    return F.transform(begun, spans)
 
 
 def _as(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("r"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
 
-def found_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (array of start, rank, kind, end) and weak (the same for weak parts)."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,g:int>>)")
+def found_parts(t: Column) -> dict[str, Column]:
+    """base (array of start, rank, kind, end) and weak (the same for weak parts) of a text."""
+    t = F.coalesce(t, F.lit(""))
+    none = _none("array<struct<s:int,e:int,g:int>>")
 
     def cheap(mark: Column, spans: Column) -> Column:
         return F.when(mark, spans).otherwise(none)
@@ -73,10 +103,10 @@ def found_parts(docs: DataFrame, text: str = "text") -> DataFrame:
     weak_id = cheap(t.rlike(WEAK_ID), _matches(t, WEAK_ID))
     weak_secret = cheap(t.rlike(WEAK_SECRET), _matches(t, WEAK_SECRET))
     endpoint = cheap(t.contains("://"), _matches(t, ENDPOINT))
-    return docs.withColumns({
+    return {
         "base": F.sort_array(F.concat(_as(assign, "assign", 0), _as(access, "access", 1), _as(hexes, "hex", 2))),
         "weak": F.concat(_as(weak_id, "link_id", 3), _as(weak_secret, "link_secret", 4), _as(endpoint, "link_endpoint", 5)),
-    })
+    }
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -103,16 +133,20 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return hit.groupBy("row_id").agg(F.collect_set("p").alias("linked"))
 
 
+def _parts(docs: DataFrame, text: str, kept: list[str], scope: int) -> DataFrame:
+    """row_id, row (a struct of the kept columns), base and linked of each row. All patterns are tried once; rows without weak parts need no join."""
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.struct(F.lit(None).alias("none"))
+    cells = {"row_id": F.monotonically_increasing_id(), "row": row, **found_parts(F.col(f"`{text}`"))}
+    found = stage(docs.select(*(c.alias(k) for k, c in cells.items())), "secrets")
+    plain = found.where(F.size("weak") == 0).withColumn("linked", _none(_SPANS))
+    mixed = found.where(F.size("weak") > 0).join(linked(found.select("row_id", "base", "weak"), scope), "row_id", "left").withColumn("linked", F.coalesce("linked", _none(_SPANS)))
+    return plain.unionByName(mixed).select("row_id", "row", "base", "linked")
+
+
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs' other columns with row_id, base and linked spans (arrays of start s, rank r, kind k, end e); text is left out."""
-    found = found_parts(docs.withColumn("row_id", F.monotonically_increasing_id()), text)
-    found = stage(found.drop(text), "secrets")
-    links = linked(found, scope)
-    empty = F.expr("cast(array() as array<struct<s:int,r:int,k:string,e:int>>)")
-    # rows without weak parts need no join
-    plain = found.where(F.size("weak") == 0).withColumn("linked", empty)
-    mixed = found.where(F.size("weak") > 0).join(links, "row_id", "left").withColumn("linked", F.coalesce("linked", empty))
-    return plain.unionByName(mixed).drop("weak")
+    kept = others(docs, text, "row_id", "base", "linked")
+    return _parts(docs, text, kept, scope).select(*(F.col(f"row.`{c}`") for c in kept), "row_id", "base", "linked")
 
 
 def joined(spans: Column) -> Column:
@@ -133,24 +167,18 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """docs with every base or linked span of text replaced by mark and n_chars counted anew; rows and columns stay.
-
-    Only rows with weak parts are written and joined; the rest are changed where they stand.
-    """
-    found = found_parts(docs)
-
-    def changed(rows: DataFrame, spans: Column) -> DataFrame:
-        hit = F.size(spans) > 0
-        out = rows.withColumn("text", F.when(hit, _without(F.col("text"), spans, mark)).otherwise(F.col("text")))
-        if "n_chars" in docs.columns:
-            out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-    plain = changed(found.where(F.size("weak") == 0), F.col("base"))
-    mixed = stage(found.where(F.size("weak") > 0).withColumn("row_id", F.monotonically_increasing_id()), "redact")
-    empty = F.expr("cast(array() as array<struct<s:int,r:int,k:string,e:int>>)")
-    joint = mixed.join(linked(mixed.select("row_id", "base", "weak"), scope), "row_id", "left").withColumn("spans_", F.sort_array(F.concat("base", F.coalesce("linked", empty))))
-    return plain.unionByName(changed(joint, F.col("spans_")))
+    """docs with every base or linked span of text replaced by mark and n_chars counted anew; rows and columns stay, in their order."""
+    found = _parts(docs, "text", docs.columns, scope).select("row", F.sort_array(F.concat("base", "linked")).alias("spans"))
+    text, hit = F.col("row.text"), F.size("spans") > 0
+    changed = found.select("row", hit.alias("hit"), F.when(hit, _without(text, F.col("spans"), mark)).otherwise(text).alias("new"))
+
+    def cell(c: str) -> Column:
+        old = F.col(f"row.`{c}`")
+        if c == "n_chars":
+            return F.when(F.col("hit"), F.length("new").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return F.col("new").alias(c) if c == "text" else old.alias(c)
+
+    return changed.select(*map(cell, docs.columns))
 
 
 def op10_secret_links(spark, sf_dir: str) -> DataFrame:

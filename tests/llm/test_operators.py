@@ -144,10 +144,11 @@ def test_suffix_order():
         assert memory.tolist() == [i + cap <= n and count[b[i : i + cap]] > 1 for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_suffix_dedup(docs, hot):
+@pytest.mark.parametrize("hot,copied", [(256, 10_000), (1, 10_000), (1, 20)])
+def test_suffix_dedup(docs, hot, copied):
+    """With every hash that has two segments common, and with each text of three copies joined apart, as without."""
     t = texts()
-    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(docs, hot=hot).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(docs, hot=hot, copied=copied).collect()}
     raw, masks = brute.removed(t, 400)
     for i, (b, mask) in enumerate(zip(raw, masks, strict=True)):
         kept = bytes(x for x, gone in zip(b, mask, strict=True) if not gone)
@@ -158,8 +159,22 @@ def test_suffix_dedup(docs, hot):
 
 def test_suffix_dedup_edges(spark, none):
     assert suffix_dedup.repeated_spans(none).count() == 0
-    same = spark.createDataFrame([(1, "y" * 500, "a"), (1, "y" * 500, "a"), (None, None, "b"), (2, "short", "c"), (2, "short", "c")], "doc_id long, text string, spans_ string")
-    assert sorted(r.n_removed for r in suffix_dedup.repeated_spans(same).collect()) == [0, 0, 0, 500, 500]
+    same = spark.createDataFrame([(1, "y" * 500, "a"), (1, "y" * 500, "a"), (None, None, "b"), (2, "short", "c"), (2, "short", "c")], "doc_id long, text string, Spans string").withColumns({"tk": F.lit("t"), "did": F.lit(7), "row": F.lit("r")})
+    found = suffix_dedup.repeated_spans(same)
+    assert found.columns == ["doc_id", "tk", "did", "row", "n_bytes", "spans", "n_removed", "kept_sha256"]
+    assert sorted((r.n_removed, r.tk, r.did, r.row) for r in found.collect()) == [(n, "t", 7, "r") for n in (0, 0, 0, 500, 500)]
+
+
+def test_suffix_dedup_common_passage(spark):
+    """A passage in many texts, shorter than a window, between other words each time, and one that is longer."""
+    short, long = prose(45, 5000), prose(120, 5001)
+    t = [f"{prose(60, 6000 + i)} {short} {prose(60, 7000 + i // 2)} {long if i % 5 == 0 else ''}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(t)), DOCS).repartition(4)
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(df, hot=8).collect()}
+    raw, masks = brute.removed(t, 400)
+    for i, (b, mask) in enumerate(zip(raw, masks, strict=True)):
+        assert (got[i].n_removed, got[i].kept_sha256) == (sum(mask), hashlib.sha256(bytes(x for x, gone in zip(b, mask, strict=True) if not gone)).hexdigest())
+    assert sum(map(sum, masks)) > 5_000
 
 
 # ---------------------------------------------------------------- 3
@@ -437,10 +452,31 @@ SECRETS = [
 
 
 def test_secrets(spark):
-    df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(SECRETS * 2)], DOCS + ", weak_ string")
-    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    df = spark.createDataFrame([(i, t, "b", "w", "r") for i, t in enumerate(SECRETS * 2)], DOCS + ", Base string, weak string, row string")
+    found = secrets.scan(df)
+    assert found.columns == ["doc_id", "weak", "row", "row_id", "base", "linked"]
+    got = {r.doc_id: r for r in found.collect()}
     for i, t in enumerate(SECRETS * 2):
         assert [(x.s, x.r, x.k, x.e) for x in got[i].base] == brute.secrets(t), t
+        assert got[i].weak == "w" and got[i].row == "r"
+
+
+def test_secrets_query(spark, tmp_path):
+    """Every column of the query's own rows; the spans are the base ones and those linked, in order."""
+    many = " ".join(f"token=abcdef{k:03d} {'é' * (k % 7)} AKIA{'B' * 16}" for k in range(700))
+    pair = "access_key_id = ABCD1234 and wJalrXUtnFEMI0K7MDENG1bPxRfiCYEXAMPLEKEY at https://db.example.com/x"
+    rows = list(enumerate([*SECRETS, many, "w " * 300_000 + "secret: zzzzzzz", pair, pair]))
+    spark.createDataFrame([*rows, (None, "token=abcdefg")], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op10_secret_links(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 1 and got[None].spans == "assign:0:13"
+    for i, t in rows:
+        base = brute.secrets(t)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+        assert got[i].base_sha256 == brute.digest(base)
+        spans = [tuple(x.split(":")) for x in got[i].spans.split(",") if x]
+        assert [(int(s), k, int(e)) for k, s, e in spans if not k.startswith("link_")] == [(s, k, e) for s, _, k, e in base]
+        assert [int(s) for _, s, _ in spans] == sorted(int(s) for _, s, _ in spans)
+        assert [k for k, _, _ in spans if k.startswith("link_")] == (["link_id", "link_secret", "link_endpoint"] if t == pair else [])
 
 
 def test_secret_links(spark):
@@ -452,8 +488,9 @@ def test_secret_links(spark):
 
 
 def test_redact(spark, none):
-    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], DOCS + ", n_chars long")
+    df = spark.createDataFrame([(i, t, len(t or ""), "b", "w", i, "r") for i, t in enumerate(SECRETS)], DOCS + ", n_chars long, base string, weak string, row_id long, row string")
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert secrets.redact(df).columns == df.columns and all((r.base, r.weak, r.row_id, r.row) == ("b", "w", r.doc_id, "r") for r in got.values())
     for i, t in enumerate(SECRETS):
         if not brute.secrets(t):
             assert got[i].text == t
