@@ -1,18 +1,23 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-Words are symbols (64-bit hashes of the lower-cased bytes). Patterns are the
-windows of the benchmark's items, one table for each pattern length m: a block
-of the last B words looks up how far the search may jump; where the jump is 0,
-the block's hash picks a bucket of patterns and each is compared word by word.
-All stretches of a batch advance together, so a jump is one numpy operation
-over many cursors.
+Words are symbols: 64-bit hashes of the lower-cased bytes steer the search,
+and the bytes themselves decide. Patterns are the windows of the benchmark's
+items, one table for each pattern length m: a block of the last B words looks
+up how far the search may jump; where the jump is 0, the block's hash picks a
+bucket of patterns, the hash of the other words picks its members, and the
+words of each are compared byte by byte. A pattern is a place in the items'
+words, so no word is stored twice. All stretches of a batch advance together,
+so a jump is one numpy operation over many cursors.
 
 Patterns are bounded: items are cut into blocks of at most PATTERN_BYTES and
 the documents are searched once for each block, whose hits are merged.
 
 Null or empty texts and items have no words and no hits; an item of fewer
 words than a window is one window; repeated items count by item id; no
-benchmark rows: nothing is hit. Each document row gives one row.
+benchmark rows: nothing is hit. Each document row, repeated ones too, gives
+one row, however long its text; a table without rows gives none. Columns of
+the input stay, but for search text and those named as a result (n_words,
+n_hit, hit_runs, items) give way; clean keeps every column.
 """
 
 from __future__ import annotations
@@ -25,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ALNUM, column, mix, stage, table, text_chunks, utf8_view, word_hashes, words
+from quillstone.llm.common import ALNUM, column, drop_staged, mix, others, stage, table, text_chunks, utf8_view, word_hashes, words
 
 WINDOW = 10
 #: Benchmark text that one set of tables is built from, at most.
-PATTERN_BYTES = 32_000_000
+PATTERN_BYTES = 8_000_000
 #: Words of a stretch that one cursor searches.
 STRETCH = 512
+#: Pairs of a place and a pattern that are compared at once.
+COMPARED = 200_000
+_LOWER_BYTE = np.arange(256, dtype=np.uint8)
+_LOWER_BYTE[65:91] += 32
 _STEP = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -43,78 +52,123 @@ def _block(wh: np.ndarray, end: np.ndarray, b: int) -> np.ndarray:
     return mix(h)
 
 
-class WuManber:
-    """Shift and bucket tables for patterns of m words each; owners[i] is the item of pattern i."""
+class Words:
+    """The words of some texts: places in their bytes, hashes, and the row of each."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.buf = buf
+        self.start, self.end, self.row = words(buf, off, ALNUM)
+        self.hash = word_hashes(buf, self.start, self.end)
+        self.count = np.bincount(self.row, minlength=len(off) - 1)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+def equal_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words i of a and j of b are the same but for the case of A-Z."""
+    size = a.end[i] - a.start[i]
+    same = size == b.end[j] - b.start[j]
+    i, j, size = i[same], j[same], size[same]
+    if len(i):
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        differ = _LOWER_BYTE[a.buf[np.repeat(a.start[i], size) + step]] != _LOWER_BYTE[b.buf[np.repeat(b.start[j], size) + step]]
+        same[same] = ~np.logical_or.reduceat(differ, first)
+    return same
 
-    def __init__(self, patterns: np.ndarray, owners: np.ndarray):
-        n, self.m = patterns.shape
-        self.b = min(2, self.m)
-        bits = max(10, int(np.ceil(np.log2(max(n * self.m, 2)))) + 3)
+
+def equal_windows(a: Words, i: np.ndarray, b: Words, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words from i of a and from j of b are the same."""
+    left = np.arange(len(i))
+    for k in range(m):
+        left = left[equal_words(a, i[left] + k, b, j[left] + k)]
+    out = np.zeros(len(i), bool)
+    out[left] = True
+    return out
+
+
+class WuManber:
+    """Shift and bucket tables for the windows of m of the items' words that begin at first; owners[i] is the item of window i."""
+
+    def __init__(self, items: Words, first: np.ndarray, owners: np.ndarray, m: int):
+        self.items, self.m, self.b = items, m, min(2, m)
+        whole, last = _block(items.hash, first + m - 1, m), _block(items.hash, first + m - 1, self.b)
+        # buckets by the last block; in one, members by the hash of all words and the item
+        order = np.lexsort((owners, whole, last))
+        first, owners, whole, last = first[order], owners[order], whole[order], last[order]
+        twice = np.flatnonzero((whole[1:] == whole[:-1]) & (last[1:] == last[:-1]) & (owners[1:] == owners[:-1])) + 1
+        keep = np.ones(len(first), bool)
+        keep[twice[equal_windows(items, first[twice], items, first[twice - 1], m)]] = False
+        self.first, self.owners, self.whole, self.suffix = first[keep], owners[keep], whole[keep], last[keep]
+        bits = max(10, int(np.ceil(np.log2(max(len(self.first) * m, 2)))) + 3)
         self.mask = np.uint64((1 << min(bits, 24)) - 1)
-        self.shift = np.full(int(self.mask) + 1, self.m - self.b + 1, np.int64)
-        flat, row = patterns.ravel(), np.arange(n) * self.m
-        for j in range(self.b - 1, self.m):
-            np.minimum.at(self.shift, (_block(flat, row + j, self.b) & self.mask).astype(np.int64), self.m - 1 - j)
-        last = _block(flat, row + self.m - 1, self.b)
-        order = np.argsort(last, kind="stable")
-        self.suffix, self.patterns, self.owners = last[order], patterns[order], owners[order]
-
-    def search(self, wh: np.ndarray, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, item) of each occurrence; row_end[i]: the end of word i's row."""
-        m, n = self.m, len(wh)
+        self.shift = np.full(int(self.mask) + 1, m - self.b + 1, np.uint8)
+        for j in range(self.b - 1, m):
+            np.minimum.at(self.shift, (_block(items.hash, self.first + j, self.b) & self.mask).astype(np.int64), np.uint8(m - 1 - j))
+
+    def _members(self, suffix: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the members of each bucket that have the given hash."""
+        ends = []
+        for side in ("left", "right"):
+            lo, hi = np.searchsorted(self.suffix, suffix, "left"), np.searchsorted(self.suffix, suffix, "right")
+            while (more := np.flatnonzero(lo < hi)).size:
+                mid = (lo[more] + hi[more]) // 2
+                up = self.whole[mid] < whole[more] if side == "left" else self.whole[mid] <= whole[more]
+                lo[more[up]], hi[more[~up]] = mid[up] + 1, mid[~up]
+            ends.append(lo)
+        return ends[0], ends[1]
+
+    def search(self, docs: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) of each occurrence."""
+        m, wh = self.m, docs.hash
         # cursors stand on the last word of a window; a stretch ends where the next begins or its row does
-        row_first = np.flatnonzero(np.concatenate([[True], row_end[1:] != row_end[:-1]])) if n else np.zeros(0, int)
-        size = np.diff(np.append(row_first, n))
-        pieces = -(-size // STRETCH)
-        k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = np.repeat(row_first, pieces) + k * STRETCH
+        pieces = -(-docs.count // STRETCH)
+        row = np.repeat(np.arange(len(pieces)), pieces)
+        begin = docs.begin[row] + (np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]) * STRETCH
         pos = begin + m - 1
-        stop = np.minimum(begin + STRETCH + m - 1, row_end[begin] if len(begin) else begin)
-        at, items = [], []
+        stop = np.minimum(begin + STRETCH + m - 1, (docs.begin + docs.count)[row])
+        at, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         live = pos < stop
         pos, stop = pos[live], stop[live]
         while len(pos):
             block = _block(wh, pos, self.b)
-            jump = self.shift[(block & self.mask).astype(np.int64)]
+            jump = self.shift[(block & self.mask).astype(np.int64)].astype(np.int64)
             zero = np.flatnonzero(jump == 0)
             if len(zero):
-                lo, hi = np.searchsorted(self.suffix, block[zero], "left"), np.searchsorted(self.suffix, block[zero], "right")
-                first = pos[zero] - m + 1
-                while True:  # one member of every bucket at a time
-                    more = np.flatnonzero(lo < hi)
-                    if not len(more):
-                        break
-                    lo, hi, first = lo[more], hi[more], first[more]
-                    same = np.ones(len(lo), bool)
-                    for j in range(m):
-                        same &= self.patterns[lo, j] == wh[first + j]
-                    at.append(first[same])
-                    items.append(self.owners[lo[same]])
-                    lo = lo + 1
+                lo, hi = self._members(block[zero], _block(wh, pos[zero], m))
+                size = np.cumsum(hi - lo)
+                a = 0
+                while a < len(zero):  # direct comparison, some pairs at a time
+                    z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + COMPARED, "right")))
+                    n = hi[a:z] - lo[a:z]
+                    member = np.repeat(lo[a:z] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    place = np.repeat(pos[zero[a:z]] - m + 1, n)
+                    same = equal_windows(docs, place, self.items, self.first[member], m)
+                    at.append(place[same])
+                    items.append(self.owners[member[same]])
+                    a = z
             pos = pos + np.maximum(jump, 1)
             live = pos < stop
             pos, stop = pos[live], stop[live]
-        return (np.concatenate(at), np.concatenate(items)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate(at), np.concatenate(items)
 
 
 def compile_items(texts: pa.Array, window: int = WINDOW) -> list[WuManber]:
     """Tables for each pattern length; owners are positions in texts."""
-    buf, off = utf8_view(texts)
-    s, e, rows = words(buf, off, ALNUM)
-    wh = word_hashes(buf, s, e)
-    count = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, int)
-    begin = np.cumsum(count) - count
+    items = Words(*utf8_view(texts))
     tables = []
     for m in range(1, window + 1):
         if m < window:
-            first, owner = begin[count == m], np.flatnonzero(count == m)
+            owner = np.flatnonzero(items.count == m)
+            first = items.begin[owner]
         else:
-            runs = np.maximum(count - window + 1, 0)
-            owner = np.repeat(np.arange(len(count)), runs)
-            first = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + begin[owner]
+            runs = np.maximum(items.count - window + 1, 0)
+            owner = np.repeat(np.arange(len(runs)), runs)
+            first = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + items.begin[owner]
         if len(first):
-            both = np.unique(np.concatenate([wh[first[:, None] + np.arange(m)], owner[:, None].astype(np.uint64)], 1), axis=0)
-            tables.append(WuManber(both[:, :-1], both[:, -1].astype(np.int64)))
+            tables.append(WuManber(items, first, owner, m))
     return tables
 
 
@@ -125,40 +179,35 @@ def _searcher(tables: list[WuManber], names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [c for c in batch.schema.names if c != "text"]
             for a, z, buf, off in text_chunks(batch.column("text")):
-                n = z - a
-                s, e, rows = words(buf, off, ALNUM)
-                wh = word_hashes(buf, s, e)
-                count = np.bincount(rows, minlength=n)
-                row_end = np.cumsum(count)[rows] if len(rows) else np.zeros(0, np.int64)
-                delta = np.zeros(len(wh) + 1, np.int64)
-                hit_rows, hit_items = [], []
+                n, w = z - a, Words(buf, off)
+                delta = np.zeros(len(w) + 1, np.int64)
+                hit_rows, hit_items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for t in tables:
-                    at, items = t.search(wh, row_end)
+                    at, items = t.search(w)
                     np.add.at(delta, at, 1)
                     np.add.at(delta, at + t.m, -1)
-                    hit_rows.append(rows[at])
-                    hit_items.append(items)
+                    hit_rows.append(w.row[at])
+                    hit_items.append(sorted_rank[items])
                 hit = np.cumsum(delta)[:-1] > 0
-                # maximal runs of hit words, as code that stays in bytes of the row
+                # maximal runs of hit words, in words and in bytes of the row
                 edge = np.flatnonzero(hit)
                 new = np.ones(len(edge), bool)
-                new[1:] = (edge[1:] != edge[:-1] + 1) | (rows[edge[1:]] != rows[edge[:-1]])
+                new[1:] = (edge[1:] != edge[:-1] + 1) | (w.row[edge[1:]] != w.row[edge[:-1]])
                 run_first = edge[new]
                 run_last = edge[np.append(np.flatnonzero(new)[1:] - 1, len(edge) - 1)] if len(edge) else edge
-                run_row = rows[run_first]
+                run_row = w.row[run_first]
                 lists = np.concatenate([[0], np.cumsum(np.bincount(run_row, minlength=n))]).astype(np.int32)
                 spans = pa.StructArray.from_arrays(
-                    [pa.array(run_first - (np.cumsum(count) - count)[run_row]), pa.array(run_last + 1 - (np.cumsum(count) - count)[run_row]), pa.array(s[run_first] - off[run_row]), pa.array(e[run_last] - off[run_row])],
+                    [pa.array(run_first - w.begin[run_row]), pa.array(run_last + 1 - w.begin[run_row]), pa.array(w.start[run_first] - off[run_row]), pa.array(w.end[run_last] - off[run_row])],
                     names=["first_word", "end_word", "first_byte", "end_byte"],
                 )
-                pairs = np.unique(np.stack([np.concatenate([*hit_rows, np.zeros(0, np.int64)]), sorted_rank[np.concatenate([*hit_items, np.zeros(0, np.int64)]).astype(int)]], 1), axis=0) if tables else np.zeros((0, 2), np.int64)
-                item_lists = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0].astype(int), minlength=n))]).astype(np.int32)
-                item_values = pa.array([in_order[int(r)] for r in pairs[:, 1]], pa.string())
+                pairs = np.unique(np.stack([np.concatenate(hit_rows), np.concatenate(hit_items)], 1), axis=0)
+                item_lists = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=n))]).astype(np.int32)
+                item_values = pa.array([in_order[r] for r in pairs[:, 1].tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(a, n) for c in keep), pa.array(count.astype(np.int64)), pa.array(np.bincount(rows, weights=hit, minlength=n).astype(np.int64)), pa.ListArray.from_arrays(lists, spans), pa.ListArray.from_arrays(item_lists, item_values)],
-                    names=[*keep, "n_words", "n_hit", "hit_runs", "items"],
+                    [*(c.slice(a, n) for c, k in zip(batch.columns, batch.schema.names, strict=True) if k != "text"), pa.array(w.count.astype(np.int64)), pa.array(np.bincount(w.row, weights=hit, minlength=n).astype(np.int64)), pa.ListArray.from_arrays(lists, spans), pa.ListArray.from_arrays(item_lists, item_values)],
+                    names=[*(k for k in batch.schema.names if k != "text"), "n_words", "n_hit", "hit_runs", "items"],
                 )
 
     return run
@@ -171,12 +220,10 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for a, z, buf, off in text_chunks(b.column("text")):
-                    s, e, rows = words(buf, off, ALNUM)
-                    wh = word_hashes(buf, s, e)
-                    row_end = np.cumsum(np.bincount(rows, minlength=z - a))[rows] if len(rows) else np.zeros(0, np.int64)
+                    w = Words(buf, off)
                     fine = np.ones(z - a, bool)
                     for t in tables:
-                        fine[rows[t.search(wh, row_end)[0]]] = False
+                        fine[w.row[t.search(w)[0]]] = False
                     yield b.slice(a, z - a).filter(pa.array(fine))
 
         return run
@@ -202,27 +249,23 @@ def benchmark_blocks(items: DataFrame, limit: int = PATTERN_BYTES) -> Iterator[t
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = PATTERN_BYTES) -> DataFrame:
     """docs without text, plus n_words, n_hit, hit_runs (words and bytes of the text) and items (sorted item ids)."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    kind = ", ".join([*fields, "n_words long", "n_hit long", f"hit_runs {HIT_RUNS}", "items array<string>"])
+    keep = others(docs, "text", "n_words", "n_hit", "hit_runs", "items")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("none"))
+    told = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("number"), "text")
+    kind = f"row {told.schema['row'].dataType.simpleString()}, number long, n_words long, n_hit long, hit_runs {HIT_RUNS}, items array<string>"
     blocks = benchmark_blocks(items, limit)
-    names, texts = next(blocks)
-    more = next(blocks, None)
-    if more is None:
-        return docs.mapInArrow(_searcher(compile_items(texts, window), names), kind)
-    numbered = stage(docs.withColumn("row_id_", F.monotonically_increasing_id()), "searched")
-    each = [(names, texts), more]
-    each_df = []
-    while each:
-        names, texts = each.pop(0)
-        each_df.append(stage(numbered.mapInArrow(_searcher(compile_items(texts, window), names), f"{', '.join(fields)}, row_id_ long, n_words long, n_hit long, hit_runs {HIT_RUNS}, items array<string>"), "hits"))
-        if (following := next(blocks, None)) is not None:
-            each.append(following)
-    both = each_df[0]
-    for x in each_df[1:]:
-        other = x.select("row_id_", F.col("hit_runs").alias("runs2"), F.col("items").alias("items2"))
-        both = both.join(other, "row_id_").withColumn("items", F.sort_array(F.array_union("items", "items2"))).withColumn("hit_runs", _merged(F.sort_array(F.concat("hit_runs", "runs2")))).drop("runs2", "items2")
-    both = both.withColumn("n_hit", F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["end_word"] - r["first_word"]))
-    return both.drop("row_id_")
+    (names, texts), more = next(blocks), next(blocks, None)
+    if more is not None:
+        told = stage(told, "searched")
+    found = told.mapInArrow(_searcher(compile_items(texts, window), names), kind)
+    while more is not None:
+        names, texts = more
+        other = told.mapInArrow(_searcher(compile_items(texts, window), names), kind).select("number", F.col("hit_runs").alias("runs2"), F.col("items").alias("items2"))
+        merged = found.join(other, "number").withColumn("items", F.sort_array(F.array_union("items", "items2"))).withColumn("hit_runs", _merged(F.sort_array(F.concat("hit_runs", "runs2"))))
+        before, found = found, stage(merged.withColumn("n_hit", F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["end_word"] - r["first_word"])).drop("runs2", "items2"), "hits")
+        drop_staged(before)
+        more = next(blocks, None)
+    return found.select(*(F.col(f"row.`{c}`") for c in keep), "n_words", "n_hit", "hit_runs", "items")
 
 
 def _merged(runs):

@@ -6,13 +6,17 @@ hashes, through one hidden layer); gated attention weighs the passages; the
 weighted passage representation gives the score. The encoder, the attention
 and the head are trained together from document labels.
 
-Training takes at most SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS
-characters, chosen by hash among those whose crc32(doc_id) mod 5 is not 0; the
-bound is a parameter. Every whole text is scored. Inputs are the text alone.
+Training takes at most SAMPLE_DOCS labelled documents of any length, chosen by
+hash among those whose crc32(doc_id) mod 5 is not 0; of a text with more than
+SAMPLE_PASSAGES passages as many, evenly spread over the whole of it, are
+learned from. Both bounds are parameters. Every whole text is scored. Inputs
+are the text alone.
 
 Null or empty text: a bag of one empty passage. Repeated rows score alike.
 Several labels of one document: the largest; null labels are left out. With
-no usable labels every score is 0.5.
+no usable labels every score is 0.5. A table without rows gives none. Columns
+of the input stay, but for score text and those named as a result (score,
+passage_weights) give way; accepted keeps every column.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BYTE_HASH, NOT_SPACE, byte_class, table, text_chunks, word_hashes, words
+from quillstone.llm.common import BYTE_HASH, NOT_SPACE, byte_class, others, table, text_chunks, word_hashes, words
 
 PASSAGE = 64
-SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 20_000
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3_000, 200
 THRESHOLD = 0.3
 BUCKETS, HIDDEN, ATTENTION = 1 << 16, 16, 8
 _CLASSES = [byte_class((0x30, 0x39)), byte_class((0x41, 0x5A)), byte_class((0x61, 0x7A)), byte_class((0x80, 0xFF)), byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x21, 0x21), (0x3F, 0x3F)), byte_class((0x23, 0x26), (0x2A, 0x2B), (0x3D, 0x3D), (0x40, 0x40), (0x5E, 0x60), (0x7E, 0x7E)), byte_class((0x7C, 0x7C)), byte_class((0x3C, 0x3C), (0x3E, 0x3E), (0x5B, 0x5D), (0x7B, 0x7B), (0x7D, 0x7D))]
@@ -166,29 +170,50 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Model:
+def _spread(most: int):
+    """Texts with at most `most` passages, evenly spread where there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for _, _, buf, off in text_chunks(b.column("text")):
+                s, e, rows = words(buf, off, NOT_SPACE)
+                count = np.bincount(rows, minlength=len(off) - 1)
+                for first, n, x, y in zip((np.cumsum(count) - count).tolist(), count.tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    if n <= most * PASSAGE:
+                        out.append(buf[x:y].tobytes())
+                        continue
+                    begin = first + np.linspace(0, -(-n // PASSAGE) - 1, most).astype(int) * PASSAGE
+                    out.append(b" ".join(buf[s[i] : e[min(i + PASSAGE, first + n) - 1]].tobytes() for i in begin.tolist()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id_"), b.column("quality_"), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id_", "quality_", "text"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_passages: int = SAMPLE_PASSAGES) -> Model:
     """A model from at most `most` labelled documents that are not held out."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality_")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id_ long, quality_ int")  # at most `most` rows
-    texts = docs.select(F.col("doc_id").alias("doc_id_"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id_")
+    texts = docs.select(F.col("doc_id").alias("doc_id_"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id_").select("doc_id_", "quality_", "text")
+    texts = texts.mapInArrow(_spread(most_passages), "doc_id_ long, quality_ int, text string")
     rows = sorted(texts.groupBy("doc_id_").agg(F.min(F.struct("text", "quality_")).alias("x")).select("doc_id_", "x.*").collect())
     return fit([r.text for r in rows], [r.quality_ for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, plus score and passage_weights (the attention of each passage)."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    keep = others(docs, "text", "score", "passage_weights")
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [c for c in b.schema.names if c != "text"]
             for a, z, buf, off in text_chunks(b.column("text")):
                 p, weights, doc_of = model.score(buf, off)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(doc_of, minlength=z - a))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(a, z - a) for c in keep), pa.array(p), pa.ListArray.from_arrays(lists, pa.array(weights.astype(np.float32)))], names=[*keep, "score", "passage_weights"])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "score double", "passage_weights array<float>"]))
+    return docs.select(*(F.col(f"`{c}`") for c in (*keep, "text"))).mapInArrow(run, ", ".join([*fields, "score double", "passage_weights array<float>"]))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
