@@ -11,15 +11,20 @@ of the corpus is removed.
    from here on: if it stands at two places, all its windows repeat.
 3. The distinct segments of a hash go to one shard, whose suffix order and
    common prefixes come from external induced sorting (suffixes.py): windows
-   whose neighbour agrees on length bytes repeat.
-4. A hash with more than HOT distinct segments (a passage that countless texts
-   share, with other bytes around it each time) would fill one shard; its
-   windows are counted by their hashes over all tasks instead, which is
-   exact to 64-bit hashes.
+   whose neighbour agrees on length bytes repeat. There are as many shards as
+   hold SHARD_BYTES each.
+4. A hash with too many distinct segments (a passage that countless texts
+   share, with other bytes around it each time) would fill one shard. Its
+   segments are cut anew as texts of their own, with such hashes last in the
+   order: a window then goes by a gram that is not common, and windows of
+   common grams alone are the shared passages, whose segments are equal. This
+   is repeated for hashes that come out common in turn.
 5. Texts that occur twice and hold a window are removed whole.
 
 Null or empty text: no bytes, nothing removed; texts shorter than length are
-kept; repeated rows are copies of each other; an empty table gives no rows.
+kept; texts of any length are taken whole; repeated rows are copies of each
+other; an empty table gives no rows. Columns of the input stay, but text and
+those named as a result (n_bytes, spans, n_removed, kept_sha256) give way.
 """
 
 from __future__ import annotations
@@ -35,15 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import _BASE, _INV, BYTE_HASH, column, drop_staged, mix, partitions, powers, release, shared_root, stage, table, utf8_view
-from quillstone.llm.ngram_join import SHUFFLED, _batched, _by_part, _count, _pack, _unpack
+from quillstone.llm.common import _BASE, _INV, BYTE_HASH, column, drop_staged, mix, others, partitions, powers, release, shared_root, stage, table, utf8_view
 from quillstone.llm.suffixes import SEPARATOR, Scratch, repeats
 
-LENGTH, GRAM, HOT = 400, 16, 256
+LENGTH, GRAM = 400, 16
+#: Distinct segments that make a hash common, at least, and common hashes that one round can find, at most: the bound grows with the segments of all.
+HOT, MOST_HOT = 256, 100_000
+#: Rounds of cutting anew; what is common still is sorted as it is.
+ROUNDS = 6
+#: Copies that are joined apart: a text that more than one in so many rows repeat.
+COPIED = 10_000
 #: Memory of a shard's sort before it goes on in files.
 SORT_MEMORY = 256_000_000
-#: Shards for each shuffle partition: a sort holds some 50 bytes for each of a shard's.
-SHARDS = 4
+#: Shards for each shuffle partition at least, and bytes of a shard: a sort holds some 50 for each.
+SHARDS, SHARD_BYTES = 4, 16_000_000
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -64,9 +74,11 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
 
 
-def window_runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(least hash, first window, number of windows, places of the hash) of each run."""
-    h = gram_hashes(b, gram)
+def window_runs(b: np.ndarray, length: int, gram: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(least hash, first window, number of windows, places of the hash) of each run; hashes in common (sorted) come last, with the highest bit set."""
+    h = gram_hashes(b, gram) >> np.uint64(1)
+    if common is not None and len(common):
+        h = np.where(common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h, h | np.uint64(1 << 63), h)
     least = sliding_least(h, length - gram + 1)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     size = np.diff(np.append(start, len(least)))
@@ -76,7 +88,7 @@ def window_runs(b: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     return key, start, size, places
 
 
-def _runs(length: int, gram: int):
+def _runs(length: int, gram: int, common: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = utf8_view(b.column("text"))
@@ -85,7 +97,7 @@ def _runs(length: int, gram: int):
             for i in range(b.num_rows):
                 text = buf[off[i] : off[i + 1]]
                 if len(text) >= length:
-                    key, start, size, places = window_runs(text, length, gram)
+                    key, start, size, places = window_runs(text, length, gram, common)
                     cols.append((key.view(np.int64), mix(own[i] ^ (start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), start, size, places))
                     row.append(np.full(len(key), i))
             if cols:
@@ -107,7 +119,7 @@ def _cut(length: int):
                 if tk in seen:
                     continue
                 seen.add(tk)
-                raw = text.as_py().encode()
+                raw = text.as_py()
                 for i, r in enumerate(runs):
                     seg = raw[r["start"] : r["start"] + r["windows"] + length - 1]
                     sh = hashlib.blake2b(seg, digest_size=16, key=r["key"].to_bytes(8, "little", signed=True)).digest()
@@ -187,73 +199,6 @@ def _sorted_shard(length: int, folder: str | None):
     return run
 
 
-def _sid_of(sh):
-    """The first 8 bytes of the hash as a signed number, most significant byte first."""
-    return F.conv(F.hex(F.substring(sh, 1, 8)), 16, -10).cast("long")
-
-
-def _sid(sh: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(x[:8] for x in sh), ">i8").astype(np.int64)
-
-
-def _window_split(length: int, parts: int):
-    """Hot segments' window hashes to their buckets, in packed arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(uids, hashes):
-            u, h = np.concatenate(uids), np.concatenate(hashes)
-            order, bounds = _by_part((h % np.uint64(parts)).astype(np.int64), parts)
-            u, h = u[order], h[order]
-            for p in range(parts):
-                a, z = bounds[p], bounds[p + 1]
-                if a < z:
-                    first = np.flatnonzero(np.concatenate([[True], u[a + 1 : z] != u[a : z - 1]]))
-                    yield p, 0, _pack(u[a:z][first], np.diff(np.append(first, z - a)).astype(np.uint32), h[a:z])
-
-        uids, hashes, held, seen = [], [], 0, set()
-        for b in batches:
-            sh = b.column("sh").to_pylist()
-            for i, (one, u) in enumerate(zip(sh, _sid(sh).tolist() if sh else [], strict=True)):
-                if one not in seen:
-                    seen.add(one)
-                    h = np.unique(gram_hashes(np.frombuffer(b.column("seg")[i].as_buffer(), np.uint8), length))
-                    uids.append(np.full(len(h), u, np.int64))
-                    hashes.append(h)
-                    held += len(h)
-            if held > 3_000_000:
-                yield from _batched(flush(uids, hashes))
-                uids, hashes, held = [], [], 0
-        if uids:
-            yield from _batched(flush(uids, hashes))
-
-    return run
-
-
-def _window_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [_unpack(x.as_py(), np.int64, np.uint64, np.uint32) for b in batches for x in b.column("data")]
-    if got:
-        u, h = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        order = np.argsort(u, kind="stable")
-        u, h = u[order], h[order]
-        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        ends = np.append(first[1:], len(u))
-        yield pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array([h[f:e].tobytes() for f, e in zip(first, ends, strict=True)], pa.binary())], names=["sid", "hashes"])
-
-
-def _window_flags(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for sh, seg, hashes in zip(b.column("sh").to_pylist(), b.column("seg"), b.column("hashes"), strict=True):
-                h = gram_hashes(np.frombuffer(seg.as_buffer(), np.uint8), length)
-                mask = np.isin(h, np.frombuffer(hashes.as_buffer(), np.uint64)) if hashes.is_valid else np.zeros(len(h), bool)
-                _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-                found.append((sh, mask | (count[inverse] > 1)))
-            yield _flag_rows(found)
-
-    return run
-
-
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,15 +223,11 @@ def _removed(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs' columns without text, plus n_bytes, spans (removed byte ranges), n_removed and kept_sha256."""
-    spark, parts = docs.sparkSession, partitions(docs)
+def repeated_windows(long: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, common: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Of texts (tk: digest, did, text: bytes): (tk and flags, the ranges of windows that repeat; tk and text of those that may hold some)."""
+    spark, parts = long.sparkSession, partitions(long)
     scratch = mounted(shared_root(spark), spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    known = docs.withColumns({"text": text, "tk": F.unhex(F.md5(F.encode(text, "UTF-8"))), "did": F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63)))})
-    long = known.where(F.octet_length("text") >= length).select("tk", "did", "text")
-
-    runs = stage(long.mapInArrow(_runs(length, gram), "tk binary, did long, key long, rid long, start long, windows long, inner boolean"), "runs")
+    runs = stage(long.mapInArrow(_runs(length, gram, common), "tk binary, did long, key long, rid long, start long, windows long, inner boolean"), "runs")
     twice = runs.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("inner").alias("in_")).where("lo <> hi or in_").select("key")
     wanted = stage(runs.join(twice, "key").groupBy("tk").agg(F.min("did").alias("did"), F.collect_set(F.struct("key", "rid", "start", "windows", "inner")).alias("runs")), "wanted")
     drop_staged(runs)
@@ -295,25 +236,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     drop_staged(wanted)
     release(spark)
 
-    places = cut.groupBy("key", "sh").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.max("inner").alias("inner"))
-    places = stage(places, "places")
+    places = stage(cut.groupBy("key", "sh").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.max("inner").alias("inner")), "places")
     keys = places.groupBy("key").agg(F.count("*").alias("segments"), F.max("inner").alias("any_inner")).where("segments > 1 or any_inner")
     active = places.select("key", F.col("sh"), F.col("first").alias("rid")).join(keys.select("key", "segments"), "key").select("sh", "rid", "segments")
     texts = cut.where("text is not null").select("tk", "text")
     chosen = stage(cut.select("sh", "rid", "key", "tk", "start", "windows").join(active, ["sh", "rid"]), "chosen")
+    segments, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.col("windows") + length - 1), F.lit(0))).first()
+    # a hash whose highest bit is set is common already
+    is_hot = (F.col("segments") > max(hot, segments // MOST_HOT)) & (F.col("key") >= 0) if rounds else F.lit(False)
+    found = [r.key for r in chosen.where(is_hot).select("key").distinct().collect()]  # MOST_HOT of them at most
 
     def bodies(which: DataFrame) -> DataFrame:
         """key, sh, seg of one place of each segment, cut from the texts anew: no segment is written before it is known to be wanted."""
         by = which.groupBy("tk").agg(F.collect_set(F.struct("key", "sh", "start", "windows")).alias("runs"))
         return texts.join(by, "tk").mapInArrow(_segments(length), "key long, sh binary, seg binary")
 
-    cold = bodies(chosen.where(F.col("segments") <= hot)).repartition(SHARDS * parts, "key")
+    cold = bodies(chosen.where(~is_hot)).repartition(max(SHARDS * parts, -(-size // SHARD_BYTES)), "key")
     flags = cold.select("sh", "seg").mapInArrow(_sorted_shard(length, scratch), f"sh binary, flags {SPANS}")
-    warm = stage(bodies(chosen.where(F.col("segments") > hot)).select("sh", "seg"), "hot-segments")
-    counted = warm.mapInArrow(_window_split(length, parts), SHUFFLED).repartitionById(parts, F.col("part")).mapInArrow(_count(parts), SHUFFLED).repartitionById(parts, F.col("part"))
-    marked = counted.mapInArrow(_window_home, "sid long, hashes binary")
-    hot_flags = warm.withColumn("sid", _sid_of(F.col("sh"))).join(marked, "sid", "left").select("sh", "seg", "hashes").mapInArrow(_window_flags(length), f"sh binary, flags {SPANS}")
-    flagged = stage(flags.unionByName(hot_flags), "flags")
+    if found:
+        warm = stage(bodies(chosen.where(is_hot)).select(F.col("sh").alias("tk"), F.lit(0).cast("long").alias("did"), F.col("seg").alias("text")), "hot-segments")
+        both = np.union1d(np.array(found, np.int64).view(np.uint64), common if common is not None else np.zeros(0, np.uint64))
+        again, _ = repeated_windows(warm, length, gram, hot, both, rounds - 1)
+        flags = flags.unionByName(again.select(F.col("tk").alias("sh"), "flags"))
+    flagged = stage(flags, "flags")
     release(spark)
 
     all_windows = places.where("first <> last").select("sh").withColumn("whole", F.lit(True))
@@ -321,22 +266,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     member = cut.select("sh", "tk", "start", "windows").join(of, "sh")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("windows").alias("end")))
     moved = F.transform(F.when(F.col("whole"), whole).otherwise(F.col("flags")), lambda f: F.struct((f["start"] + F.col("start")).alias("start"), (f["end"] + F.col("start")).alias("end")))
-    by_text = member.select("tk", F.explode(moved).alias("f")).groupBy("tk").agg(F.collect_set("f").alias("flags"))
+    return member.select("tk", F.explode(moved).alias("f")).groupBy("tk").agg(F.collect_set("f").alias("flags")), texts
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, copied: int = COPIED) -> DataFrame:
+    """docs' columns without text, plus n_bytes, spans (removed byte ranges), n_removed and kept_sha256."""
+    keep = others(docs, "text", "n_bytes", "spans", "n_removed", "kept_sha256")
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(0).alias("none"))
+    raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    known = docs.select(row.alias("row"), raw.alias("text"), F.unhex(F.md5(raw)).alias("tk"), F.coalesce(column(docs, "doc_id", "long"), F.lit(-(2**63))).alias("did"))
+    long = known.where(F.octet_length("text") >= length)
+    by_text, texts = repeated_windows(long.select("tk", "did", "text"), length, gram, hot)
     result = stage(texts.join(by_text, "tk").mapInArrow(_removed(length), f"tk binary, spans {SPANS}, n_removed long, kept_sha256 string").dropDuplicates(["tk"]), "removed")
 
-    copies = known.where(F.octet_length("text") >= length).groupBy("tk").agg(F.count("*").alias("copies")).where("copies > 1")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    base = known.select(*keep, "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own_sha256"))
-    out = base.join(copies, "tk", "left").join(result, "tk", "left")
-    many = F.coalesce(F.col("copies") > 1, F.lit(False))
+    copies = stage(long.groupBy("tk").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    rows = docs.count()
+    # copies are removed whole; those of a text that many rows repeat, of which there are few, need not meet in one task to know it
+    many = F.broadcast(copies.where(F.col("copies") > max(1, rows // copied)).select("tk", F.lit(True).alias("many")))
+    told = known.select("row", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha256")).join(many, "tk", "left")
+    apart = told.where("many").select("row", "n_bytes", F.lit(2).alias("copies"), F.expr(f"cast(null as {SPANS})").alias("spans"), F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept_sha256"), "own_sha256")
+    met = told.where("many is null").join(copies, "tk", "left").join(result, "tk", "left").select(*apart.columns)
+    twice = F.coalesce(F.col("copies") > 1, F.lit(False))
     n = F.col("n_bytes")
-    none = F.expr(f"cast(array() as {SPANS})")
-    return out.select(
-        *keep,
+    return apart.unionByName(met).select(
+        *(F.col(f"row.`{c}`") for c in keep),
         "n_bytes",
-        F.when(many, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(many, n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(many, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "own_sha256")).alias("kept_sha256"),
+        F.when(twice, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("end")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).alias("spans"),
+        F.when(twice, n).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(twice, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "own_sha256")).alias("kept_sha256"),
     )
 
 
