@@ -20,7 +20,7 @@ from quillstone.session import ship
 
 U = np.uint64
 #: Bytes of text that one numpy pass takes at once; a longer text is taken alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 # ---------------------------------------------------------------- tables
@@ -162,7 +162,7 @@ def powers(base: int, n: int) -> np.ndarray:
         step = np.full(max(n, 1 << 16), base, np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 8 * CHUNK_BYTES:
             _pow[base] = have
     return have[:n]
 

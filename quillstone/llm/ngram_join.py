@@ -19,18 +19,22 @@ distinct SIZE-word shingles; components are taken over the links.
 4. Each prefix shingle first pairs its classes with a few centres only, and
    the verified links give components; a second turn takes other centres for
    shingles that still join several components; then every pair that shares a
-   shingle but not a component is tried, unless bitmaps of the two sets differ
-   in more bits than linked sets can. So a group of m near copies costs some
-   m pairs, and no link between components is lost.
+   shingle but not a component is tried, unless the sets' sizes lie in bands
+   that do not touch or their bitmaps differ in more bits than linked sets
+   can. So a group of m near copies costs some m pairs, and no link between
+   components is lost.
 
 Null, empty or blank text: an empty set that links with nothing. Fewer words
 than SIZE: the sequence is the one shingle. Repeated rows are rows of their
-own; ties go by row id; an empty table gives no rows.
+own; ties go by row id; an empty table gives no rows; texts of any length are
+taken whole. near_duplicates returns its own columns alone; keep_one keeps all
+columns of the input, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from collections.abc import Iterator
 from functools import reduce
@@ -46,21 +50,36 @@ SIZE, PERCENT = 5, 80
 #: Rows that each prefix shingle pairs its classes with in a turn, and turns before all pairs that are left are tried.
 CENTRES, TURNS = 3, 3
 #: Hashes that a map task holds before it sends them off.
-FLUSH = 1_500_000
+FLUSH = 800_000
 SHUFFLED = "part int, kind int, data binary"
 SETS = "uid long, doc_id long, digest binary, n long, repeats long, same binary, hashes binary, counts binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return struct.pack(f"<{len(arrays)}q", *map(len, arrays)) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays one after another; whole numbers other than hashes (unsigned 64-bit) as their distance from the least, in as few bytes as hold it."""
+    head, body = [], []
+    for x in arrays:
+        least = 0
+        if x.dtype != np.uint64:
+            x = x.astype(np.int64)
+            span = int(x.max()) - int(x.min()) if len(x) else 0
+            kind = next((t for t in (np.uint8, np.uint16, np.uint32) if span <= np.iinfo(t).max), None)
+            if kind and len(x):
+                least = int(x.min())
+                x = (x - least).astype(kind)
+        head += [len(x), x.itemsize, least]
+        body.append(np.ascontiguousarray(x).tobytes())
+    return struct.pack(f"<{len(head)}q", *head) + b"".join(body)
 
 
 def _unpack(data: bytes, *dtypes) -> list[np.ndarray]:
-    sizes = struct.unpack_from(f"<{len(dtypes)}q", data)
-    at, out = 8 * len(dtypes), []
-    for n, t in zip(sizes, dtypes, strict=True):
-        out.append(np.frombuffer(data, t, n, at))
-        at += n * np.dtype(t).itemsize
+    head = struct.unpack_from(f"<{3 * len(dtypes)}q", data)
+    at, out = 24 * len(dtypes), []
+    for i, t in enumerate(dtypes):
+        n, width, least = head[3 * i : 3 * i + 3]
+        x = np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64 if t == np.uint64 else np.int64}[width], n, at)
+        out.append(x if t == np.uint64 else (x.astype(np.int64) + least).astype(t))
+        at += n * width
     return out
 
 
@@ -151,8 +170,10 @@ def _count(parts: int):
         order, bounds = _by_part(_home(u, parts), parts)
         for p in range(parts):
             o = order[bounds[p] : bounds[p + 1]]
-            if len(o):
-                yield p, 2, _pack(u[o], h[o], c[o])
+            if len(o):  # each text once, with its number of hashes
+                o = o[np.argsort(u[o], kind="stable")]
+                first = np.flatnonzero(np.concatenate([[True], u[o[1:]] != u[o[:-1]]]))
+                yield p, 2, _pack(u[o[first]], np.diff(np.append(first, len(o))), h[o], c[o])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = []
@@ -181,7 +202,8 @@ def _sets(percent: int):
                 if kind == 1:
                     meta.append(_unpack(data.as_py(), np.int64, np.int64, np.uint8, np.int64, np.int64, np.int64))
                 else:
-                    found.append(_unpack(data.as_py(), np.int64, np.uint64, np.uint32))
+                    one, size, *rest = _unpack(data.as_py(), np.int64, np.int64, np.uint64, np.uint32)
+                    found.append((np.repeat(one, size), *rest))
         if not meta:
             return
         uid, ids, known, n, m1, m2 = (np.concatenate(x) for x in zip(*meta, strict=True))
@@ -259,19 +281,31 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _pairs(b: pa.RecordBatch, keep: list[bool], names: list[str]) -> pa.RecordBatch:
+    at = pa.array(np.flatnonzero(keep))
+    return pa.RecordBatch.from_arrays([b.column(c).take(at) for c in names], names=names)
+
+
+def _hashes(cell) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.uint64)
+
+
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose prefixes share a shingle under each other order."""
+    for b in batches:
+        keep = [_shared(_hashes(a2), _hashes(b2)) > 0 and _shared(_hashes(a3), _hashes(b3)) > 0 for a2, b2, a3, b3 in zip(*(b.column(k) for k in ("a2", "b2", "a3", "b3")), strict=True)]
+        yield _pairs(b, keep, ["a", "b", "an", "bn"])
+        trim()
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda s: np.frombuffer(s.as_buffer(), np.uint64)
         for b in batches:
             keep = []
-            for a2, b2, a3, b3, ah, bh, an, bn in zip(*(b.column(k) for k in ("a2", "b2", "a3", "b3", "ah", "bh")), b.column("an").to_pylist(), b.column("bn").to_pylist(), strict=True):
-                ok = _shared(of(a2), of(b2)) > 0 and _shared(of(a3), of(b3)) > 0
-                if ok:
-                    both = _shared(of(ah), of(bh))
-                    ok = 100 * both >= percent * (an + bn - both)
-                keep.append(ok)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at)], names=["a", "b"])
+            for ah, bh, an, bn in zip(b.column("ah"), b.column("bh"), b.column("an").to_pylist(), b.column("bn").to_pylist(), strict=True):
+                both = _shared(_hashes(ah), _hashes(bh))
+                keep.append(100 * both >= percent * (an + bn - both))
+            yield _pairs(b, keep, ["a", "b"])
             trim()
 
     return run
@@ -284,11 +318,20 @@ def _near_enough(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that pass the bitmaps, the other orders' filters and the exact test; whole sets travel for what the bitmaps leave."""
-    mark = lambda x: sets.select(F.col("uid").alias(x), F.col("n").alias(f"{x}n"), F.col("r").alias(f"{x}r"), F.col("bits").alias(f"{x}s"))
-    few = pairs.join(mark("b"), "b").join(mark("a"), "a").where(_near_enough(percent)).select("a", "b", "an", "bn")
-    side = lambda x: sets.select(F.col("uid").alias(x), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"), F.col("hashes").alias(f"{x}h"))
-    return few.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) of class ids that pass the bitmaps, then the other orders' prefixes, then the exact test; each travels only to what the one before leaves."""
+
+    def side(x: str, **columns: str) -> DataFrame:
+        return sets.select(F.col("uid").alias(x), *(F.col(c).alias(x + k) for k, c in columns.items()))
+
+    few = pairs.join(side("b", n="n", r="r", s="bits"), "b").join(side("a", n="n", r="r", s="bits"), "a").where(_near_enough(percent)).select("a", "b", "an", "bn")
+    two = {"2": "p2", "3": "p3"}
+    few = few.join(side("b", **two), "b").join(side("a", **two), "a").mapInArrow(_agree, "a long, b long, an long, bn long")
+    return few.join(side("b", h="hashes"), "b").join(side("a", h="hashes"), "a").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _band(percent: int) -> F.Column:
+    """Number of a set size's band: sizes of linked sets lie in one band or in two that touch."""
+    return F.floor(F.log(F.col("n")) / math.log(100 / percent)) if percent < 100 else F.col("n")
 
 
 def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -321,9 +364,10 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
         mixed = known.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
         placed = stage(known.join(mixed, "t"), "across")
         drop_staged(centres)
-    marked = placed.join(reps.select("uid", "r", "bits"), "uid")
-    as_side = lambda x: marked.select("t", *(F.col(c).alias(x + k) for c, k in (("uid", ""), ("n", "n"), ("left", "l"), ("component", "c"), ("r", "r"), ("bits", "s"))))
-    across = as_side("a").join(as_side("b"), "t").where((F.col("ac") < F.col("bc")) & fits & _near_enough(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    marked = placed.join(reps.select("uid", "r", "bits"), "uid").withColumn("band", _band(percent))
+    as_side = lambda x: marked.select("t", "band", *(F.col(c).alias(x + k) for c, k in (("uid", ""), ("n", "n"), ("left", "l"), ("component", "c"), ("r", "r"), ("bits", "s"))))
+    beside = as_side("b").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    across = as_side("a").join(beside, ["t", "band"]).where((F.col("ac") < F.col("bc")) & fits & _near_enough(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links.append(stage(verified(across, reps, percent), "links"))
     release(docs.sparkSession)
     return sets.select("uid", "doc_id", "digest", "n", "same"), classes, reduce(DataFrame.unionByName, links)
@@ -355,12 +399,13 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = docs.where(text.rlike(WORDED))
-    found = near_duplicates(worded, size, percent).where("keeper").select(F.col("doc_id").isNull().alias("no_id_"), F.coalesce("doc_id", F.lit(0)).alias("id_"), F.col("digest").alias("digest_"))
+    found = near_duplicates(worded, size, percent).where("keeper").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
     found = stage(found.distinct(), "kept")
     release(docs.sparkSession)
-    keys = {"no_id_": F.col("doc_id").isNull(), "id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "digest_": F.unhex(F.md5(F.encode(text, "UTF-8")))}
-    once = worded.withColumns(keys).dropDuplicates(list(keys))
-    return docs.where(~text.rlike(WORDED)).unionByName(once.join(found, list(keys), "left_semi").select(*docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = worded.select(row.alias("row"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("digest"))
+    once = rows.dropDuplicates(found.columns).join(found, found.columns, "left_semi")
+    return docs.where(~text.rlike(WORDED)).unionByName(once.select(*(F.col(f"row.`{c}`") for c in docs.columns)))
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -215,7 +215,8 @@ def test_ngram_join(docs):
 
 def test_ngram_keep_one(spark, none):
     rows = [(2, prose(50, 1), "a"), (1, prose(50, 1), "b"), (1, prose(50, 1), "b"), (None, prose(50, 1), "n"), (5, None, "c"), (5, None, "c"), (6, "", "d"), (None, prose(40, 3), "e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").withColumns({c: F.lit(c) for c in ("uid", "digest", "keeper", "row", "id", "none")})
+    assert ngram_join.keep_one(df).columns == df.columns
     assert sorted((r.doc_id or -1, r.component_id) for r in ngram_join.keep_one(df).collect()) == [(-1, "e"), (1, "b"), (5, "c"), (5, "c"), (6, "d")]
     assert ngram_join.near_duplicates(none).count() == 0 and ngram_join.keep_one(none).count() == 0
 
