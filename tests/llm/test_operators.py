@@ -1,8 +1,10 @@
 """Each operator against its plain version, with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -350,14 +352,80 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def plain_topk(rows, k=5):
+    """{query row: [(rank, id, score)]} by all pairs in Python's integers."""
+    whole = [(n, i, [math.floor(Fraction(float(y)) * 256) for y in e]) for n, (i, e) in enumerate(rows) if e is not None and all(y is not None and math.isfinite(y) for y in e)]
+    out = {}
+    for n, q, e in whole:
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, x)), i if i is not None else 1 << 63, m) for m, i, x in whole if m != n)[:k]  # noqa: B905
+            out.setdefault(q, []).extend((r + 1, i if i < 1 << 63 else None, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i, _) in enumerate(best))
+    return {q: sorted(x, key=str) for q, x in out.items()}
+
+
+@pytest.mark.parametrize("blocks", [(16_384, 2_048), (64, 8)])
+def test_topk_any_finite_value(spark, monkeypatch, blocks):
+    """Components from 1e4 to 1e308 beside usual ones, vectors of other lengths and empty ones; many blocks, whose far ones are dropped."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", blocks[0])
+    monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[1])
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(3 * (i % 4), 0.2, 6).tolist()) for i in range(400)]
+    rows += [(1000 + 25 * j, (r.normal(0, 1, 6) * 10.0**e).tolist()) for j, e in enumerate([4, 5, 6, 8, 12, 18, 30, 100, 290, 300, 305])]
+    rows += [(2000, [1e300] * 6), (2001, [1e300] * 6), (2050, [-1e300] * 6), (2100, [1.7e308, 0.0, 0.0, 0.0, 0.0, -1.7e308]), (2150, [0.0] * 6), (2200, []), (2250, [0.5, 1e9]), (2300, [1.0] * 9), (2301, [float("inf")] * 6), (None, [9e5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("rank", "score", "uid", "block")}).repartition(3)
+    got = {}
+    for x in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert {q: sorted(x, key=str) for q, x in got.items()} == plain_topk(rows)
+
+
+def test_topk_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, None), (50, [0.0, 3.0])], "vec_id long, embedding array<float>")
+    got = sorted((x.query_id, x.rank, x.vec_id) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+    one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
+    assert topk.top_k(one, F.col("vec_id") % 50 == 0).count() == 0
+
+
 def test_cover_tree():
-    x = np.random.default_rng(2).integers(-256, 256, (700, 8))
-    t = topk.CoverTree(x, 16)
-    assert sorted(t.order) == list(range(700))
-    for i in range(len(t.lo)):
-        d = np.sqrt(((x[t.order[t.lo[i] : t.hi[i]]] - t.centre[i]) ** 2).sum(1))
-        assert d.max() <= t.radius[i] + 1e-9
-        assert not t.children[i] or sum(t.hi[c] - t.lo[c] for c in t.children[i]) == t.hi[i] - t.lo[i]
+    r = np.random.default_rng(2)
+    for x in (r.integers(-256, 256, (700, 8)), np.repeat(r.integers(-9, 9, (40, 3)), 30, 0), np.zeros((500, 4), int), (r.integers(-2000, 2000, (30, 5))[r.integers(0, 30, 900)] + r.integers(-9, 9, (900, 5)))):
+        t = topk.CoverTree(x, 16)
+        assert sorted(t.order) == list(range(len(x))) and (t.points == x[t.order]).all()
+        for i in range(len(t.lo)):
+            d = np.sqrt(((x[t.order[t.lo[i] : t.hi[i]]] - t.centre[i]) ** 2).sum(1))
+            assert d.max() <= t.radius[i] + 1e-9
+            assert not t.children[i] or sum(t.hi[c] - t.lo[c] for c in t.children[i]) == t.hi[i] - t.lo[i]
+
+
+def test_net():
+    """Members lie farther apart than the points that they cover lie from them."""
+    x = np.random.default_rng(3).integers(-50, 50, (600, 3)).astype(float)
+    owner = topk.net(x, 30.0)
+    member = {m: x[np.flatnonzero(owner == m)] for m in range(owner.max() + 1)}
+    firsts = []
+    for m, points in member.items():
+        near = [p for p in points if (np.sqrt(((points - p) ** 2).sum(1)) <= 30 + 1e-9).all()]
+        assert near, m
+        firsts.append(near)
+    assert (topk.net(np.eye(900) * 100, 50.0) == -1).sum() == 900 - 4 * 64 and (topk.net(np.ones((300, 2)), 1.0) == 0).all()
+
+
+def test_pairs_visited():
+    """In clusters, most pairs of nodes are dropped, and a floor from elsewhere drops more."""
+    r = np.random.default_rng(4)
+    x = (r.normal(0, 2000, (40, 8))[r.integers(0, 40, 8000)] + r.normal(0, 9, (8000, 8))).astype(np.int32)
+    x = x[np.lexsort(x.T)]
+    uid = np.arange(8000)
+    data, some = topk.CoverTree(x, 16), np.arange(0, 8000, 50)
+    q = topk.CoverTree(x[some], 1)
+    s = topk.Search(q, uid[some][q.order], data, uid[data.order], uid[data.order], 5)
+    leaves = sum(not c for c in data.children) * sum(not c for c in q.children)
+    again = topk.Search(q, uid[some][q.order], data, uid[data.order], uid[data.order], 5, s.worst)
+    assert s.compared < leaves / 10 and again.compared <= s.compared and (again.score == s.score).all()
+    dots = x[some][q.order].astype(np.int64) @ x.T.astype(np.int64)
+    dots[np.arange(len(some)), some[q.order]] = topk.LEAST
+    assert (np.sort(s.score, 1) == np.sort(np.sort(dots, 1)[:, -5:], 1)).all()
 
 
 # ---------------------------------------------------------------- 8
