@@ -1,6 +1,7 @@
 """Geometry of words on pages: lines, columns, trial-balance rows, continuation rows.
 
-Each is a fold over one page, so pages are parsed in parallel with applyInPandas.
+Lines of words are found page by page (a fold, in applyInPandas, or a grid, in an expression); what a line's
+words say is then a matter of columns, windows and grouped aggregates.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ import re
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Fixed columns of a trial balance, by the right edge of an amount.
 COLUMNS = [("opening", 150, 320), ("debit", 320, 410), ("credit", 410, 490), ("closing", 490, 600)]
@@ -31,35 +33,48 @@ def lines_of(words: pd.DataFrame, slack: int = 2) -> list[pd.DataFrame]:
     return [pd.DataFrame(r).sort_values("x0") for r in out]
 
 
-def _balance_page(words: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for line in lines_of(words):
-        ws = list(line.itertuples(index=False))
-        if _TITLE.match(" ".join(w.text for w in ws)):
-            continue
-        row = {"doc": ws[0].doc, "page": ws[0].page, "opening": 0.0, "debit": 0.0, "credit": 0.0, "closing": 0.0, "opening_sign": None, "closing_sign": None}
-        label, seen, skip = [], False, False
-        for w, following in zip(ws, [*ws[1:], None], strict=True):
-            if skip:
-                skip = False
-            elif _AMOUNT.match(w.text):
-                seen = True
-                skip = following is not None and following.text in ("Dr", "Cr") and following.x0 - w.x1 < 15
-                col = next((n for n, lo, hi in COLUMNS if lo <= w.x1 < hi), None)
-                if col:
-                    row[col] = float(w.text.replace(",", ""))
-                    if col in ("opening", "closing"):
-                        row[f"{col}_sign"] = following.text if skip else None
-            elif not seen and w.text not in ("Dr", "Cr"):
-                label.append(w.text)
-        if seen:
-            rows.append({**row, "account": " ".join(label)})
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in BALANCE.split(", ")])
-
-
-def trial_balance(words: DataFrame) -> DataFrame:
-    """words: doc, page, top, x0, x1, text."""
-    return words.groupBy("doc", "page").applyInPandas(_balance_page, BALANCE)
+def numbered(words: DataFrame, slack: int = 2, grid: float | None = None) -> DataFrame:
+    """words with line: by tops within slack of a line's first, or by the nearest multiple of grid."""
+    if grid:
+        return words.withColumn("line", F.round(F.col("top") / grid).cast("long"))
+
+    def page(w: pd.DataFrame) -> pd.DataFrame:
+        at, lines, start = w["top"].round(), {}, None
+        for t in sorted(at.unique()):
+            start = t if start is None or t - start > slack else start
+            lines[t] = int(start)
+        return w.assign(line=at.map(lines))
+
+    return words.groupBy("doc", "page").applyInPandas(page, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in words.schema), "line long"]))
+
+
+def trial_balance(words: DataFrame, slack: int = 2, grid: float | None = None) -> DataFrame:
+    """The rows of a trial balance from words (doc, page, top, x0, x1, text).
+
+    An amount belongs to the column whose span holds its right edge, the last of a column counting; a sign beside
+    an outer amount is that column's. The account is what stands before a line's first amount.
+    """
+    line = ["doc", "page", "line"]
+    order = Window.partitionBy(*line).orderBy("x0", "x1", "text")
+    sign = F.col("text").isin("Dr", "Cr")
+    w = numbered(words, slack, grid).withColumns({"value": F.when(F.col("text").rlike(_AMOUNT.pattern), F.regexp_replace("text", ",", "").cast("double")), "beside": F.lead(F.when(sign, F.struct("x0", "text"))).over(order)})
+    w = w.withColumns({
+        "column": F.coalesce(*(F.when(F.col("value").isNotNull() & (F.col("x1") >= lo) & (F.col("x1") < hi), name) for name, lo, hi in COLUMNS)),
+        "sign": F.when(F.col("beside.x0") - F.col("x1") < 15, F.col("beside.text")),
+        "said": F.struct("x0", "x1", "text"),
+    })
+    last = lambda name: F.max_by(F.struct("value", "sign"), F.when(F.col("column") == name, F.struct("x0", "x1")))
+    rows = w.groupBy(*line).agg(
+        F.sort_array(F.collect_list("said")).alias("all"), F.sort_array(F.collect_list(F.when(~sign & F.col("value").isNull(), F.col("said")))).alias("words"),
+        F.min(F.when(F.col("value").isNotNull(), F.col("said"))).alias("first"), *(last(name).alias(name) for name, _, _ in COLUMNS),
+    )
+    texts = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), " ")
+    rows = rows.where(F.col("first").isNotNull() & ~texts(F.col("all")).rlike(_TITLE.pattern))
+    cells = {"account": texts(F.filter("words", lambda x: x < F.col("first")))}
+    for name, _, _ in COLUMNS:
+        cells[name] = F.coalesce(F.col(f"{name}.value"), F.lit(0.0))
+        cells[f"{name}_sign"] = F.col(f"{name}.sign")
+    return rows.select(*("doc", "page"), *(cells[c].alias(c) for c in (f.split()[0] for f in BALANCE.split(", ")[2:])))
 
 
 def column_bounds(x0: list[float], cluster: float = 12, least_gap: float = 18, widest: int = 20, apart: float = 5) -> list[float]:
