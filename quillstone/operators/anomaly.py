@@ -3,7 +3,9 @@
 Features are DataFrame expressions; account statistics are grouped and joined
 back, not windowed, so a dominant account is pre-aggregated. Trees are grown
 on the driver from one bounded sample (TREES x SAMPLE rows at most) and scored
-with mapInArrow; ranks come from the score distribution's cut points.
+with mapInArrow. The sample's scores say which rows can be among the first and
+cut them into ranges, so that all are scored once and none ranks in a window
+over more than a range.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
+from quillstone.operators.ordering import RANGES, first_ranks
 
 TREES, SAMPLE, POOL, SEED, LEAST_ROWS = 200, 256, 20_000, 42, 30
 NAMES = ["log_amount", "account_zscore", "is_debit", "day_of_month", "is_round_10k", "vch_type_rarity"]
@@ -85,15 +88,19 @@ class Forest:
         return -np.exp2(-total / len(self.trees) / self._average(self.size))
 
 
-def flags(rows: DataFrame) -> DataFrame:
-    """The most anomalous 5 % with severity bands, most anomalous first; none below LEAST_ROWS rows."""
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the shared checkpoint folder where the session has one, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def flags(rows: DataFrame, share: float = 0.05) -> DataFrame:
+    """The most anomalous share with severity bands; none below LEAST_ROWS rows."""
     names = [n for n in NAMES if n in rows.columns]
     pool = rows.select(*names, F.xxhash64("entry_id", "leg_num").alias("h")).orderBy("h").limit(POOL).drop("h").toPandas()
     keep = ["entry_id", "leg_num", "account", "amount", "date", "dr_cr"]
     kind = "entry_id string, leg_num int, account string, amount decimal(18,2), date date, dr_cr string, score double"
     if len(pool) < LEAST_ROWS:
-        empty = rows.select(*keep).limit(0).withColumns({"severity": F.lit(""), "anomaly_score": F.lit(0.0), "anomaly_rank_pct": F.lit(0.0)})
-        return empty
+        return rows.select(*keep).limit(0).withColumns({"severity": F.lit(""), "anomaly_score": F.lit(0.0), "anomaly_rank_pct": F.lit(0.0)})
     forest = Forest(pool.to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,10 +109,22 @@ def flags(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(forest.score(x))], names=[*keep, "score"])
 
     scored = rows.select(*keep, *names).mapInArrow(run, kind)
-    # distinct scores are counted and ranked, so no window holds all rows
+    edges = np.quantile(forest.score(pool.to_numpy(float)), np.linspace(0, min(1.0, 1.5 * share), RANGES + 1)[1:]).tolist()
     n = rows.count()
-    cut = scored.orderBy("score", "entry_id", "leg_num").limit(int(n * 0.05))
-    from pyspark.sql import Window
-
-    top = cut.withColumn("rank", F.row_number().over(Window.orderBy("score", "entry_id", "leg_num"))).withColumn("fraction", F.col("rank") / n)
+    first = kept(scored.where(F.col("score") <= edges[-1]))
+    if first.count() < int(n * share):  # the sample misled
+        first = scored
+    top = first_ranks(first, "score", ["entry_id", "leg_num"], edges, int(n * share)).withColumn("fraction", F.col("rank") / n)
     return top.select(*keep, X.rank_severity("fraction").alias("severity"), F.round("score", 6).alias("anomaly_score"), F.round(F.col("fraction") * 100, 2).alias("anomaly_rank_pct"))
+
+
+def severity_counts(found: DataFrame) -> DataFrame:
+    """severity, flags: all three bands, most severe first."""
+    bands = found.sparkSession.createDataFrame([(i, s) for i, s in enumerate(("high", "medium", "low"))], "ord int, severity string")
+    counts = found.groupBy("severity").agg(F.count("*").alias("flags"))
+    return bands.join(counts, "severity", "left").orderBy("ord").select("severity", F.coalesce("flags", F.lit(0)).cast("long").alias("flags"))
+
+
+def table_order(found: DataFrame) -> DataFrame:
+    """Flags as a table shows them: the most anomalous first."""
+    return found.orderBy("anomaly_rank_pct", "entry_id", "leg_num")

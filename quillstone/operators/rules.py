@@ -42,26 +42,41 @@ def round_amounts(legs: DataFrame, cfg: Config = Config()) -> DataFrame:
     return hit.select("entry_id", "leg_num", F.lit("round_number").alias("rule"), F.concat(F.lit("multiple of "), F.lit(str(cfg.round_multiple))).alias("reason"), F.lit("LOW").alias("severity"))
 
 
-def duplicates(legs: DataFrame, keys: list, amount="amount", cfg: Config = Config()) -> DataFrame:
-    """Legs whose key occurs in other vouchers too; more than two vouchers escalate. Invoice rounding repeats by nature and is left alone.
+def duplicate_classes(legs: DataFrame, keys: list, amount="amount", shown: int = Config.related_shown) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(legs with their key, the keys that several vouchers have, names of the key): vouchers counts them, least holds the first shown + 1 ids.
 
-    The vouchers of a key are grouped and joined back, so a frequent key is
-    pre-aggregated before the shuffle and its join can be split.
+    Invoice rounding repeats by nature and is left alone. Vouchers of a key are
+    counted and its least ids cut before the shuffle, so a frequent key costs
+    no array of all its vouchers.
     """
     legs = legs.where(~F.coalesce(X.invoice_rounding("account", amount), F.lit(False)))
     keyed = legs.withColumns({f"k{i}": F.coalesce(k.cast("string"), F.lit("")) for i, k in enumerate(keys)})
     names = [f"k{i}" for i in range(len(keys))]
-    groups = keyed.groupBy(*names).agg(F.collect_set("entry_id").alias("ids")).where(F.size("ids") > 1)
-    hit = keyed.join(groups, names)
-    others = F.array_sort(F.array_except("ids", F.array("entry_id")))
+    once = keyed.select(*names, "entry_id").distinct()
+    counts = once.groupBy(*names).agg(F.count("*").cast("int").alias("vouchers")).where("vouchers > 1")
+    first = once.withColumn("rank", F.row_number().over(Window.partitionBy(*names).orderBy("entry_id"))).where(F.col("rank") <= shown + 1)
+    first = first.groupBy(*names).agg(F.sort_array(F.collect_list("entry_id")).alias("least"))
+    return keyed, counts.join(first, names), names
+
+
+def duplicates(legs: DataFrame, keys: list, amount="amount", cfg: Config = Config()) -> DataFrame:
+    """Legs whose key occurs in other vouchers too; more than two vouchers escalate."""
+    keyed, classes, names = duplicate_classes(legs, keys, amount, cfg.related_shown)
+    others = F.slice(F.array_except("least", F.array("entry_id")), 1, cfg.related_shown)
     sev = X.amount_severity(amount)
-    return hit.select(
+    return keyed.join(classes, names).select(
         "entry_id", "leg_num", F.lit("duplicate_transaction").alias("rule"),
-        F.concat(F.lit("matches voucher(s) "), F.array_join(F.slice(others, 1, cfg.related_shown), ", "), F.lit(" on "), F.col("date").cast("string")).alias("reason"),
-        F.when(F.size("ids") > 2, X.escalate(sev)).otherwise(sev).alias("severity"), F.size("ids").cast("int").alias("vouchers"), others.alias("others"),
+        F.concat(F.lit("matches voucher(s) "), F.array_join(others, ", "), F.lit(" on "), F.col("date").cast("string")).alias("reason"),
+        F.when(F.col("vouchers") > 2, X.escalate(sev)).otherwise(sev).alias("severity"), "vouchers",
     )
 
 
+def related(legs: DataFrame, keys: list, amount="amount") -> DataFrame:
+    """entry_id, first_id, vouchers: each voucher of a repeated key with the key's first voucher, which stands for all of them, and their number."""
+    keyed, classes, names = duplicate_classes(legs, keys, amount, 0)
+    return keyed.join(classes, names).select("entry_id", F.col("least")[0].alias("first_id"), "vouchers").distinct()
+
+
 def benford(df: DataFrame, amount="amount", by: list[str] = ()) -> DataFrame:
     """n, chi_square, mad, deviates of first digits, for each group of `by`; digits that never occur count as 0."""
     digits = df.select(*by, X.first_digit(amount).alias("digit")).where("digit is not null").groupBy(*by).pivot("digit", list(range(1, 10))).count().na.fill(0)
@@ -93,18 +108,30 @@ def sequence_gaps(vouchers: DataFrame, series: list[str], number="number", cfg:
     return near.select(*series, F.explode(F.sequence("lo", F.least(F.col("lo") + GAP_RANGE - 1, "hi"))).alias("missing"), F.col("num").cast("long").alias("before"), F.col("entry_id").alias("before_id"), F.col("next").cast("long").alias("after"), "after_id", "group_size")
 
 
-def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str], tolerance: float, reference: str = "right", how: str = "inner", never_none: bool = False) -> DataFrame:
-    """Flags where a measure differs by more than tolerance; severity by its share of the reference side."""
-    l_ = left.select(*keys, *(F.col(m).alias(f"l_{m}") for m in measures))
-    r_ = right.select(*keys, *(F.col(m).alias(f"r_{m}") for m in measures))
+def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str], tolerance: float, reference: str = "right", how: str = "inner", never_none: bool = False, missing: str | None = None) -> DataFrame:
+    """Flags where a measure differs by more than tolerance; severity by its share of the reference side.
+
+    With how = "full" or "left" a missing side counts as 0, or, where missing
+    names a check, gives one CRITICAL flag of that name instead.
+    """
+    l_ = left.select(*keys, F.lit(True).alias("in_l"), *(F.col(m).alias(f"l_{m}") for m in measures))
+    r_ = right.select(*keys, F.lit(True).alias("in_r"), *(F.col(m).alias(f"r_{m}") for m in measures))
     both = l_.join(r_, keys, how)
-    flat = both.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("check"), F.col(f"l_{m}").alias("left_amount"), F.col(f"r_{m}").alias("right_amount")) for m in measures))).alias("x")).select(*keys, "x.*")
-    gap = F.coalesce("left_amount", F.lit(0)) - F.coalesce("right_amount", F.lit(0))
-    ref = F.coalesce(F.col("right_amount" if reference == "right" else "left_amount"), F.lit(0))
-    sev = X.percent_severity(gap, ref)
+    absent = F.lit(False) if missing is None else F.col("in_l").isNull() | F.col("in_r").isNull()
+    cells = [F.struct(F.lit(m).alias("check"), F.coalesce(f"l_{m}", F.lit(0)).alias("left_amount"), F.coalesce(f"r_{m}", F.lit(0)).alias("right_amount")) for m in measures]
+    if missing is not None:
+        hole = F.array(cells[0].withField("check", F.lit(missing)))
+        flat = F.when(absent, hole).otherwise(F.array(*cells))
+    else:
+        flat = F.array(*cells)
+    flat = both.select(*keys, absent.alias("absent"), F.explode(flat).alias("x")).select(*keys, "absent", "x.*")
+    gap = F.col("left_amount") - F.col("right_amount")
+    ref = F.col("right_amount" if reference == "right" else "left_amount")
+    sev = X.percent_severity(gap.cast("double"), ref.cast("double"))
     if never_none:
         sev = F.when(sev == "NONE", "MEDIUM").otherwise(sev)
-    return flat.withColumn("mismatch", gap).where(F.abs("mismatch") > tolerance).withColumn("severity", sev)
+    flags = flat.withColumn("mismatch", F.when(~F.col("absent"), gap)).where(F.col("absent") | (F.abs("mismatch") > tolerance))
+    return flags.withColumn("severity", F.when(F.col("absent"), "CRITICAL").otherwise(sev)).drop("absent")
 
 
 def converge(legs: DataFrame, flags: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import rules as R
 from quillstone.plans.registry import query
-from quillstone.plans.rules import _G1, _dup_keys, monthly
+from quillstone.plans.rules import _G1, G5_CTE, dup_keys, dup_legs, monthly
 from quillstone.sources.views import LEGS, ledger_legs, table
 
 D2 = "decimal(18,2)"
@@ -44,9 +44,9 @@ def d05(spark, d):
     return j.groupBy(F.col("n_name").alias("account")).agg(F.sum("amount").cast("double").alias("amount"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("amount").isNotNull(), F.col("s_name")))), "; ").alias("variants_used"))
 
 
-@query("d06_full_outer_tan", "WITH a AS (SELECT l_suppkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 GROUP BY 1), b AS (SELECT l_suppkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3 GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.v, 0) AS DOUBLE) AS reported, CAST(coalesce(b.v, 0) AS DOUBLE) AS claimed FROM a FULL JOIN b ON a.k = b.k")
+@query("d06_full_outer_tan", "WITH a AS (SELECT l_suppkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_suppkey AS k, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.v, 0) AS DOUBLE) AS reported, CAST(coalesce(b.v, 0) AS DOUBLE) AS claimed FROM a FULL JOIN b ON a.k = b.k")
 def d06(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity < 3")
+    li = table(spark, d, "lineitem")
     side = lambda flag, n: li.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("k")).agg(F.sum(F.col("l_extendedprice").cast(D2)).alias(n))
     j = side("R", "reported").join(side("A", "claimed"), "k", "full")
     return j.select("k", F.coalesce("reported", F.lit(0)).cast("double").alias("reported"), F.coalesce("claimed", F.lit(0)).cast("double").alias("claimed"))
@@ -73,16 +73,16 @@ def d09(spark, d):
     return table(spark, d, "part").groupBy(bucket.alias("bucket")).agg(F.max("p_partkey").alias("last_key"), F.count("*").alias("n"))
 
 
-@query("d11_drilldown", f"WITH {LEGS} SELECT a.entry_id, b.leg_num, b.account, CAST(b.amount AS DOUBLE) AS amount FROM (SELECT DISTINCT entry_id FROM legs WHERE entered_by = approved_by AND l_quantity = 1) a JOIN legs b USING (entry_id)")
+@query("d11_drilldown", f"WITH {LEGS} SELECT a.entry_id, b.leg_num, b.account, CAST(b.amount AS DOUBLE) AS amount FROM (SELECT DISTINCT entry_id FROM legs WHERE entered_by = approved_by) a JOIN legs b USING (entry_id)")
 def d11(spark, d):
     legs = ledger_legs(spark, d)
-    flagged = legs.where("entered_by = approved_by and l_quantity = 1").select("entry_id").distinct()
+    flagged = legs.where("entered_by = approved_by").select("entry_id").distinct()
     return legs.join(flagged, "entry_id", "left_semi").select("entry_id", "leg_num", "account", F.col("amount").cast("double").alias("amount"))
 
 
-@query("d12_related_expand", f"WITH {LEGS}, k AS (SELECT *, round(amount / 10000, 0) AS bucket FROM legs) SELECT DISTINCT a.entry_id, b.entry_id AS related FROM k a JOIN k b ON a.date = b.date AND a.account = b.account AND a.dr_cr = b.dr_cr AND a.bucket = b.bucket AND a.entry_id <> b.entry_id")
+@query("d12_related_expand", f"WITH {LEGS}, {G5_CTE} SELECT DISTINCT entry_id, first_id, vouchers FROM dup")
 def d12(spark, d):
-    return R.duplicates(ledger_legs(spark, d), _dup_keys()).select("entry_id", F.explode("others").alias("related")).distinct()
+    return R.related(dup_legs(spark, d), dup_keys())
 
 
 @query("d14_disjoint_array_merge", "WITH a AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey AS k, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT a.k, CAST(len(a.s) + len(b.s) AS INTEGER) AS pages FROM a JOIN b USING (k) WHERE NOT list_has_any(a.s, b.s)")
@@ -92,9 +92,9 @@ def d14(spark, d):
     return g.where((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")).select("k", (F.size("a") + F.size("b")).alias("pages"))
 
 
-@query("d15_unique_candidate", "SELECT l_orderkey, min(l_linenumber) AS line FROM lineitem WHERE l_quantity > 45 GROUP BY l_orderkey HAVING count(*) = 1")
+@query("d15_unique_candidate", "SELECT l_orderkey, min(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1")
 def d15(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("line"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("line"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
 @query("d16_orphan_absorb", "WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, coalesce(n, 0) = 1 AS absorbed FROM lineitem LEFT JOIN c USING (l_orderkey) WHERE l_returnflag = 'A'")
@@ -110,10 +110,11 @@ def d17(spark, d):
     return table(spark, d, "events").select("event_id", F.first(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("next_purchase"))
 
 
-@query("d18_continuation_alias", "WITH t AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT user_id, nxt AS later, min(event_type) AS earlier FROM t WHERE nxt <> event_type GROUP BY 1, 2 HAVING count(DISTINCT event_type) = 1")
+@query("d18_continuation_alias", "WITH t AS (SELECT o_custkey, o_orderpriority AS earlier, lead(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders) SELECT o_custkey, later, min(earlier) AS earlier FROM t WHERE later <> earlier GROUP BY 1, 2 HAVING count(DISTINCT earlier) = 1")
 def d18(spark, d):
-    t = table(spark, d, "events").withColumn("later", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("later <> event_type")
-    return t.groupBy("user_id", "later").agg(F.min("event_type").alias("earlier"), F.max("event_type").alias("x")).where("earlier = x").drop("x")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    t = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("earlier"), F.lead("o_orderpriority").over(w).alias("later")).where("later <> earlier")
+    return t.groupBy("o_custkey", "later").agg(F.min("earlier").alias("earlier"), F.max("earlier").alias("x")).where("earlier = x").drop("x")
 
 
 @query("d19_document_usage", "WITH u AS (SELECT source, max(doc_id) AS newest FROM documents GROUP BY 1) SELECT doc_id, CASE WHEN quality IS NULL THEN 'not used' WHEN doc_id = newest THEN 'used' ELSE 'superseded' END AS usage FROM documents JOIN u USING (source) LEFT JOIN labels USING (doc_id)")

@@ -11,20 +11,31 @@ from quillstone.plans.registry import query
 from quillstone.sources.views import LEGS, PERCENT, SEVERITY, ledger_legs, table
 
 
-def _dup_keys():
-    return [F.col("date"), F.col("account"), F.col("dr_cr"), F.round(F.col("amount") / 10000, 0)]
+def dup_legs(spark, d):
+    """Legs whose amounts are so few (thousands of the quantity) that some repeat."""
+    return ledger_legs(spark, d).withColumn("amount", (F.col("l_quantity") * 1000).cast("decimal(18,2)"))
+
+
+def dup_keys(amount=None):
+    return [F.col("date"), F.col("account"), F.col("dr_cr"), F.round("amount", 2) if amount is None else amount]
 
 
 G1_SQL = f"SELECT entry_id, leg_num, 'segregation_of_duties' AS rule, 'entered and approved by ' || entered_by AS reason, {SEVERITY.format('amount')} AS severity FROM legs WHERE entered_by = approved_by"
 G2_SQL = "SELECT entry_id, leg_num, 'round_number' AS rule, 'multiple of 10000' AS reason, 'LOW' AS severity FROM legs WHERE (l_quantity * 1000) % 10000 = 0"
-G5_CTE = f"""keyed AS (SELECT *, round(CAST(amount AS DECIMAL(18,2)) / 10000, 0) AS bucket FROM legs),
+def dup_sql(amount: str, bucket: str) -> str:
+    sev = SEVERITY.format("amount")
+    return f"""keyed AS (SELECT *, {bucket} AS bucket FROM (SELECT * REPLACE ({amount} AS amount) FROM legs)),
 groups AS (SELECT date, account, dr_cr, bucket, list_sort(list(DISTINCT entry_id)) AS ids FROM keyed GROUP BY ALL HAVING count(DISTINCT entry_id) > 1),
 dup AS (SELECT entry_id, leg_num, 'duplicate_transaction' AS rule,
   'matches voucher(s) ' || array_to_string(list_slice(list_filter(ids, lambda x: x <> entry_id), 1, 3), ', ') || ' on ' || CAST(date AS VARCHAR) AS reason,
-  CASE WHEN len(ids) > 2 THEN CASE {SEVERITY.format('amount')} WHEN 'LOW' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE {SEVERITY.format('amount')} END AS severity, CAST(len(ids) AS INTEGER) AS vouchers
+  CASE WHEN len(ids) > 2 THEN CASE {sev} WHEN 'LOW' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE {sev} END AS severity, CAST(len(ids) AS INTEGER) AS vouchers, ids[1] AS first_id
   FROM keyed JOIN groups USING (date, account, dr_cr, bucket))"""
 
 
+G5_CTE = dup_sql("CAST(l_quantity * 1000 AS DECIMAL(18,2))", "round(amount, 2)")
+G5_ROUGH = dup_sql("amount", "round(amount / 10000, 0)")
+
+
 @query("g01_segregation_of_duties", f"WITH {LEGS} {G1_SQL}")
 def g01(spark, d):
     return R.segregation(ledger_legs(spark, d))
@@ -63,31 +74,46 @@ def _supplier_side(spark, d, flag):
     return sums.join(s, sums.l_suppkey == s.s_suppkey).groupBy("s_name").agg(F.sum("amount").cast("double").alias("amount"))
 
 
-@query("g04_itr_26as", f"""WITH c AS ({_SIDE.format('R')}), r AS ({_SIDE.format('A')})
-SELECT s_name, c.amount AS claimed, r.amount AS reported, round(c.amount - r.amount, 2) AS mismatch, {PERCENT.format('(c.amount - r.amount)', 'c.amount')} AS severity FROM c JOIN r USING (s_name) WHERE abs(c.amount - r.amount) > 10.0""")
+@query("g04_itr_26as", f"""WITH c AS ({_SIDE.format('R')}), r AS ({_SIDE.format('A')}),
+j AS (SELECT s_name, coalesce(c.amount, 0) AS claimed, coalesce(r.amount, 0) AS reported FROM c FULL JOIN r USING (s_name))
+SELECT s_name, claimed, reported, round(claimed - reported, 2) AS mismatch, {PERCENT.format('(claimed - reported)', 'claimed')} AS severity FROM j WHERE abs(claimed - reported) > 10.0""")
 def g04(spark, d):
-    flags = R.reconcile(_supplier_side(spark, d, "R"), _supplier_side(spark, d, "A"), ["s_name"], ["amount"], 10.0, reference="left")
+    flags = R.reconcile(_supplier_side(spark, d, "R"), _supplier_side(spark, d, "A"), ["s_name"], ["amount"], 10.0, reference="left", how="full")
     return flags.select("s_name", F.col("left_amount").alias("claimed"), F.col("right_amount").alias("reported"), F.round("mismatch", 2).alias("mismatch"), "severity")
 
 
 @query("g05_duplicate_transactions", f"WITH {LEGS}, {G5_CTE} SELECT entry_id, leg_num, rule, reason, severity, vouchers FROM dup")
 def g05(spark, d):
-    return R.duplicates(ledger_legs(spark, d), _dup_keys()).drop("others")
+    return R.duplicates(dup_legs(spark, d), dup_keys())
+
 
+@query("g05_escalation", f"WITH {LEGS}, {G5_ROUGH} SELECT entry_id, leg_num, rule, reason, severity, vouchers FROM dup")
+def g05_rough(spark, d):
+    """With amounts to the nearest 10,000 some keys have more than two vouchers."""
+    return R.duplicates(ledger_legs(spark, d), dup_keys(F.round(F.col("amount") / 10000, 0)))
 
-@query("g06_trial_balance", f"""WITH gl AS (SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS debit, CAST(sum(CASE WHEN o_orderstatus <> 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS credit FROM orders GROUP BY o_custkey),
-j AS (SELECT c_name AS account, unnest(['debit', 'credit']) AS side, c_acctbal * 100 AS tb_amount, unnest([coalesce(debit, 0), coalesce(credit, 0)]) AS gl_amount FROM customer JOIN gl ON c_custkey = o_custkey)
-SELECT account, side, round(tb_amount, 2) AS tb_amount, round(gl_amount, 2) AS gl_amount, round(gl_amount - tb_amount, 2) AS mismatch, {PERCENT.format('(gl_amount - tb_amount)', 'tb_amount')} AS severity FROM j WHERE abs(gl_amount - tb_amount) > 1.0""")
+
+@query("g06_trial_balance", f"""WITH gl AS (SELECT o_custkey, o_orderpriority AS variant, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(28,2)) AS debit, CAST(sum(CASE WHEN o_orderstatus <> 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DECIMAL(28,2)) AS credit FROM orders GROUP BY 1, 2),
+a AS (SELECT c_name AS account, CAST(c_acctbal AS DECIMAL(18,2)) * 100 AS tb, sum(debit) AS debit, sum(credit) AS credit, coalesce(string_agg(variant, '; ' ORDER BY variant), '') AS variants_used, count(variant) = 0 AS unmatched FROM customer LEFT JOIN gl ON c_custkey = o_custkey GROUP BY c_custkey, c_name, c_acctbal),
+j AS (SELECT account, unnest(CASE WHEN unmatched THEN ['unmatched'] ELSE ['debit', 'credit'] END) AS side, tb AS tb_amount, unnest(CASE WHEN unmatched THEN [NULL] ELSE [debit, credit] END) AS gl_amount, variants_used FROM a)
+SELECT account, side, CAST(tb_amount AS DOUBLE) AS tb_amount, CAST(gl_amount AS DOUBLE) AS gl_amount, CAST(gl_amount - tb_amount AS DOUBLE) AS mismatch, CASE WHEN gl_amount IS NOT NULL THEN {PERCENT.format('(CAST(gl_amount - tb_amount AS DOUBLE))', 'CAST(tb_amount AS DOUBLE)')} END AS severity, variants_used FROM j WHERE gl_amount IS NULL OR abs(gl_amount - tb_amount) > 1.0""")
 def g06(spark, d):
     o, cu = table(spark, d, "orders"), table(spark, d, "customer")
     m = F.col("o_totalprice").cast("decimal(18,2)")
-    gl = o.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "O", m)).cast("double").alias("debit"), F.sum(F.when(F.col("o_orderstatus") != "O", m)).cast("double").alias("credit")).na.fill(0.0)
-    tb = cu.select("c_custkey", F.col("c_name").alias("account"), (F.col("c_acctbal") * 100).alias("tb"))
-    j = tb.join(gl, tb.c_custkey == gl.o_custkey)
+    # an account's variants in the ledger are its priorities
+    side = lambda hit: F.sum(F.when(hit, m).otherwise(F.lit(0)))
+    gl = o.groupBy("o_custkey", F.col("o_orderpriority").alias("variant")).agg(side(F.col("o_orderstatus") == "O").alias("debit"), side(F.col("o_orderstatus") != "O").alias("credit"))
+    gl = gl.groupBy("o_custkey").agg(F.sum("debit").cast("decimal(28,2)").alias("debit"), F.sum("credit").cast("decimal(28,2)").alias("credit"), F.array_join(F.sort_array(F.collect_list("variant")), "; ").alias("variants_used"))
+    tb = cu.select("c_custkey", F.col("c_name").alias("account"), (F.col("c_acctbal").cast("decimal(18,2)") * 100).cast("decimal(28,2)").alias("tb"))
+    j = tb.join(gl, tb.c_custkey == gl.o_custkey, "left")
     # both sides come from one join: unpivot it instead of joining again
-    flat = j.select("account", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col("tb").alias("tb_amount"), F.col(s).alias("gl_amount")) for s in ("debit", "credit")))).alias("x")).select("account", "x.*")
+    cell = lambda s, x: F.struct(F.lit(s).alias("side"), F.col("tb").alias("tb_amount"), x.alias("gl_amount"))
+    none = F.lit(None).cast("decimal(28,2)")
+    sides = F.when(F.col("o_custkey").isNull(), F.array(cell("unmatched", none))).otherwise(F.array(*(cell(s, F.col(s)) for s in ("debit", "credit"))))
+    flat = j.select("account", F.coalesce("variants_used", F.lit("")).alias("variants_used"), F.explode(sides).alias("x")).select("account", "x.*", "variants_used")
     gap = F.col("gl_amount") - F.col("tb_amount")
-    return flat.where(F.abs(gap) > 1.0).select("account", "side", F.round("tb_amount", 2).alias("tb_amount"), F.round("gl_amount", 2).alias("gl_amount"), F.round(gap, 2).alias("mismatch"), X.percent_severity(gap, "tb_amount").alias("severity"))
+    sev = F.when(F.col("gl_amount").isNotNull(), X.percent_severity(gap.cast("double"), F.col("tb_amount").cast("double")))
+    return flat.where(F.col("gl_amount").isNull() | (F.abs(gap) > 1)).select("account", "side", F.col("tb_amount").cast("double").alias("tb_amount"), F.col("gl_amount").cast("double").alias("gl_amount"), gap.cast("double").alias("mismatch"), sev.alias("severity"), "variants_used")
 
 
 _SERIES = """v AS (SELECT o_orderstatus AS vch_type, o_orderkey AS num, 'SO_' || o_orderkey AS entry_id FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey),
@@ -113,45 +139,88 @@ def e15(spark, d):
     return g.select("vch_type", "missing_count", "first_missing", "last_missing", "group_size", X.gap_severity("missing_count").alias("severity"), F.array_join(F.col("n").cast("array<string>"), "; ").alias("missing_numbers"))
 
 
-_G1 = "a AS (SELECT date_trunc('month', o_orderdate) AS m, round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS taxable FROM orders GROUP BY 1), b AS (SELECT date_trunc('month', o_orderdate) AS m, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS taxable FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)"
+#: Measures of a return, each as (orders, lines): what is summed, and where. The star tables have no tax heads, so statuses and flags stand for them.
+MEASURES = {
+    "taxable": (("o_totalprice * 1.00", "TRUE"), ("l_extendedprice * 1.00", "TRUE")),
+    "igst": (("o_totalprice * 0.18", "o_orderstatus = 'O'"), ("l_extendedprice * l_tax", "l_returnflag = 'R'")),
+    "cgst": (("o_totalprice * 0.09", "o_orderstatus = 'F'"), ("l_extendedprice * l_tax", "l_returnflag = 'A'")),
+    "sgst": (("o_totalprice * 0.09", "o_orderstatus = 'F'"), ("l_extendedprice * l_tax", "l_returnflag = 'N'")),
+    "cess": (("o_totalprice * 0.01", "o_orderstatus = 'P'"), ("l_extendedprice * l_discount", "l_linestatus = 'F'")),
+    "non_gst": (("o_totalprice * 1.00", "o_orderpriority = '5-LOW'"), ("l_extendedprice * 1.00", "l_tax = 0")),
+}
+_MONEY = ("o_totalprice", "l_extendedprice", "l_tax", "l_discount")
+
+
+def _measure(side: int, name: str) -> str:
+    """SQL of a measure, in decimals; both engines read it."""
+    what, where = MEASURES[name][side]
+    for c in _MONEY:
+        what = what.replace(c, f"CAST({c} AS DECIMAL(14,2))")
+    return f"CAST(coalesce(sum(CASE WHEN {where} THEN CAST({what} AS DECIMAL(24,4)) END), 0) AS DECIMAL(28,4)) AS {name}"
+
+
+_G1 = "a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, {} FROM orders GROUP BY 1), b AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, {} FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)".format(*(", ".join(_measure(i, n) for n in MEASURES) for i in (0, 1)))
 
 
 def monthly(spark, d):
+    """(a: what the orders say of each month, b: what the lines say), all measures as decimals."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     month = F.trunc("o_orderdate", "month").alias("m")
-    a = o.groupBy(month).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("taxable"))
-    b = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(month).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("taxable"))
+    a = o.groupBy(month).agg(*(F.expr(_measure(0, n)) for n in MEASURES))
+    b = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(month).agg(*(F.expr(_measure(1, n)) for n in MEASURES))
     return a, b
 
 
-@query("g09_gstr1_vs_gstr3b", f"WITH {_G1} SELECT CAST(a.m AS DATE) AS period, 'taxable' AS \"check\", round(CAST(a.taxable AS DOUBLE) - CAST(b.taxable AS DOUBLE), 2) AS mismatch, {PERCENT.format('(CAST(a.taxable AS DOUBLE) - CAST(b.taxable AS DOUBLE))', 'CAST(b.taxable AS DOUBLE)')} AS severity FROM a JOIN b USING (m) WHERE abs(CAST(a.taxable AS DOUBLE) - CAST(b.taxable AS DOUBLE)) > 10.0")
+def unpivot_sql(left: str, right: str, join: str, measures: list[str]) -> str:
+    """m, "check", l, r: the measures of two tables as rows."""
+    both = ", ".join(f"coalesce({left}.{x}, 0)" for x in measures), ", ".join(f"coalesce({right}.{x}, 0)" for x in measures)
+    return f"(SELECT m, unnest([{', '.join(repr(x) for x in measures)}]) AS \"check\", unnest([{both[0]}]) AS l, unnest([{both[1]}]) AS r FROM {left} {join} JOIN {right} USING (m))"
+
+
+_GAP = "CAST(l - r AS DOUBLE)"
+_BY_RIGHT, _BY_LEFT = PERCENT.format(_GAP, "CAST(r AS DOUBLE)"), PERCENT.format(_GAP, "CAST(l AS DOUBLE)")
+#: Months of June have no second return, so that some filings are missing.
+_FILED = "month(m) <> 6"
+
+
+@query("g09_gstr1_vs_gstr3b", f"""WITH {_G1}, f AS (SELECT * FROM b WHERE {_FILED}), x AS {unpivot_sql('a', 'f', '', list(MEASURES))}
+SELECT m AS period, "check", {_GAP} AS mismatch, {_BY_RIGHT} AS severity FROM x WHERE abs(l - r) > 10.0
+UNION ALL SELECT m, 'missing_filing', NULL, 'CRITICAL' FROM a WHERE m NOT IN (SELECT m FROM f)""")
 def g09(spark, d):
     a, b = monthly(spark, d)
-    return R.reconcile(a, b, ["m"], ["taxable"], 10.0).select(F.col("m").alias("period"), "check", F.round("mismatch", 2).alias("mismatch"), "severity")
+    flags = R.reconcile(a, b.where(F.month("m") != 6), ["m"], list(MEASURES), 10.0, how="left", missing="missing_filing")
+    return flags.select(F.col("m").alias("period"), "check", F.col("mismatch").cast("double").alias("mismatch"), "severity")
+
 
+_HEADS = ("cgst", "sgst", "igst")
+_PAID = "a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, {} FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)".format(", ".join(_measure(1, h) for h in _HEADS))
 
-@query("g10_payment_completeness", f"""WITH p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DOUBLE) AS payable, CAST(coalesce(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)) END), 0) AS DOUBLE) AS paid FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
-SELECT period, round(payable - paid, 4) AS mismatch, {PERCENT.format('(payable - paid)', 'payable')} AS severity FROM p WHERE abs(payable - paid) > 10.0""")
+
+@query("g10_payment_completeness", f"""WITH {_PAID}, b AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, {", ".join(_measure(1, h) for h in _HEADS)} FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT m AS period, "check", {_GAP} AS mismatch, {_BY_LEFT} AS severity FROM {unpivot_sql('a', 'b', 'LEFT', list(_HEADS))} WHERE abs(l - r) > 10.0""")
 def g10(spark, d):
+    """What is payable a head and month against what of it is paid: one pass over the lines, both sums by condition."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    tax = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_tax").cast("decimal(4,2)")
-    p = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.trunc("o_orderdate", "month").alias("period")).agg(F.sum(tax).cast("double").alias("payable"), F.coalesce(F.sum(F.when(F.col("l_linestatus") == "F", tax)).cast("double"), F.lit(0.0)).alias("paid"))
+    paid = lambda h: _measure(1, h).replace("CASE WHEN ", "CASE WHEN l_linestatus = 'F' AND ").replace(f"AS {h}", f"AS {h}_paid")
+    p = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.trunc("o_orderdate", "month").alias("period")).agg(*(F.expr(_measure(1, h)) for h in _HEADS), *(F.expr(paid(h)) for h in _HEADS))
+    flat = p.select("period", F.explode(F.array(*(F.struct(F.lit(h).alias("check"), F.col(h).alias("payable"), F.col(f"{h}_paid").alias("paid")) for h in _HEADS))).alias("x")).select("period", "x.*")
     gap = F.col("payable") - F.col("paid")
-    return p.where(F.abs(gap) > 10).select("period", F.round(gap, 4).alias("mismatch"), X.percent_severity(gap, "payable").alias("severity"))
+    return flat.where(F.abs(gap) > 10).select("period", "check", gap.cast("double").alias("mismatch"), X.percent_severity(gap.cast("double"), F.col("payable").cast("double")).alias("severity"))
+
+
+_BOOKS = [m for m in MEASURES if m != "cess"]
 
 
-@query("g11_ledger_vs_gstr1", f"""WITH {_G1}, f AS (SELECT * FROM a WHERE month(m) <> 6), span AS (SELECT min(m) AS lo, max(m) AS hi FROM f)
-SELECT CAST(coalesce(b.m, f.m) AS DATE) AS period, CASE WHEN f.m IS NULL THEN 'missing_return' ELSE 'taxable' END AS "check", CASE WHEN f.m IS NULL THEN 'CRITICAL' ELSE replace({PERCENT.format('(CAST(b.taxable AS DOUBLE) - CAST(f.taxable AS DOUBLE))', 'CAST(f.taxable AS DOUBLE)')}, 'NONE', 'MEDIUM') END AS severity
-FROM b LEFT JOIN f ON b.m = f.m, span WHERE (f.m IS NULL AND b.m BETWEEN lo AND hi) OR abs(CAST(b.taxable AS DOUBLE) - CAST(f.taxable AS DOUBLE)) > 10.0""")
+@query("g11_ledger_vs_gstr1", f"""WITH {_G1}, f AS (SELECT * FROM a WHERE {_FILED}), span AS (SELECT min(m) AS lo, max(m) AS hi FROM f), x AS {unpivot_sql('b', 'f', '', _BOOKS)}
+SELECT m AS period, "check", {_GAP} AS mismatch, replace({_BY_RIGHT}, 'NONE', 'MEDIUM') AS severity FROM x WHERE abs(l - r) > 10.0
+UNION ALL SELECT m, 'missing_return', NULL, 'CRITICAL' FROM b, span WHERE m NOT IN (SELECT m FROM f) AND m BETWEEN lo AND hi""")
 def g11(spark, d):
     a, b = monthly(spark, d)
     filed = a.where(F.month("m") != 6)
     span = filed.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))  # one row
-    j = b.withColumnRenamed("taxable", "ledger").join(filed.withColumnRenamed("taxable", "filed"), "m", "left").crossJoin(F.broadcast(span))
-    gap = F.col("ledger") - F.col("filed")
-    hole = F.col("filed").isNull()
-    sev = X.percent_severity(gap, "filed")
-    return j.where((hole & F.col("m").between(F.col("lo"), F.col("hi"))) | (F.abs(gap) > 10)).select(F.col("m").alias("period"), F.when(hole, "missing_return").otherwise("taxable").alias("check"), F.when(hole, "CRITICAL").when(sev == "NONE", "MEDIUM").otherwise(sev).alias("severity"))
+    flags = R.reconcile(b, filed, ["m"], _BOOKS, 10.0, how="left", never_none=True, missing="missing_return").crossJoin(F.broadcast(span))
+    inside = (F.col("check") != "missing_return") | F.col("m").between(F.col("lo"), F.col("hi"))
+    return flags.where(inside).select(F.col("m").alias("period"), "check", F.col("mismatch").cast("double").alias("mismatch"), "severity")
 
 
 CONVERGED = f"""flags AS (SELECT entry_id, leg_num, 0 AS ord, rule, severity FROM ({G1_SQL}) UNION ALL SELECT entry_id, leg_num, 1, rule, severity FROM ({G2_SQL}) UNION ALL SELECT entry_id, leg_num, 2, rule, severity FROM dup),
@@ -161,7 +230,7 @@ conv AS (SELECT legs.entry_id, legs.leg_num, date, account, amount, rules, signa
 
 def converged(spark, d):
     legs = ledger_legs(spark, d)
-    flags = [R.segregation(legs), R.round_amounts(legs.withColumn("amount", F.col("l_quantity") * 1000)), R.duplicates(legs, _dup_keys())]
+    flags = [R.segregation(legs), R.round_amounts(legs.withColumn("amount", F.col("l_quantity") * 1000)), R.duplicates(dup_legs(spark, d), dup_keys())]
     return R.converge(legs, flags)
 
 
@@ -194,3 +263,9 @@ def g08f(spark, d):
 @query("g08_isolation_forest")
 def g08(spark, d):
     return anomaly.flags(anomaly.features(ledger_legs(spark, d)))
+
+
+@query("g08_severity_counts", "SELECT severity, CAST(hi - lo AS BIGINT) AS flags FROM (SELECT CAST(floor(count(*) * 0.05) AS BIGINT) AS n5, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_extendedprice > 0), LATERAL (VALUES ('high', 0, CAST(floor(n * 0.01) AS BIGINT)), ('medium', CAST(floor(n * 0.01) AS BIGINT), CAST(floor(n * 0.03) AS BIGINT)), ('low', CAST(floor(n * 0.03) AS BIGINT), n5)) t(severity, lo, hi)")
+def g08_counts(spark, d):
+    """How many legs each band of ranks holds; no model decides that, so SQL knows it."""
+    return anomaly.severity_counts(anomaly.flags(anomaly.features(ledger_legs(spark, d))))

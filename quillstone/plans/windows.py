@@ -23,13 +23,12 @@ def f03(spark, d):
 @query("f05_rank_bands", "WITH t AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rk, (SELECT count(*) FROM orders) AS n FROM orders) SELECT o_orderkey, rk::INTEGER AS rk, CASE WHEN rk / n <= 0.01 THEN 'high' WHEN rk / n <= 0.03 THEN 'medium' ELSE 'low' END AS band FROM t WHERE rk <= floor(n * 0.05)")
 def f05(spark, d):
     from quillstone.functions.exprs import rank_severity
+    from quillstone.operators.ordering import first_ranks, spread
 
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    o = table(spark, d, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("less"))
     n = o.count()
-    # only the top share is ranked, after a distributed top-k
-    top = o.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(int(n * 0.05))
-    rk = F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
-    return top.select("o_orderkey", rk.alias("rk")).withColumn("band", rank_severity(F.col("rk") / n))
+    top = first_ranks(o, "less", ["o_orderkey"], spread(o, "less", 0.05), int(n * 0.05), "rk")
+    return top.select("o_orderkey", "rk").withColumn("band", rank_severity(F.col("rk") / n))
 
 
 @query("f06_report_order", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT entry_id, leg_num, signal_count, severity FROM conv ORDER BY signal_count DESC, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END DESC, entry_id, leg_num")
