@@ -248,17 +248,52 @@ def spark_type(kind: str) -> T.StructType:
 
 
 # ---------------------------------------------------------------- components
-def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "components", most_rounds: int = 60) -> DataFrame:
+#: Links that one task finishes: some 16 MB of ids, checked before they meet there.
+FINISHED = 1_000_000
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each reaches): labels sink along links and then along labels until none changes."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        differ = x != y
+        if not differ.any():
+            return nodes, nodes[label]
+        x, y = x[differ], y[differ]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches]
+    if got:
+        nodes, least = least_reached(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        for a in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[a : a + 100_000]), pa.array(least[a : a + 100_000])], names=["node", "component"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "components", most_rounds: int = 60, finished: int = FINISHED) -> DataFrame:
     """(node, component): the smallest node that each node of the links reaches.
 
     Alternating large-star and small-star steps; each step sends a node's
     neighbours to the smallest of them with a grouped minimum joined back, so
-    no neighbourhood is gathered. Only a change count reaches the driver.
+    no neighbourhood is gathered. Once no more than `finished` links are left,
+    one task follows them to their ends. Only a change count reaches the driver.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = stage(edges, label)
     last = None
     for _ in range(most_rounds):
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.xxhash64("u", "v", F.lit(7)) % 1000003).cast("long"))).first()
+        if now[0] <= finished:
+            return edges.coalesce(1).mapInArrow(_finish, "node long, component long")
+        if last == now:
+            break
+        last = now
         # large star: every neighbour above a node goes to the least neighbour (the node included)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -270,10 +305,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "compo
         nxt = stage(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), label)
         drop_staged(edges)
         edges = nxt
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.xxhash64("u", "v", F.lit(7)) % 1000003).cast("long"))).first()
-        if last == now:
-            break
-        last = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

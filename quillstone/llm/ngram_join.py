@@ -364,6 +364,8 @@ def link_classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
         mixed = known.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
         placed = stage(known.join(mixed, "t"), "across")
         drop_staged(centres)
+        if placed.isEmpty():  # no shingle joins two components
+            return sets.select("uid", "doc_id", "digest", "n", "same"), classes, reduce(DataFrame.unionByName, links)
     marked = placed.join(reps.select("uid", "r", "bits"), "uid").withColumn("band", _band(percent))
     as_side = lambda x: marked.select("t", "band", *(F.col(c).alias(x + k) for c, k in (("uid", ""), ("n", "n"), ("left", "l"), ("component", "c"), ("r", "r"), ("bits", "s"))))
     beside = as_side("b").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))

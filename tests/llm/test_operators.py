@@ -239,7 +239,10 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    assert {x.node: x.component for x in common.components(df).collect()} == {x: find(x) for x in list(root)}
+    want = {x: find(x) for x in list(root)}
+    for finished in (0, 150, 1_000_000):  # by rounds alone, by rounds and one task, by one task
+        assert {x.node: x.component for x in common.components(df, finished=finished).collect()} == want
+    assert common.components(df.limit(0)).count() == 0
 
 
 def test_ngram_hash_filters():
