@@ -86,3 +86,36 @@ def hits(text, items, window=10):
                     marked |= set(range(i, i + m))
                     found.add(str(item))
     return len(w), len(marked), sorted(found)
+
+
+def quality_score(text, model, hash_of):
+    """The score of one text by loops: passages of 64 words, their measures, the encoder, gated attention, the head."""
+    import math
+
+    import numpy as np
+
+    from quillstone.llm import quality
+
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    groups = [raw[i : i + 64] for i in range(0, len(raw), 64)] or [[]]
+    encoded = []
+    for g in groups:
+        n, chars = max(len(g), 1), sum(map(len, g))
+        row = [sum(1 for w in g for c in w if quality._CLASS_OF[c] == k) / max(chars, 1) for k in range(1, len(quality._CLASSES) + 1)]
+        row += [chars / n / 10, sum(a == b for a, b in zip(g, g[1:], strict=False)) / n, sum(a == b for a, b in zip(g, g[2:], strict=False)) / n, len(set(g)) / n, len(g) / 64, math.log1p(len(raw)) / 10, math.sqrt(sum(len(w) ** 2 for w in g) / n) / 20]
+        row.append(sum(model.odds[hash_of(w) % quality.BUCKETS] for w in g) / n)
+        x = (np.array(row) - model.centre) / model.scale
+        encoded.append(np.tanh(x @ model.w["enc"] + model.w["enc_b"]))
+    gates = [math.exp(float((np.tanh(h @ model.w["att_v"]) / (1 + np.exp(-(h @ model.w["att_u"])))) @ model.w["att_w"])) for h in encoded]
+    z = sum(g * h for g, h in zip(gates, encoded, strict=True)) / sum(gates)
+    return 1 / (1 + math.exp(-float(z @ model.w["out"] + model.w["out_b"])))
+
+
+def redacted(text, mark="[SECRET]"):
+    """text with its base secrets replaced, overlapping ones once."""
+    out, at = "", 0
+    for s, _, _, e in secrets(text):
+        if s >= at:
+            out += text[at:s] + mark
+        at = max(at, e)
+    return out + text[at:] if text is not None else None

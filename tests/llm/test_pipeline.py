@@ -1,11 +1,11 @@
-"""The pipeline's stages against plain versions on planted cases, and the queries' names."""
-
-
+"""The pipeline and its stages against plain versions on planted cases, and the queries' names."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
+from quillstone.llm import common, packing, quality
 from tests.llm import brute
 from tests.llm.test_operators import ITEMS, bags, edited, prose
 
@@ -47,9 +47,48 @@ def test_stages(spark, folder):
     assert pieces.select("doc_id").distinct().count() == len(rows)
 
 
+def hash_of(word):
+    buf = np.frombuffer(word, np.uint8)
+    return int(common.word_hashes(buf, np.array([0]), np.array([len(word)]), common.BYTE_HASH)[0])
+
+
+def test_scores(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert set(got) == set(texts) and all(abs(got[i] - brute.quality_score(t, model, hash_of)) < 1e-9 for i, t in texts.items())
+
+
 def test_run(spark, folder):
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
-    assert 1100 not in ids and 1101 in ids and len(ids & set(range(1000, 1005))) == 1
+    """All stages one after another, against plain versions of each; the ids of a document's pieces spell its text."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    left = {r.doc_id: r.text for r in docs.collect() if brute.quality_score(r.text, model, hash_of) >= quality.THRESHOLD}
+    order = sorted(left)
+    first = brute.components([brute.shingle_set(left[i]) for i in order])
+    left = {order[k]: left[order[k]] for k in sorted(set(first))}
+    left = {i: brute.redacted(t) for i, t in left.items() if not brute.hits(t, ITEMS[:2])[1]}
+    tok, got = Tokenizer.from_file(packing.tokenizer_path()), {}
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {i: sum((x for _, x in sorted(p)), []) for i, p in got.items()} == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in left.items()}
+    assert 1100 not in got and 1101 in got and len(set(got) & set(range(1000, 1005))) == 1
+
+
+def test_stages_keep_all_columns(spark, folder):
+    """Columns named as what an operator makes pass through every stage but the last."""
+    more = ["base", "weak", "row_id", "row", "score", "passage_weights", "items", "n_hit", "uid", "digest", "keeper", "spans", "linked", "number"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id >= 1000")
+    for c in more:
+        docs = docs.selectExpr("*", f"concat('{c}', doc_id) as {c}")
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, folder)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in more)
 
 
 def test_registered():
