@@ -52,8 +52,8 @@ ROUNDS = 6
 COPIED = 10_000
 #: Memory of a shard's sort before it goes on in files.
 SORT_MEMORY = 256_000_000
-#: Shards for each shuffle partition at least, and bytes of a shard: a sort holds some 50 for each.
-SHARDS, SHARD_BYTES = 4, 16_000_000
+#: Shards for each shuffle partition where a shard has LEAST_BYTES, and bytes of a shard at most: a sort holds some 50 for each.
+SHARDS, LEAST_BYTES, SHARD_BYTES = 4, 1_000_000, 16_000_000
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -251,7 +251,8 @@ def repeated_windows(long: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         by = which.groupBy("tk").agg(F.collect_set(F.struct("key", "sh", "start", "windows")).alias("runs"))
         return texts.join(by, "tk").mapInArrow(_segments(length), "key long, sh binary, seg binary")
 
-    cold = bodies(chosen.where(~is_hot)).repartition(max(SHARDS * parts, -(-size // SHARD_BYTES)), "key")
+    shards = max(1, min(SHARDS * parts, -(-size // LEAST_BYTES)), -(-size // SHARD_BYTES))
+    cold = bodies(chosen.where(~is_hot)).repartition(shards, "key")
     flags = cold.select("sh", "seg").mapInArrow(_sorted_shard(length, scratch), f"sh binary, flags {SPANS}")
     if found:
         warm = stage(bodies(chosen.where(is_hot)).select(F.col("sh").alias("tk"), F.lit(0).cast("long").alias("did"), F.col("seg").alias("text")), "hot-segments")
