@@ -7,11 +7,12 @@ import threading
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
 from quillstone.operators import anomaly
+from quillstone.operators import reconstruct as V
 from quillstone.operators import rules as R
 
 
@@ -57,6 +58,50 @@ def confidence(stats: dict, least_vouchers: int = 20, unresolved: float = 10.0,
     return ("low" if reasons else "ok"), reasons
 
 
+def drifted(stats: dict, known_unbalanced: int | None) -> bool:
+    """Whether a ledger has another number of unbalanced vouchers than was found and looked into before; not an error, but worth a look."""
+    return known_unbalanced is not None and stats["unbalanced"] != known_unbalanced
+
+
+def canonical(parts: dict[str, DataFrame], label: str) -> DataFrame:
+    """Reconstructed legs in the columns of a ledger, with day, vouchers' type and number and whether they balance."""
+    legs = parts["legs"].join(V.balances(parts["legs"]), "entry_id")
+    cut = F.split("entry_id", "_")
+    return legs.select(
+        F.lit(label).alias("ledger_id"), "entry_id", F.col("particulars").alias("account"), "dr_cr", F.col("amount").cast("decimal(18,2)").alias("amount"), X.any_date(F.col("first_date")).alias("date"),
+        cut[0].alias("vch_type"), cut[1].alias("vch_no"), F.lit(None).cast("string").alias("entered_by"), F.lit(None).cast("string").alias("approved_by"), "source_pages", "corroboration_count", F.col("balanced").alias("entry_balanced"),
+    ).withColumn("leg_num", F.row_number().over(Window.partitionBy("entry_id").orderBy("account", "dr_cr", "amount")))
+
+
+def process_ledger(page_lines: DataFrame, label: str, folder: str | None = None, known_unbalanced: int | None = None) -> dict:
+    """One ledger from page lines to its report: reconstruct, judge, adapt, report, and write three tables where a folder is given. Nothing raises: status tells the step that failed; a ledger without vouchers ends after the first."""
+    out: dict = {"label": label, "status": "ok"}
+
+    def reconstructed():
+        out["parts"] = V.reconstruct(page_lines)
+        out["stats"] = V.statistics(out["parts"])
+        if not out["stats"]["vouchers"]:
+            raise ValueError("no vouchers found")
+        out["confidence"], out["reasons"] = confidence(out["stats"])
+        out["drifted"] = drifted(out["stats"], known_unbalanced)
+
+    def written():
+        if folder:
+            for name in ("legs", "unresolved", "state_events"):
+                out["parts"][name].write.mode("overwrite").json(f"{folder}/{label}_{name}")
+
+    def reported():
+        out["legs"] = canonical(out["parts"], label)
+        out["report"], out["tables"] = ledger_report(out["legs"], label)
+
+    for name, step in (("reconstruct", reconstructed), ("write", written), ("report", reported)):
+        done = run_steps([(name, step)])[name]
+        if done["status"] != "ok":
+            out["status"], out["reason"] = f"{name} {done['status']}", done["reason"]
+            break
+    return out
+
+
 def run_steps(steps: list[tuple[str, Callable[[], object]]], progress: Callable[[str], None] | None = None) -> dict[str, dict]:
     """Each step alone: a missing file skips it, any other failure marks it, later steps run."""
     out = {}

@@ -1,5 +1,6 @@
 """Vouchers from ledger page lines.
 
+The account of a page is found by array expressions over its header lines.
 State never crosses a page, so each (doc, page) is parsed by itself in
 applyInPandas; merging occurrences into vouchers is windows and groupings.
 """
@@ -7,6 +8,7 @@ applyInPandas; merging occurrences into vouchers is windows and groupings.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,26 +18,44 @@ from pyspark.sql import functions as F
 DAY = r"\d{1,2}-[A-Z][a-z]{2}-\d{2,4}"
 TYPES = r"Journal|Payment|Receipt|Contra|Sales GST|Sales Cash|Sales|Purchase GST|Purchase|Debit Note|Credit Note"
 AMOUNT = r"[\d,]+\.\d{2}"
-HEADER = re.compile(rf"^(?:(?P<date>{DAY})\s+)?(?P<side>To|By)\s+(?P<name>.+?)\s+(?P<type>{TYPES})\s+(?P<no>[A-Za-z0-9_\-]+(?:\s?/[A-Za-z0-9_\-]+)*)\s+(?P<amount>{AMOUNT})(?:\s.*)?$")
+#: The particulars may be blank, and the type may run into a number that begins with a digit.
+HEADER = re.compile(rf"^(?:(?P<date>{DAY})\s+)?(?P<side>To|By)\s+(?:(?P<name>.+?)\s+)?(?P<type>{TYPES})(?:\s+|(?=\d))(?P<no>[A-Za-z0-9_\-]+(?:\s?/[A-Za-z0-9_\-]+)*)\s+(?P<amount>{AMOUNT})(?:\s.*)?$")
+#: What may be the first half of a header that goes on in the next line.
+BEGUN = re.compile(rf"^(?:{DAY}\s+)?(?:To|By)\s+\S")
 LEG = re.compile(rf"^(?P<name>.+?)\s+(?P<amount>{AMOUNT})\s+(?P<dir>Dr|Cr)$")
 ORPHAN = re.compile(rf"^(?P<amount>{AMOUNT})\s+(?P<dir>Dr|Cr)$")
 STATE = re.compile(rf"^(?:(?P<date>{DAY})\s+)?(?:(?:To|By)\s+)?(?P<kind>Opening Balance|Closing Balance|Brought Forward|Carried Over)\s+(?P<amount>{AMOUNT}).*$")
 NOISE = re.compile(r"^(Page \d+|Ledger Account|Date Particulars.*|\d{1,2}-\w{3}-\d{2} to .*)$")
 NARRATION = re.compile(r"^(Being|Paid|Towards|Amount|Ch\.? ?No)\b", re.I)
 
-OCCURRENCES = "doc string, page int, line_no long, kind string, voucher int, date string, vch_type string, vch_no string, particulars string, dr_cr string, amount double, text string"
+OCCURRENCES = "doc string, page int, line_no long, kind string, voucher int, date string, vch_type string, vch_no string, particulars string, dr_cr string, amount decimal(18,2), text string"
+
+
+def _whole_lines(rows: list[tuple]) -> list[tuple]:
+    """Lines with a header that is wrapped put together with the line that it goes on in."""
+    out, skip = [], False
+    for here, after in zip(rows, [*rows[1:], None], strict=True):
+        if skip:
+            skip = False
+            continue
+        text = here[3].strip()
+        if after is not None and BEGUN.match(text) and not HEADER.match(text) and not STATE.match(text) and HEADER.match(f"{text} {after[3].strip()}"):
+            text, skip = f"{text} {after[3].strip()}", True
+        out.append((*here[:3], text))
+    return out
 
 
 def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
-    """One row a leg, orphan, narration, state event or unresolved line of a page."""
-    out, voucher, active, day, account = [], 0, None, None, None
-    for doc, page, no, text in lines.sort_values("line_no")[["doc", "page", "line_no", "text"]].itertuples(index=False):
-        text = text.strip()
+    """One row a leg, orphan, narration, state event or unresolved line of a page; an account column names the page's account."""
+    out, voucher, active, day = [], 0, None, None
+    account = lines["account"].iloc[0] if "account" in lines and len(lines) else None
+    account = account if isinstance(account, str) else None
+    for doc, page, no, text in _whole_lines(list(lines.sort_values("line_no")[["doc", "page", "line_no", "text"]].itertuples(index=False, name=None))):
 
         def put(kind, **more):
             out.append({"doc": doc, "page": page, "line_no": no, "kind": kind, "voucher": voucher if active else None, **(active or {}), "text": text, **more})  # noqa: B023
 
-        number = lambda m: float(m["amount"].replace(",", ""))
+        number = lambda m: Decimal(m["amount"].replace(",", ""))
         if not text or NOISE.match(text):
             active = None
         elif m := STATE.match(text):
@@ -47,7 +67,7 @@ def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
             voucher += 1
             active = {"date": day, "vch_type": m["type"], "vch_no": m["no"]}
             put("leg", particulars=account or "(page account)", dr_cr="Dr" if m["side"] == "To" else "Cr", amount=number(m))
-            if m["name"] != "(as per details)":
+            if m["name"] and m["name"] != "(as per details)":
                 put("narration", particulars=m["name"])
         elif active and (m := ORPHAN.match(text)):
             put("orphan", dr_cr=m["dir"], amount=number(m))
@@ -55,20 +75,23 @@ def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
             put("leg", particulars=m["name"], dr_cr=m["dir"], amount=number(m))
         elif active and NARRATION.match(text):
             put("narration")
-        elif account is None and not out:
+        elif account is None and not out and "account" not in lines:
             account = text
         else:
             put("unresolved")
     cols = [c.split()[0] for c in OCCURRENCES.split(", ")]
     frame = pd.DataFrame(out).reindex(columns=cols)
     frame["voucher"] = frame["voucher"].astype("Int32")
-    for c in ("date", "vch_type", "vch_no", "particulars", "dr_cr"):
+    for c in ("date", "vch_type", "vch_no", "particulars", "dr_cr", "amount"):
         frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
     return frame
 
 
-def occurrences(page_lines: DataFrame) -> DataFrame:
-    """page_lines: doc, page, line_no, text."""
+def occurrences(page_lines: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """page_lines: doc, page, line_no, text. accounts (doc, page, account, body_from) names the pages' accounts and where their headers end; else a page's first line that is nothing else is its account."""
+    if accounts is not None:
+        told = accounts.select("doc", "page", "account", "body_from")
+        page_lines = page_lines.join(told, ["doc", "page"], "left").where("body_from is null or line_no >= body_from").drop("body_from")
     return page_lines.groupBy("doc", "page").applyInPandas(parse_page, OCCURRENCES)
 
 
@@ -81,7 +104,7 @@ def merged(found: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "entry_id", "particulars", "dr_cr").orderBy("page", "line_no")
     won = named.withColumn("first_amount", F.first("amount").over(w))
     same = F.col("amount") == F.col("first_amount")
-    return won.groupBy("doc", "entry_id", "particulars", "dr_cr").agg(F.max("first_amount").alias("amount"), F.array_sort(F.collect_list(F.when(same, F.col("page")))).alias("source_pages"), F.count_if(same).alias("corroboration_count"), F.count_if(~same).alias("conflicts"))
+    return won.groupBy("doc", "entry_id", "particulars", "dr_cr").agg(F.min_by("date", place).alias("first_date"), F.max("first_amount").alias("amount"), F.array_sort(F.collect_list(F.when(same, F.col("page")))).alias("source_pages"), F.count_if(same).alias("corroboration_count"), F.count_if(~same).alias("conflicts"))
 
 
 def balances(legs: DataFrame) -> DataFrame:
@@ -91,6 +114,63 @@ def balances(legs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- accounts of pages
+# Fixed forms of page headers.
+_COLUMNS = "Date Particulars"
+_MARKER = "Ledger Account"
+_PERIOD = r"\d{1,2}-[A-Za-z]{3}-\d{2,4}\s+to\s+\d{1,2}-[A-Za-z]{3}-\d{2,4}"
+_TITLED = rf"^(.+?)\s+(?:Ledger\s*:|:)\s+{_PERIOD}\s+Page\s+\d+$"
+_TAILS = ("CO.", "A/C", "LTD.")
+#: Letters of the marker in their order, any of them lost.
+_GARBLED = "^" + "".join(f"{x}?" for x in _MARKER.replace(" ", "")) + "$"
+
+
+def page_headers(page_lines: DataFrame, preamble: tuple[str, ...] = ("ANONYMISED FIRM",)) -> DataFrame:
+    """doc, page, account, body_from: the account that a page's header names, and the first line after the column titles.
+
+    Three layouts are known: a name before the marker line (or "<name> Book"
+    before the period); a name with the period and page number in one line and
+    the rest of it in the next; and a name alone before lines of the period and
+    the page number, where exactly one line is left besides the preamble,
+    single letters and a garbled marker. Anything else is null, never a guess.
+    """
+    at = F.min(F.when(F.col("text").contains(_COLUMNS), F.col("line_no")))
+    pages = page_lines.withColumn("text", F.trim("text")).where("text <> ''").groupBy("doc", "page").agg(at.alias("titles"), F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("all"))
+    head = F.transform(F.filter("all", lambda x: x["line_no"] < F.col("titles")), lambda x: x["text"])
+    pages = pages.select("doc", "page", "titles", F.when(F.col("titles").isNotNull(), head).alias("h"))
+
+    def line(i):
+        return F.get("h", i)
+
+    def first(test, name):
+        """name(text, place) of the first header line that passes."""
+        numbered = F.transform("h", lambda x, i: F.when(test(x, i), F.struct(F.lit(True).alias("hit"), name(x, i).alias("name"))))
+        return F.get(F.filter(numbered, lambda x: x["hit"]), F.lit(0))["name"]
+
+    marked = first(lambda x, i: ((x == _MARKER) & (i > 0)) | (x.endswith(" Book") & line(i + 1).rlike(rf"^{DAY}")), lambda x, i: F.when(x == _MARKER, line(i - 1)).otherwise(F.trim(F.regexp_replace(x, " Book$", ""))))
+
+    def titled(x, i):
+        rest = F.when(line(i + 1).isin("Book", "Account"), F.lit(None)).otherwise(F.trim(F.regexp_replace(line(i + 1), r"(?<=.)\s+(Account|Book)$", "")))
+        return F.concat_ws(" ", F.trim(F.regexp_extract(x, _TITLED, 1)), rest, F.when(line(i + 2).isin(*_TAILS), line(i + 2)))
+
+    split = first(lambda x, i: x.rlike(_TITLED) & line(i + 1).isNotNull(), titled)
+
+    def alone(x, i):
+        names = F.filter(F.slice("h", 1, i), lambda n: ~n.isin(*preamble) & ~n.rlike("^[A-Z]$"))
+        despaced = F.regexp_replace(F.get(names, F.lit(1)), " ", "")
+        fits = (F.size(names) == 1) | ((F.size(names) == 2) & (F.length(despaced) >= 2) & despaced.rlike(_GARBLED))
+        return F.when(fits, F.get(names, F.lit(0)))
+
+    bare = first(lambda x, i: x.rlike(rf"^{_PERIOD}$") & line(i + 1).rlike(r"^Page\s+\d+$"), alone)
+    return pages.select("doc", "page", F.coalesce(marked, split, bare).alias("account"), (F.col("titles") + 1).alias("body_from"))
+
+
+def page_balances(page_lines: DataFrame) -> DataFrame:
+    """doc, page, brought, carried: what a page brings forward and carries over."""
+    said = page_lines.withColumn("text", F.trim("text")).where(F.col("text").rlike(STATE.pattern.replace("?P<", "?<")))
+    kind, amount = F.regexp_extract("text", r"(Brought Forward|Carried Over)", 1), F.regexp_replace(F.regexp_extract("text", rf"({AMOUNT})", 1), ",", "").cast("decimal(18,2)")
+    return said.groupBy("doc", "page").agg(F.min_by(F.when(kind == "Brought Forward", amount), F.when(kind == "Brought Forward", F.col("line_no"))).alias("brought"), F.max_by(F.when(kind == "Carried Over", amount), F.when(kind == "Carried Over", F.col("line_no"))).alias("carried"))
+
+
 def headed_pages(pages: DataFrame) -> DataFrame:
     """pages (doc, page, account, brought, carried) with account filled in on pages without a header.
 
@@ -150,3 +230,26 @@ def absorb(legs: DataFrame, loose: DataFrame, into) -> tuple[DataFrame, DataFram
     more = hit.groupBy(*key, "particulars").agg(F.collect_list("page").alias("more_"))
     out = legs.join(more, [*key, "particulars"], "left").withColumn("source_pages", F.array_sort(F.concat("source_pages", F.coalesce("more_", F.expr("cast(array() as array<int>)"))))).drop("more_")
     return out, loose.join(target, key, "left_anti")
+
+
+# ---------------------------------------------------------------- one ledger from lines to legs
+def reconstruct(page_lines: DataFrame) -> dict[str, DataFrame]:
+    """legs, unresolved, state_events and headers of ledgers, from their page lines.
+
+    Headers name the accounts; a page without one takes that of the next headed
+    page if balances meet; names of one account are folded into the earlier;
+    then pages are parsed and occurrences merged.
+    """
+    headers = page_headers(page_lines)
+    known = headed_pages(headers.join(page_balances(page_lines), ["doc", "page"], "left"))
+    same = settled(continuations(known))
+    named = known.join(same.withColumnRenamed("later", "account"), "account", "left").withColumn("account", F.coalesce("earlier", "account")).select("doc", "page", "account", "body_from")
+    found = occurrences(page_lines, named)
+    return {"legs": merged(found), "unresolved": found.where("kind in ('unresolved', 'orphan')"), "state_events": found.where("kind = 'state'"), "headers": named}
+
+
+def statistics(parts: dict[str, DataFrame]) -> dict[str, int]:
+    """Counts of vouchers, legs, unresolved lines, vouchers that do not balance and pages without an account: four numbers and one, whatever the ledger's size."""
+    held = balances(parts["legs"])
+    one = held.agg(F.count("*").alias("vouchers"), F.count_if(~F.col("balanced")).alias("unbalanced")).first()
+    return {"vouchers": one.vouchers, "unbalanced": one.unbalanced, "legs": parts["legs"].count(), "unresolved": parts["unresolved"].count(), "headerless": parts["headers"].where("account is null").count()}

@@ -146,5 +146,8 @@ def converge(legs: DataFrame, flags: list[DataFrame]) -> DataFrame:
 
 
 def by_voucher(flags: DataFrame) -> DataFrame:
-    """A row a voucher: largest severity and amount, accounts, first date, flagged legs."""
-    return flags.groupBy("entry_id").agg(F.max(X.rank_of("severity")).alias("rank"), F.max("amount").alias("amount"), F.array_join(F.array_sort(F.collect_set("account")), ", ").alias("accounts"), F.min("date").alias("date"), F.count("*").alias("leg_count")).withColumn("severity", X.severity_of("rank"))
+    """A row a voucher: largest severity and amount, accounts, checks, reasons as first seen, first date, flagged legs. A voucher has few legs."""
+    said = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("leg_num", "reasons"))), lambda x: x["reasons"]))
+    per = flags.groupBy("entry_id").agg(F.max(X.rank_of("severity")).alias("rank"), F.max("amount").alias("amount"), F.array_join(F.array_sort(F.collect_set("account")), ", ").alias("accounts"), F.min("date").alias("date"), F.count("*").alias("leg_count"), said.alias("said"))
+    texts = lambda part: F.array_distinct(F.transform("said", lambda x: x[part]))
+    return per.withColumns({"severity": X.severity_of("rank"), "checks": F.array_join(F.array_sort(texts("rule")), ", "), "reasons": F.array_join(texts("reason"), "; ")}).drop("said")

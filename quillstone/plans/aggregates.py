@@ -44,11 +44,25 @@ def e04(spark, d):
     return named.select("s_name", "n", "chi_square", "mad", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct_of_total")).orderBy(F.col("n").desc(), "s_name").limit(15)
 
 
-@query("e05_exclusion_rerun", f"""WITH {benford_sql('lineitem JOIN orders ON l_orderkey = o_orderkey', 'l_extendedprice', '', "o_orderstatus <> 'P'")} SELECT 'without P' AS run, n, chi_square, mad FROM bf""")
-def e05(spark, d):
+#: What the two further runs leave out: accounts and a voucher type.
+EXCLUDED_ACCOUNTS, EXCLUDED_TYPE = (1, 2, 3), "P"
+_ACCOUNTS_OUT = f"l_suppkey NOT IN {EXCLUDED_ACCOUNTS}"
+_TYPES_OUT = f"o_orderstatus <> '{EXCLUDED_TYPE}'"
+EXCLUSIONS = benford_sql("lineitem", "l_extendedprice", "", _ACCOUNTS_OUT, "xa") + ", " + benford_sql("lineitem JOIN orders ON l_orderkey = o_orderkey", "l_extendedprice", "", _TYPES_OUT, "xt")
+
+
+def exclusions(spark, d):
+    """First digits once without some accounts and once without a voucher type."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    kept = li.join(o.where("o_orderstatus <> 'P'").select("o_orderkey"), li.l_orderkey == F.col("o_orderkey"), "left_semi")
-    return R.benford(kept, "l_extendedprice").select(F.lit("without P").alias("run"), "n", "chi_square", "mad")
+    no_type = li.join(o.where(_TYPES_OUT).select("o_orderkey"), li.l_orderkey == F.col("o_orderkey"), "left_semi")
+    runs = {"without accounts": li.where(_ACCOUNTS_OUT), "without types": no_type}
+    parts = [R.benford(df, "l_extendedprice").select(F.lit(name).alias("run"), "n", "chi_square", "mad", "deviates") for name, df in runs.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("e05_exclusion_rerun", f"WITH {EXCLUSIONS} SELECT 'without accounts' AS run, n, chi_square, mad, deviates FROM xa UNION ALL SELECT 'without types', n, chi_square, mad, deviates FROM xt")
+def e05(spark, d):
+    return exclusions(spark, d)
 
 
 @query("e06_dedup_benford", f"WITH u AS (SELECT DISTINCT l_suppkey, round(l_extendedprice, 0) AS a FROM lineitem), {benford_sql('u', 'a')} SELECT n, chi_square, deviates FROM bf")
@@ -166,7 +180,9 @@ def e24(spark, d):
     return converged(spark, d).groupBy("severity").agg(F.count("*").alias("legs"))
 
 
-_BY_VOUCHER = "bv AS (SELECT entry_id, max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS rk, max(amount) AS amount, string_agg(DISTINCT account, ', ' ORDER BY account) AS accounts, min(date) AS date, count(*) AS leg_count FROM conv GROUP BY entry_id)"
+_BY_VOUCHER = """bv AS (SELECT entry_id, max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS rk, max(amount) AS amount, string_agg(DISTINCT account, ', ' ORDER BY account) AS accounts, min(date) AS date, count(*) AS leg_count FROM conv GROUP BY entry_id),
+bc AS (SELECT entry_id, string_agg(DISTINCT rule, ', ' ORDER BY rule) AS checks FROM flags GROUP BY entry_id),
+br AS (SELECT entry_id, string_agg(reason, '; ' ORDER BY first) AS reasons FROM (SELECT entry_id, reason, min(leg_num * 10 + ord) AS first FROM flags GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("e25_voucher_severity", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT rk AS severity_rank, count(*) AS vouchers FROM bv GROUP BY rk")
@@ -174,10 +190,10 @@ def e25(spark, d):
     return R.by_voucher(converged(spark, d)).groupBy(F.col("rank").alias("severity_rank")).agg(F.count("*").alias("vouchers"))
 
 
-@query("e26_priority_findings", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT entry_id, CASE rk WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, CAST(amount AS DOUBLE) AS amount, accounts, date, leg_count FROM bv ORDER BY rk DESC, amount DESC, entry_id LIMIT 10")
+@query("e26_priority_findings", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT entry_id, CASE rk WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, CAST(amount AS DOUBLE) AS amount, accounts, checks, reasons, date, leg_count FROM bv JOIN bc USING (entry_id) JOIN br USING (entry_id) ORDER BY rk DESC, amount DESC, entry_id LIMIT 10")
 def e26(spark, d):
     v = R.by_voucher(converged(spark, d)).orderBy(F.col("rank").desc(), F.col("amount").desc(), "entry_id").limit(10)
-    return v.select("entry_id", "severity", F.col("amount").cast("double").alias("amount"), "accounts", "date", "leg_count")
+    return v.select("entry_id", "severity", F.col("amount").cast("double").alias("amount"), "accounts", "checks", "reasons", "date", "leg_count")
 
 
 @query("e27_concentration", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT a AS account, count(*) AS n FROM (SELECT unnest(string_split(accounts, ', ')) AS a FROM (SELECT * FROM bv ORDER BY rk DESC, amount DESC, entry_id LIMIT 100)) GROUP BY 1 HAVING count(*) > 1")

@@ -78,15 +78,26 @@ def a15(spark, d):
     return table(spark, d, "lineitem").agg(F.count("*").alias("rows"), numeric("l_quantity").alias("quantity_numeric"), numeric("l_returnflag").alias("flag_numeric"))
 
 
-@query("h10_state_machine")
+#: Vouchers of a made page.
+PAGE = 250
+
+
+@query("h10_state_machine", f"""WITH v AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, total FROM v JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'Journal_' || o_orderkey AS entry_id, unnest(['Account ' || CAST(o_orderkey // {PAGE} AS VARCHAR), 'Cash']) AS particulars, unnest(['Dr', 'Cr']) AS dr_cr, CAST(total AS DOUBLE) AS amount, CAST(o_orderkey // {PAGE} AS VARCHAR) AS pages, 1 AS corroborated, 0 AS conflicts FROM o""")
 def h10(spark, d):
-    """Ledger pages made of each order's lines, parsed into voucher occurrences."""
+    """Ledger pages of a bounded size made of each order's lines, with headers, parsed into vouchers."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     amount = F.format_number(F.col("total"), 2)
     day = F.date_format("o_orderdate", "d-MMM-yy")
     v = li.groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = v.select(F.lit("ledger").alias("doc"), (F.col("l_orderkey") % 64).cast("int").alias("page"), (F.col("l_orderkey") * 2).alias("line_no"), F.explode(F.array(
-        F.struct(F.lit(0).alias("i"), F.concat(day, F.lit(" To (as per details) Journal "), F.col("l_orderkey").cast("string"), F.lit(" "), amount).alias("text")),
+    page = F.floor(F.col("o_orderkey") / PAGE).cast("int")
+    lines = v.select(F.lit("ledger").alias("doc"), page.alias("page"), (F.col("o_orderkey") * 2 + 10).alias("line_no"), F.explode(F.array(
+        F.struct(F.lit(0).alias("i"), F.concat(day, F.lit(" To (as per details) Journal "), F.col("o_orderkey").cast("string"), F.lit(" "), amount).alias("text")),
         F.struct(F.lit(1).alias("i"), F.concat(F.lit("Cash "), amount, F.lit(" Cr")).alias("text")))).alias("x"))
     lines = lines.select("doc", "page", (F.col("line_no") + F.col("x.i")).alias("line_no"), F.col("x.text").alias("text"))
-    return reconstruct.merged(reconstruct.occurrences(lines))
+    heads = o.select(F.lit("ledger").alias("doc"), page.alias("page")).distinct()
+    heads = heads.select("doc", "page", F.posexplode(F.array(F.concat(F.lit("Account "), F.col("page").cast("string")), F.lit("Ledger Account"), F.lit("1-Apr-24 to 31-Mar-25"), F.lit("Date Particulars Vch Type Vch No. Debit Credit"))).alias("line_no", "text"))
+    pages = heads.select("doc", "page", F.col("line_no").cast("long").alias("line_no"), "text").unionByName(lines)
+    legs = reconstruct.reconstruct(pages)["legs"]
+    return legs.select("entry_id", "particulars", "dr_cr", F.col("amount").cast("double").alias("amount"), F.array_join(F.col("source_pages").cast("array<string>"), ";").alias("pages"), F.col("corroboration_count").cast("int").alias("corroborated"), F.col("conflicts").cast("int").alias("conflicts"))

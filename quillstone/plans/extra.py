@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
 from quillstone.operators import cleaning, filings
-from quillstone.operators import rules as R
 from quillstone.plans.registry import query
-from quillstone.plans.rules import CONVERGED, G5_CTE, converged
+from quillstone.operators import rules as R
+from quillstone.plans.aggregates import EXCLUSIONS, exclusions
+from quillstone.plans.rules import CONVERGED, G5_CTE, benford_sql, converged
 from quillstone.sources.views import LEGS, ledger_legs, table
 
 D2 = "decimal(18,2)"
@@ -77,10 +78,20 @@ def d10(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(F.filter(bounds, lambda b: centre >= b)).alias("col"))
 
 
-@query("e28_segment_verdict", "WITH t AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) FILTER (WHERE n >= 10) AS substantial, count(*) FILTER (WHERE n < 10) AS small FROM t")
+@query("e28_segment_verdict", f"""WITH {benford_sql('lineitem JOIN orders ON l_orderkey = o_orderkey', 'l_extendedprice', 'o_orderstatus', 'TRUE', 'ty')}, {benford_sql('lineitem', 'l_extendedprice', 'l_suppkey', 'TRUE', 'ac')}, {EXCLUSIONS}
+SELECT (SELECT count(*) FROM ty WHERE n >= 10) AS substantial, (SELECT count(*) FROM ty WHERE n >= 10 AND deviates) AS deviating, (SELECT count(*) FROM ac WHERE n >= 10) AS account_substantial, (SELECT count(*) FROM ac WHERE n >= 10 AND deviates) AS account_deviating,
+  (SELECT deviates FROM xa) AND (SELECT deviates FROM xt) AS both_exclusions_deviate, (SELECT string_agg(o_orderstatus, ' and ' ORDER BY chi_square DESC, o_orderstatus) FROM (SELECT * FROM ty ORDER BY chi_square DESC, o_orderstatus LIMIT 2)) AS outliers""")
 def e28(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_suppkey").count()
-    return t.agg(F.count_if(F.col("count") >= 10).alias("substantial"), F.count_if(F.col("count") < 10).alias("small"))
+    """Whether deviation is broad: segments of ten legs or more that deviate, both runs with something left out, the two most extreme types."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    types = R.benford(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "l_extendedprice", ["o_orderstatus"])
+    accounts = R.benford(li, "l_extendedprice", ["l_suppkey"])
+    large = F.col("n") >= 10
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("chi_square")).alias("less"), "o_orderstatus"))), 1, 2)  # a row a voucher type
+    a = types.agg(F.count_if(large).alias("substantial"), F.count_if(large & F.col("deviates")).alias("deviating"), F.array_join(F.transform(top, lambda x: x["o_orderstatus"]), " and ").alias("outliers"))
+    b = accounts.agg(F.count_if(large).alias("account_substantial"), F.count_if(large & F.col("deviates")).alias("account_deviating"))
+    c = exclusions(spark, d).agg(F.min("deviates").alias("both_exclusions_deviate"))
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c)).select("substantial", "deviating", "account_substantial", "account_deviating", "both_exclusions_deviate", "outliers")  # one row each
 
 
 @query("e31_reconstruction_stats", f"WITH {LEGS} SELECT count(DISTINCT entry_id) AS vouchers, count(*) AS legs, min(date) AS first_date, max(date) AS last_date FROM legs WHERE vch_type <> 'Journal'")

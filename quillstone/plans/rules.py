@@ -52,12 +52,12 @@ _COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE digit = {i}) AS DOUBLE) AS n{i
 _DIGIT = "CAST(nullif(regexp_extract(CAST({} AS VARCHAR), '[1-9]', 0), '') AS INTEGER)"
 
 
-def benford_sql(source: str, amount: str, by: str = "", where: str = "TRUE") -> str:
+def benford_sql(source: str, amount: str, by: str = "", where: str = "TRUE", name: str = "bf") -> str:
     keys = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    return f"""dg AS (SELECT {keys}{_DIGIT.format(amount)} AS digit FROM {source} WHERE {where}),
-cn AS (SELECT {keys}CAST(count(digit) AS DOUBLE) AS n, {_COUNTS} FROM dg {group}),
-bf AS (SELECT {keys}CAST(n AS BIGINT) AS n, round({_BENFORD_SUMS}, 6) AS chi_square, round(({_BENFORD_MAD}) / 9, 9) AS mad, ({_BENFORD_SUMS}) > 15.5 AS deviates FROM cn WHERE n > 0)"""
+    return f"""dg_{name} AS (SELECT {keys}{_DIGIT.format(amount)} AS digit FROM {source} WHERE {where}),
+cn_{name} AS (SELECT {keys}CAST(count(digit) AS DOUBLE) AS n, {_COUNTS} FROM dg_{name} {group}),
+{name} AS (SELECT {keys}CAST(n AS BIGINT) AS n, round({_BENFORD_SUMS}, 6) AS chi_square, round(({_BENFORD_MAD}) / 9, 9) AS mad, ({_BENFORD_SUMS}) > 15.5 AS deviates FROM cn_{name} WHERE n > 0)"""
 
 
 @query("g03_benford", f"WITH {benford_sql('lineitem', 'l_extendedprice')} SELECT *, CASE WHEN mad < 0.006 THEN 'Close conformity' WHEN mad < 0.012 THEN 'Acceptable conformity' WHEN mad < 0.015 THEN 'Marginally acceptable' ELSE 'Nonconformity' END AS band FROM bf")
@@ -223,7 +223,7 @@ def g11(spark, d):
     return flags.where(inside).select(F.col("m").alias("period"), "check", F.col("mismatch").cast("double").alias("mismatch"), "severity")
 
 
-CONVERGED = f"""flags AS (SELECT entry_id, leg_num, 0 AS ord, rule, severity FROM ({G1_SQL}) UNION ALL SELECT entry_id, leg_num, 1, rule, severity FROM ({G2_SQL}) UNION ALL SELECT entry_id, leg_num, 2, rule, severity FROM dup),
+CONVERGED = f"""flags AS (SELECT entry_id, leg_num, 0 AS ord, rule, reason, severity FROM ({G1_SQL}) UNION ALL SELECT entry_id, leg_num, 1, rule, reason, severity FROM ({G2_SQL}) UNION ALL SELECT entry_id, leg_num, 2, rule, reason, severity FROM dup),
 per AS (SELECT entry_id, leg_num, string_agg(rule, '; ' ORDER BY ord) AS rules, CAST(count(*) AS INTEGER) AS signal_count, max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS rk FROM flags GROUP BY 1, 2),
 conv AS (SELECT legs.entry_id, legs.leg_num, date, account, amount, rules, signal_count, CASE rk WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM per JOIN legs USING (entry_id, leg_num))"""
 
