@@ -215,6 +215,10 @@ SQL_FUNCTIONS = {
     "amount_severity": "(x DOUBLE) RETURNS STRING RETURN CASE WHEN abs(x) >= 1000000 THEN 'CRITICAL' WHEN abs(x) >= 100000 THEN 'HIGH' WHEN abs(x) >= 10000 THEN 'MEDIUM' ELSE 'LOW' END",
     "first_digit": "(x DOUBLE) RETURNS INT RETURN CAST(nullif(regexp_extract(CAST(abs(x) AS STRING), '[1-9]', 0), '') AS INT)",
     "percent_severity": "(m DOUBLE, r DOUBLE) RETURNS STRING RETURN CASE WHEN r = 0 THEN CASE WHEN m <> 0 THEN 'CRITICAL' ELSE 'NONE' END WHEN abs(try_divide(m, r)) * 100 >= 30 THEN 'CRITICAL' WHEN abs(try_divide(m, r)) * 100 >= 10 THEN 'HIGH' WHEN abs(try_divide(m, r)) * 100 > 0 THEN 'MEDIUM' ELSE 'NONE' END",
+    "tax_head": f"(account STRING) RETURNS STRING RETURN CASE WHEN account RLIKE r'{NOT_OUTPUT_TAX}' THEN NULL WHEN account RLIKE r'{CGST}' THEN 'cgst' WHEN account RLIKE r'{SGST}' THEN 'sgst' WHEN account RLIKE r'{IGST}' THEN 'igst' END",
+    "voucher_prefix": r"(no STRING) RETURNS STRING RETURN CASE WHEN trim(no) RLIKE r'\d$' THEN regexp_extract(trim(no), r'^(.*?)(\d+)$', 1) END",
+    "voucher_number": r"(no STRING) RETURNS DECIMAL(38,0) RETURN try_cast(nullif(regexp_extract(trim(no), r'^(.*?)(\d+)$', 2), '') AS DECIMAL(38,0))",
+    "indian_number": r"(x STRING) RETURNS DOUBLE RETURN CASE WHEN regexp_replace(x, r'[^0-9.]', '') RLIKE r'^[0-9]+(\.[0-9]+)?$' THEN CASE WHEN trim(x) RLIKE r'(?s)^\(.*\)$|^-|-$' THEN -1 ELSE 1 END * try_cast(regexp_replace(x, r'[^0-9.]', '') AS DOUBLE) END",
 }
 
 

@@ -27,9 +27,11 @@ def tax_sources(docs: DataFrame) -> DataFrame:
 def covering_balance(ledgers: DataFrame, candidates: DataFrame) -> DataFrame:
     """Of each ledger (ledger_id, lo, hi) the first candidate (rank, start, end, filename) whose period holds it.
 
-    Candidates are the trial balances of one folder: a short list, joined by range.
+    Joined by the year in which a ledger begins, which is one of the candidate's years; then by range.
     """
-    j = ledgers.join(F.broadcast(candidates), (F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end")), "left")
+    years = candidates.withColumn("year_", F.explode(F.sequence(F.year("start"), F.year("end"))))
+    begun = ledgers.withColumn("year_", F.year("lo"))
+    j = begun.join(years, (begun.year_ == years.year_) & (F.col("lo") >= F.col("start")) & (F.col("hi") <= F.col("end")), "left")
     return j.groupBy("ledger_id").agg(F.min_by("filename", "rank").alias("trial_balance"))
 
 

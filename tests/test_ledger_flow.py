@@ -107,3 +107,16 @@ def test_balance_columns(spark):
     got = layout.trial_balance(df.where("text <> 'Page'")).where("account <> ''").collect()
     assert [(r.account, r.opening, r.opening_sign, r.debit, r.credit, r.closing, r.closing_sign) for r in got] == [("Bank of", 1000.0, None, 0.0, 7.0, 9.0, "Dr")]
     assert layout.numbered(df, grid=3.0).where("text = 'Page'").select("line").distinct().count() == 2
+
+
+def test_sql_functions(spark):
+    """The helpers in SQL say what the expressions say."""
+    from quillstone.functions import exprs as X
+
+    X.register_sql(spark)
+    texts = ["1,23,456.78", "(500)", "( 5.5 )", "12-", "-12", "Rs 7", "Rs. 500", "", " ", "abc", "(1", "1.2.3", "Output CGST 9%", "Input SGST", "SGST Payable", "IGST", "A/24-25/017", "12", "x9y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {"indian_number": X.indian_number("t"), "tax_head": X.tax_head("t"), "voucher_prefix": X.voucher_prefix("t"), "voucher_number": X.voucher_number("t")}
+    for r in df.select("t", *(F.expr(f"{n}(t)").alias(n) for n in pairs), *(c.alias(f"{n}_x") for n, c in pairs.items())).collect():
+        for n in pairs:
+            assert r[n] == r[f"{n}_x"], (r.t, n)
