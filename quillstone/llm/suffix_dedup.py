@@ -15,10 +15,12 @@ of the corpus is removed.
    hold SHARD_BYTES each.
 4. A hash with too many distinct segments (a passage that countless texts
    share, with other bytes around it each time) would fill one shard. Its
-   segments are cut anew as texts of their own, with such hashes last in the
-   order: a window then goes by a gram that is not common, and windows of
-   common grams alone are the shared passages, whose segments are equal. This
-   is repeated for hashes that come out common in turn.
+   segments are cut anew as texts of their own, with such hashes, and the
+   grams that many segments of a sample share, last in the order: a window
+   then goes by a gram that is not common, and windows of common grams alone
+   are the shared passages, whose segments are equal. This is repeated for
+   hashes that come out common in turn. Which grams count as common moves
+   work, but never decides what repeats.
 5. Texts that occur twice and hold a window are removed whole.
 
 Null or empty text: no bytes, nothing removed; texts shorter than length are
@@ -37,7 +39,7 @@ from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import _BASE, _INV, BYTE_HASH, column, drop_staged, mix, others, partitions, powers, release, shared_root, stage, table, utf8_view
@@ -46,8 +48,10 @@ from quillstone.llm.suffixes import SEPARATOR, Scratch, repeats
 LENGTH, GRAM = 400, 16
 #: Distinct segments that make a hash common, at least, and common hashes that one round can find, at most: the bound grows with the segments of all.
 HOT, MOST_HOT = 256, 100_000
+#: Segments of a common hash that are looked at for further common grams, and such grams that a round takes at most.
+SAMPLED, MOST_GRAMS = 64, 200_000
 #: Rounds of cutting anew; what is common still is sorted as it is.
-ROUNDS = 6
+ROUNDS = 4
 #: Copies that are joined apart: a text that more than one in so many rows repeat.
 COPIED = 10_000
 #: Memory of a shard's sort before it goes on in files.
@@ -108,6 +112,17 @@ def _runs(length: int, gram: int, common: np.ndarray | None = None):
     return run
 
 
+def _grams(gram: int):
+    """The distinct grams of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(gram_hashes(np.frombuffer(x.as_buffer(), np.uint8), gram) >> np.uint64(1)).view(np.int64) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "grams"])
+
+    return run
+
+
 def _cut(length: int):
     kind = pa.schema([("key", pa.int64()), ("sh", pa.binary()), ("rid", pa.int64()), ("tk", pa.binary()), ("start", pa.int64()), ("windows", pa.int64()), ("inner", pa.bool_()), ("text", pa.binary())])
 
@@ -255,9 +270,12 @@ def repeated_windows(long: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     cold = bodies(chosen.where(~is_hot)).repartition(shards, "key")
     flags = cold.select("sh", "seg").mapInArrow(_sorted_shard(length, scratch), f"sh binary, flags {SPANS}")
     if found:
-        warm = stage(bodies(chosen.where(is_hot)).select(F.col("sh").alias("tk"), F.lit(0).cast("long").alias("did"), F.col("seg").alias("text")), "hot-segments")
-        both = np.union1d(np.array(found, np.int64).view(np.uint64), common if common is not None else np.zeros(0, np.uint64))
-        again, _ = repeated_windows(warm, length, gram, hot, both, rounds - 1)
+        warm = stage(bodies(chosen.where(is_hot)).select("key", F.col("sh").alias("tk"), F.lit(0).cast("long").alias("did"), F.col("seg").alias("text")), "hot-segments")
+        some = warm.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("tk"))).where(F.col("rank") <= SAMPLED)
+        shared = some.select("key", "text").mapInArrow(_grams(gram), "key long, grams array<long>").select("key", F.explode("grams").alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, min(hot, SAMPLED) // 4))
+        shared = shared.groupBy("gram").agg(F.max("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(MOST_GRAMS).select("gram").toArrow()["gram"]
+        both = np.unique(np.concatenate([np.array(found, np.int64).view(np.uint64), np.asarray(shared, np.int64).view(np.uint64), common if common is not None else np.zeros(0, np.uint64)]))
+        again, _ = repeated_windows(warm.drop("key"), length, gram, hot, both, rounds - 1)
         flags = flags.unionByName(again.select(F.col("tk").alias("sh"), "flags"))
     flagged = stage(flags, "flags")
     release(spark)
