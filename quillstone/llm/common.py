@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -43,9 +44,11 @@ _staged: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a folder that is set here."""
+    """spark.checkpoint.dir of the session; where that is unset and all runs on one machine (tests), a folder that is set here."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillstone-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -71,9 +74,14 @@ def drop_staged(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of stages that nothing refers to any more; it does so once their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of stages that nothing refers to any more; it does so once their handles are collected.
+
+    What the last call to the JVM returned is held until the next one, so it takes two passes; the pauses let executors delete.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _delete(path: str, spark: SparkSession) -> None:
