@@ -1,6 +1,7 @@
 """Places where a training-data operator once did less than the whole job."""
 
 import base64
+import collections
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 
 from quillstone.llm import pii, secrets, suffix_dedup, suffixes
 
+from . import brute
 from .test_operators import prose
 
 DOCS = "doc_id long, text string"
@@ -88,3 +90,39 @@ def test_shards_are_streamed(tmp_path, monkeypatch):
     assert [b.to_pylist() for b in suffix_dedup._sorted_shard(50, str(tmp_path))(iter(batches))] == inside and sizes == [np.memmap]
     assert sum(map(len, inside)) >= 18 and not list(tmp_path.iterdir())
     assert not list(suffix_dedup._sorted_shard(50, None)(iter([batches[0].slice(0, 0)])))
+
+
+def test_grams_of_common_hashes_make_no_rows(spark):
+    """Which grams a common hash's segments share is found without a row for each gram of each segment."""
+    passage = prose(45, 8000)
+    t = [f"{prose(60, 8100 + i)} {passage} {prose(60, 8300 + i)}" for i in range(80)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = store.executionsCount()
+    removed = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_spans(spark.createDataFrame(list(enumerate(t)), DOCS), hot=8).collect()}
+    assert removed == {i: sum(m) for i, m in enumerate(brute.removed(t, 400)[1])}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = 0
+    runs = store.executionsList()
+    for k in range(began, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate":
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    assert made < 80 * 64  # and a segment has some 400 grams or more
+
+
+def test_shared_grams():
+    """Segments of a hash that come in several batches are counted together, those of the next hash apart."""
+    a, b, c = (prose(30, 8500 + i).encode() for i in range(3))
+    rows = [(1, a + b), (1, b + c), (1, b + b), (2, a + b), (2, c), (3, a)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + 2]], pa.int64()), pa.array([x for _, x in rows[i : i + 2]], pa.binary())], names=["key", "text"]) for i in (0, 2, 4)]
+    got = sorted((r["gram"], r["n"]) for x in suffix_dedup._shared_grams(16, 2)(iter(batches)) for r in x.to_pylist())
+    want = []
+    for key in (1, 2, 3):
+        texts = [x for k, x in rows if k == key]
+        count = collections.Counter(g for x in texts for g in {x[i : i + 16] for i in range(len(x) - 15)})
+        want += [(int(suffix_dedup.gram_hashes(np.frombuffer(g, np.uint8), 16)[0] >> np.uint64(1)), n) for g, n in count.items() if n >= 2]
+    assert got == sorted(want) and got
