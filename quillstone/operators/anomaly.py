@@ -1,7 +1,8 @@
 """Isolation-forest ranking of ledger legs.
 
 Features are DataFrame expressions; account statistics are grouped and joined
-back, not windowed, so a dominant account is pre-aggregated. Trees are grown
+back, not windowed, so a dominant account is pre-aggregated; the few counts of
+voucher types are broadcast. Trees are grown
 on the driver from one bounded sample (TREES x SAMPLE rows at most) and scored
 with mapInArrow. The sample's scores say which rows can be among the first and
 cut them into ranges, so that all are scored once and none ranks in a window
@@ -37,7 +38,8 @@ def features(legs: DataFrame) -> DataFrame:
     }).drop("mu", "sd")
     if "vch_type" in legs.columns:
         rarity = legs.groupBy("vch_type").agg((1.0 / F.count("*")).cast("double").alias("vch_type_rarity"))
-        out = out.join(rarity, "vch_type")
+        # a ledger has few types, so a shuffle by them would give one task a type's legs
+        out = out.join(F.broadcast(rarity), "vch_type")
     return out
 
 
