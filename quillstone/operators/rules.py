@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import exprs as X
 
@@ -30,51 +32,96 @@ GAP_RANGE = 100_000
 LONG = ["entry_id", "leg_num", "rule", "reason", "severity"]
 
 
+def _same_person():
+    return F.coalesce(X.blank_to_null("entered_by") == X.blank_to_null("approved_by"), F.lit(False))
+
+
+def _round(amount, cfg: Config):
+    return F.coalesce(X.is_round(amount, cfg.round_multiple) & ~F.col("account").isin(*cfg.round_exempt), F.lit(False))
+
+
+def _segregation_reason():
+    return F.concat(F.lit("entered and approved by "), F.trim("entered_by"))
+
+
+def _round_reason(cfg: Config):
+    return F.concat(F.lit("multiple of "), F.lit(str(cfg.round_multiple)))
+
+
+def _duplicate_reason(least, cfg: Config):
+    others = F.slice(F.array_except(least, F.array("entry_id")), 1, cfg.related_shown)
+    return F.concat(F.lit("matches voucher(s) "), F.array_join(others, ", "), F.lit(" on "), F.col("date").cast("string"))
+
+
 def segregation(legs: DataFrame) -> DataFrame:
     """Legs that one person both entered and approved."""
-    hit = legs.where(X.blank_to_null("entered_by") == X.blank_to_null("approved_by"))
-    return hit.select("entry_id", "leg_num", F.lit("segregation_of_duties").alias("rule"), F.concat(F.lit("entered and approved by "), F.trim("entered_by")).alias("reason"), X.amount_severity("amount").alias("severity"))
+    return legs.where(_same_person()).select("entry_id", "leg_num", F.lit("segregation_of_duties").alias("rule"), _segregation_reason().alias("reason"), X.amount_severity("amount").alias("severity"))
 
 
 def round_amounts(legs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Legs of round amounts outside exempt accounts; weak alone, so always LOW."""
-    hit = legs.where(X.is_round("amount", cfg.round_multiple) & ~F.col("account").isin(*cfg.round_exempt))
-    return hit.select("entry_id", "leg_num", F.lit("round_number").alias("rule"), F.concat(F.lit("multiple of "), F.lit(str(cfg.round_multiple))).alias("reason"), F.lit("LOW").alias("severity"))
+    return legs.where(_round("amount", cfg)).select("entry_id", "leg_num", F.lit("round_number").alias("rule"), _round_reason(cfg).alias("reason"), F.lit("LOW").alias("severity"))
+
 
+def _not_rounding(amount):
+    return ~F.coalesce(X.invoice_rounding("account", amount), F.lit(False))
 
-def duplicate_classes(legs: DataFrame, keys: list, amount="amount", shown: int = Config.related_shown) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(legs with their key, the keys that several vouchers have, names of the key): vouchers counts them, least holds the first shown + 1 ids.
 
-    Invoice rounding repeats by nature and is left alone. Vouchers of a key are
+def _with_keys(legs: DataFrame, keys: list) -> tuple[DataFrame, list[str]]:
+    """(legs with columns of the key, their names). None is null: text that is missing is empty, and which of the others are missing is told by bits of kn. Days, integers and decimals stay numbers, as text would be several times longer."""
+    out, bits = {}, F.lit(0)
+    for i, (k, field) in enumerate(zip(keys, legs.select(*keys).schema, strict=True)):
+        kind = field.dataType
+        if isinstance(kind, (T.DateType, T.IntegralType, T.DecimalType)):
+            bits = bits + F.when(k.isNull(), 1 << i).otherwise(0)
+            k = F.unix_date(k) if isinstance(kind, T.DateType) else k
+            out[f"k{i}"] = F.coalesce(k, F.lit(0) if isinstance(kind, T.DateType) else F.lit(0).cast(kind))
+        else:
+            out[f"k{i}"] = F.coalesce(k.cast("string"), F.lit(""))
+    return legs.withColumns({**out, "kn": bits}), [*out, "kn"]
+
+
+def duplicate_classes(legs: DataFrame, keys: list, amount="amount", shown: int | None = Config.related_shown, voucher: str = "entry_id", named=None) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(legs with their key, once: vouchers with their repeated keys and maybe others, the keys that several vouchers have, names of the key): vouchers counts them, least holds the first shown + 1 ids (shown None: no ids).
+
+    Invoice rounding repeats by nature and is left alone. Most keys are alone
+    under their hash, so only short rows of hashes are grouped for all legs, and
+    keys themselves only where a hash has several vouchers. Vouchers of a key are
     counted and its least ids cut before the shuffle, so a frequent key costs
-    no array of all its vouchers.
+    no array of all its vouchers. voucher may be a shorter column than entry_id
+    that names the same vouchers and is never null; named makes entry_id of it.
     """
-    legs = legs.where(~F.coalesce(X.invoice_rounding("account", amount), F.lit(False)))
-    keyed = legs.withColumns({f"k{i}": F.coalesce(k.cast("string"), F.lit("")) for i, k in enumerate(keys)})
-    names = [f"k{i}" for i in range(len(keys))]
-    once = keyed.select(*names, "entry_id").distinct()
-    counts = once.groupBy(*names).agg(F.count("*").cast("int").alias("vouchers")).where("vouchers > 1")
-    first = once.withColumn("rank", F.row_number().over(Window.partitionBy(*names).orderBy("entry_id"))).where(F.col("rank") <= shown + 1)
-    first = first.groupBy(*names).agg(F.sort_array(F.collect_list("entry_id")).alias("least"))
-    return keyed, counts.join(first, names), names
+    keyed, names = _with_keys(legs.where(_not_rounding(amount)), keys)
+    pairs = keyed.select(voucher, *names, F.xxhash64(*names).alias("h"))
+    who = F.coalesce(F.concat(F.lit("v"), "entry_id"), F.lit("")) if voucher == "entry_id" else F.col(voucher)
+    met = pairs.groupBy("h").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo <> hi").select("h")
+    once = pairs.join(met, "h", "left_semi").drop("h").distinct()
+    classes = once.groupBy(*names).agg(F.count("*").cast("int").alias("vouchers")).where("vouchers > 1")
+    if shown is not None:
+        first = once.select(*names, (F.col("entry_id") if named is None else named).alias("entry_id"))
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*names).orderBy("entry_id"))).where(F.col("rank") <= shown + 1)
+        classes = classes.join(first.groupBy(*names).agg(F.sort_array(F.collect_list("entry_id")).alias("least")), names)
+    return keyed, once, classes, names
+
+
+def _duplicate_severity(amount, vouchers):
+    sev = X.amount_severity(amount)
+    return F.when(vouchers > 2, X.escalate(sev)).otherwise(sev)
 
 
 def duplicates(legs: DataFrame, keys: list, amount="amount", cfg: Config = Config()) -> DataFrame:
     """Legs whose key occurs in other vouchers too; more than two vouchers escalate."""
-    keyed, classes, names = duplicate_classes(legs, keys, amount, cfg.related_shown)
-    others = F.slice(F.array_except("least", F.array("entry_id")), 1, cfg.related_shown)
-    sev = X.amount_severity(amount)
+    keyed, _, classes, names = duplicate_classes(legs, keys, amount, cfg.related_shown)
     return keyed.join(classes, names).select(
         "entry_id", "leg_num", F.lit("duplicate_transaction").alias("rule"),
-        F.concat(F.lit("matches voucher(s) "), F.array_join(others, ", "), F.lit(" on "), F.col("date").cast("string")).alias("reason"),
-        F.when(F.col("vouchers") > 2, X.escalate(sev)).otherwise(sev).alias("severity"), "vouchers",
+        _duplicate_reason("least", cfg).alias("reason"), _duplicate_severity(amount, F.col("vouchers")).alias("severity"), "vouchers",
     )
 
 
 def related(legs: DataFrame, keys: list, amount="amount") -> DataFrame:
     """entry_id, first_id, vouchers: each voucher of a repeated key with the key's first voucher, which stands for all of them, and their number."""
-    keyed, classes, names = duplicate_classes(legs, keys, amount, 0)
-    return keyed.join(classes, names).select("entry_id", F.col("least")[0].alias("first_id"), "vouchers").distinct()
+    _, once, classes, names = duplicate_classes(legs, keys, amount, 0)
+    return once.join(classes, names).select("entry_id", F.col("least")[0].alias("first_id"), "vouchers").distinct()
 
 
 def benford(df: DataFrame, amount="amount", by: list[str] = ()) -> DataFrame:
@@ -145,9 +192,44 @@ def converge(legs: DataFrame, flags: list[DataFrame]) -> DataFrame:
     return legs.select("entry_id", "leg_num", "date", "account", "amount").join(per, ["entry_id", "leg_num"])
 
 
-def by_voucher(flags: DataFrame) -> DataFrame:
-    """A row a voucher: largest severity and amount, accounts, checks, reasons as first seen, first date, flagged legs. A voucher has few legs."""
-    said = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("leg_num", "reasons"))), lambda x: x["reasons"]))
-    per = flags.groupBy("entry_id").agg(F.max(X.rank_of("severity")).alias("rank"), F.max("amount").alias("amount"), F.array_join(F.array_sort(F.collect_set("account")), ", ").alias("accounts"), F.min("date").alias("date"), F.count("*").alias("leg_count"), said.alias("said"))
+def converge_rules(legs: DataFrame, keys: list, cfg: Config = Config(), round_amount="amount", repeat_amount="amount", voucher: str = "entry_id", named=None, told: bool = True) -> DataFrame:
+    """What converge says of segregation, round_amounts and duplicates, and the column voucher, for legs whose entry_id and leg_num name one leg.
+
+    Two rules need nothing but the leg. Repeated keys go back to their vouchers,
+    so the legs, which are put together by voucher, are shuffled by nothing else
+    and are not grouped by leg. told False leaves out reasons, which counts do
+    without. Keys are looked up within their voucher, which has few.
+    """
+    _, once, classes, names = duplicate_classes(legs, keys, repeat_amount, cfg.related_shown if told else None, voucher, named)
+    shared = once.join(classes, names).groupBy(voucher).agg(F.collect_list(F.struct(*names, *(c for c in classes.columns if c not in names))).alias("shared_"))
+    keyed, _ = _with_keys(legs, keys)
+    same = F.filter("shared_", lambda x: functools.reduce(lambda a, b: a & b, (x[n] == F.col(n) for n in names)))
+    marked = keyed.join(shared, voucher, "left").withColumns({"same_person_": _same_person(), "round_": _round(round_amount, cfg), "class_": F.when(F.col("shared_").isNotNull() & _not_rounding(repeat_amount), F.get(same, F.lit(0)))})
+    repeated = F.col("class_").isNotNull()
+    marked = marked.where(F.col("same_person_") | F.col("round_") | repeated)
+    sev = {"segregation_of_duties": X.amount_severity("amount"), "round_number": F.lit("LOW"), "duplicate_transaction": _duplicate_severity(repeat_amount, F.col("class_")["vouchers"])}
+    hits = dict(zip(sev, (F.col("same_person_"), F.col("round_"), repeated), strict=True))
+    out = ["entry_id", "leg_num", "date", "account", "amount", *([voucher] if voucher != "entry_id" else [])]
+    more = {"signal_count": sum((hits[r].cast("int") for r in sev), F.lit(0)), "severity": X.severity_of(F.greatest(*(F.when(hits[r], X.rank_of(sev[r])).otherwise(0) for r in sev)))}
+    if told:
+        reason = dict(zip(sev, (_segregation_reason(), _round_reason(cfg), _duplicate_reason(F.col("class_")["least"], cfg)), strict=True))
+        more["reasons"] = F.array_compact(F.array(*(F.when(hits[r], F.struct(F.lit(i).alias("ord"), F.lit(r).alias("rule"), reason[r].alias("reason"), sev[r].alias("severity"))) for i, r in enumerate(sev))))
+    return marked.select(*out, *(c.alias(n) for n, c in more.items()))
+
+
+def severest(flags: DataFrame, voucher: str = "entry_id") -> DataFrame:
+    """A row a voucher: entry_id, rank of the largest severity, largest amount, first date, flagged legs, and all accounts and reasons for tell. A voucher has few legs."""
+    said = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("leg_num", "reasons"))), lambda x: x["reasons"])) if "reasons" in flags.columns else F.lit(None)
+    who = [F.first("entry_id").alias("entry_id")] if voucher != "entry_id" else []
+    return flags.groupBy(voucher).agg(*who, F.max(X.rank_of("severity")).alias("rank"), F.max("amount").alias("amount"), F.collect_set("account").alias("accounts"), F.min("date").alias("date"), F.count("*").alias("leg_count"), said.alias("said"))
+
+
+def tell(vouchers: DataFrame) -> DataFrame:
+    """severest's rows with severity, accounts, checks and reasons as text: best made of the rows that are shown."""
     texts = lambda part: F.array_distinct(F.transform("said", lambda x: x[part]))
-    return per.withColumns({"severity": X.severity_of("rank"), "checks": F.array_join(F.array_sort(texts("rule")), ", "), "reasons": F.array_join(texts("reason"), "; ")}).drop("said")
+    return vouchers.withColumns({"severity": X.severity_of("rank"), "accounts": F.array_join(F.array_sort("accounts"), ", "), "checks": F.array_join(F.array_sort(texts("rule")), ", "), "reasons": F.array_join(texts("reason"), "; ")}).drop("said")
+
+
+def by_voucher(flags: DataFrame) -> DataFrame:
+    """A row a voucher: largest severity and amount, accounts, checks, reasons as first seen, first date, flagged legs."""
+    return tell(severest(flags))

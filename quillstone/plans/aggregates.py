@@ -132,12 +132,12 @@ def e14(spark, d):
 @query("e16_severity_counts", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT s.severity, count(conv.severity) AS n FROM (SELECT unnest(['LOW','MEDIUM','HIGH','CRITICAL']) AS severity) s LEFT JOIN conv USING (severity) GROUP BY 1")
 def e16(spark, d):
     four = spark.createDataFrame([(s,) for s in X.SEVERITIES[1:]], "severity string")
-    return four.join(converged(spark, d).groupBy("severity").count(), "severity", "left").select("severity", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+    return four.join(converged(spark, d, told=False).groupBy("severity").count(), "severity", "left").select("severity", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
 @query("e17_summary", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT count(*) AS flagged, count(*) FILTER (WHERE signal_count > 1) AS multi, count(*) FILTER (WHERE signal_count = 1) AS single FROM conv")
 def e17(spark, d):
-    return converged(spark, d).agg(F.count("*").alias("flagged"), F.count_if(F.col("signal_count") > 1).alias("multi"), F.count_if(F.col("signal_count") == 1).alias("single"))
+    return converged(spark, d, told=False).agg(F.count("*").alias("flagged"), F.count_if(F.col("signal_count") > 1).alias("multi"), F.count_if(F.col("signal_count") == 1).alias("single"))
 
 
 @query("e18_account_zscore", f"WITH {LEGS} SELECT account, count(*) AS n, round(avg(ln(1 + CAST(amount AS DOUBLE))), 6) AS mu, round(stddev_pop(ln(1 + CAST(amount AS DOUBLE))), 6) AS sd FROM legs GROUP BY account")
@@ -177,7 +177,7 @@ def e23(spark, d):
 
 @query("e24_leg_severity", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT severity, count(*) AS legs FROM conv GROUP BY severity")
 def e24(spark, d):
-    return converged(spark, d).groupBy("severity").agg(F.count("*").alias("legs"))
+    return converged(spark, d, told=False).groupBy("severity").agg(F.count("*").alias("legs"))
 
 
 _BY_VOUCHER = """bv AS (SELECT entry_id, max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS rk, max(amount) AS amount, string_agg(DISTINCT account, ', ' ORDER BY account) AS accounts, min(date) AS date, count(*) AS leg_count FROM conv GROUP BY entry_id),
@@ -187,19 +187,19 @@ br AS (SELECT entry_id, string_agg(reason, '; ' ORDER BY first) AS reasons FROM
 
 @query("e25_voucher_severity", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT rk AS severity_rank, count(*) AS vouchers FROM bv GROUP BY rk")
 def e25(spark, d):
-    return R.by_voucher(converged(spark, d)).groupBy(F.col("rank").alias("severity_rank")).agg(F.count("*").alias("vouchers"))
+    return R.severest(converged(spark, d, told=False), "l_orderkey").groupBy(F.col("rank").alias("severity_rank")).agg(F.count("*").alias("vouchers"))
 
 
 @query("e26_priority_findings", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT entry_id, CASE rk WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, CAST(amount AS DOUBLE) AS amount, accounts, checks, reasons, date, leg_count FROM bv JOIN bc USING (entry_id) JOIN br USING (entry_id) ORDER BY rk DESC, amount DESC, entry_id LIMIT 10")
 def e26(spark, d):
-    v = R.by_voucher(converged(spark, d)).orderBy(F.col("rank").desc(), F.col("amount").desc(), "entry_id").limit(10)
-    return v.select("entry_id", "severity", F.col("amount").cast("double").alias("amount"), "accounts", "checks", "reasons", "date", "leg_count")
+    v = R.severest(converged(spark, d), "l_orderkey").orderBy(F.col("rank").desc(), F.col("amount").desc(), "entry_id").limit(10)
+    return R.tell(v).select("entry_id", "severity", F.col("amount").cast("double").alias("amount"), "accounts", "checks", "reasons", "date", "leg_count")
 
 
 @query("e27_concentration", f"WITH {LEGS}, {G5_CTE}, {CONVERGED}, {_BY_VOUCHER} SELECT a AS account, count(*) AS n FROM (SELECT unnest(string_split(accounts, ', ')) AS a FROM (SELECT * FROM bv ORDER BY rk DESC, amount DESC, entry_id LIMIT 100)) GROUP BY 1 HAVING count(*) > 1")
 def e27(spark, d):
-    v = R.by_voucher(converged(spark, d)).orderBy(F.col("rank").desc(), F.col("amount").desc(), "entry_id").limit(100)
-    return v.select(F.explode(F.split("accounts", ", ")).alias("account")).groupBy("account").agg(F.count("*").alias("n")).where("n > 1")
+    v = R.severest(converged(spark, d, told=False), "l_orderkey").orderBy(F.col("rank").desc(), F.col("amount").desc(), "entry_id").limit(100)
+    return v.select(F.array_join(F.array_sort("accounts"), ", ").alias("accounts")).select(F.explode(F.split("accounts", ", ")).alias("account")).groupBy("account").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("e30_voucher_balance", f"WITH {LEGS} SELECT entry_id, CAST(sum(CASE WHEN dr_cr = 'Dr' THEN amount ELSE -amount END) AS DOUBLE) AS difference, abs(sum(CASE WHEN dr_cr = 'Dr' THEN amount ELSE -amount END)) < 0.01 AS balanced FROM legs GROUP BY entry_id")

@@ -8,7 +8,7 @@ from quillstone.functions import exprs as X
 from quillstone.operators import anomaly
 from quillstone.operators import rules as R
 from quillstone.plans.registry import query
-from quillstone.sources.views import LEGS, PERCENT, SEVERITY, ledger_legs, table
+from quillstone.sources.views import LEGS, PERCENT, SEVERITY, entry_of_order, ledger_legs, table
 
 
 def dup_legs(spark, d):
@@ -17,7 +17,8 @@ def dup_legs(spark, d):
 
 
 def dup_keys(amount=None):
-    return [F.col("date"), F.col("account"), F.col("dr_cr"), F.round("amount", 2) if amount is None else amount]
+    """Amounts of legs have two decimals already."""
+    return [F.col("date"), F.col("account"), F.col("dr_cr"), F.col("amount") if amount is None else amount]
 
 
 G1_SQL = f"SELECT entry_id, leg_num, 'segregation_of_duties' AS rule, 'entered and approved by ' || entered_by AS reason, {SEVERITY.format('amount')} AS severity FROM legs WHERE entered_by = approved_by"
@@ -228,10 +229,10 @@ per AS (SELECT entry_id, leg_num, string_agg(rule, '; ' ORDER BY ord) AS rules,
 conv AS (SELECT legs.entry_id, legs.leg_num, date, account, amount, rules, signal_count, CASE rk WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM per JOIN legs USING (entry_id, leg_num))"""
 
 
-def converged(spark, d):
-    legs = ledger_legs(spark, d)
-    flags = [R.segregation(legs), R.round_amounts(legs.withColumn("amount", F.col("l_quantity") * 1000)), R.duplicates(dup_legs(spark, d), dup_keys())]
-    return R.converge(legs, flags)
+def converged(spark, d, told: bool = True):
+    """Flags of the three leg rules together; told False where no reasons are asked for."""
+    legs = ledger_legs(spark, d).withColumns({"round_amount": F.col("l_quantity") * 1000, "repeat_amount": (F.col("l_quantity") * 1000).cast("decimal(18,2)")})
+    return R.converge_rules(legs, dup_keys(F.col("repeat_amount")), round_amount="round_amount", repeat_amount="repeat_amount", voucher="l_orderkey", named=entry_of_order(), told=told)
 
 
 @query("g12_convergence", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM conv")

@@ -35,13 +35,13 @@ def f05(spark, d):
 def f06(spark, d):
     from quillstone.functions.exprs import rank_of
 
-    f = converged(spark, d)
+    f = converged(spark, d, told=False)
     return f.select("entry_id", "leg_num", F.col("signal_count").cast("int").alias("signal_count"), "severity").orderBy(F.col("signal_count").desc(), rank_of("severity").desc(), "entry_id", "leg_num")
 
 
 @query("f07_lexical_order", f"WITH {LEGS}, {G5_CTE}, {CONVERGED} SELECT entry_id, leg_num, severity FROM conv WHERE severity IN ('MEDIUM', 'HIGH') ORDER BY severity DESC, signal_count DESC, entry_id, leg_num")
 def f07(spark, d):
-    return converged(spark, d).where(F.col("severity").isin("MEDIUM", "HIGH")).orderBy(F.col("severity").desc(), F.col("signal_count").desc(), "entry_id", "leg_num").select("entry_id", "leg_num", "severity")
+    return converged(spark, d, told=False).where(F.col("severity").isin("MEDIUM", "HIGH")).orderBy(F.col("severity").desc(), F.col("signal_count").desc(), "entry_id", "leg_num").select("entry_id", "leg_num", "severity")
 
 
 @query("f09_newest", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")

@@ -15,12 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LEG_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
+def entry_of_order():
+    """A voucher's id from its number."""
+    return F.concat(F.lit("SO_"), F.col("l_orderkey").cast("string"))
+
+
 def ledger_legs(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """One row a leg: vouchers are orders, accounts are suppliers. Leg numbers cost a shuffle by voucher, so ask for them only where needed."""
     li, o, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
     legs = li.join(o.select("o_orderkey", "o_orderdate", "o_orderstatus"), li.l_orderkey == F.col("o_orderkey")).join(s.select("s_suppkey", "s_name"), li.l_suppkey == F.col("s_suppkey"))
     cols = [
-        F.concat(F.lit("SO_"), F.col("l_orderkey").cast("string")).alias("entry_id"),
+        entry_of_order().alias("entry_id"),
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("s_name").alias("account"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
