@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.plans.registry import query
 from quillstone.plans.rules import CONVERGED, G5_CTE, converged
-from quillstone.sources.views import LEGS, ledger_legs, table
+from quillstone.sources.views import LEG_ORDER, LEGS, ledger_legs, table
 
 
 @query("f02_leg_numbers", f"WITH {LEGS} SELECT entry_id, leg_num, l_partkey, l_suppkey FROM legs")
@@ -65,10 +65,12 @@ def f11(spark, d):
 
 @query("f12_first_amount_wins", f"WITH {LEGS}, t AS (SELECT account, dr_cr, first_value(amount) OVER (PARTITION BY entry_id, account, dr_cr ORDER BY leg_num) AS f, entry_id, amount FROM legs) SELECT entry_id, account, dr_cr, CAST(max(f) AS DOUBLE) AS amount, count(*) FILTER (WHERE amount = f) AS merged, count(*) FILTER (WHERE amount <> f) AS conflicts FROM t GROUP BY 1, 2, 3")
 def f12(spark, d):
-    legs = ledger_legs(spark, d)
-    w = Window.partitionBy("entry_id", "account", "dr_cr").orderBy("leg_num")
-    t = legs.withColumn("f", F.first("amount").over(w))
-    return t.groupBy("entry_id", "account", "dr_cr").agg(F.max("f").cast("double").alias("amount"), F.count_if(F.col("amount") == F.col("f")).alias("merged"), F.count_if(F.col("amount") != F.col("f")).alias("conflicts"))
+    """Legs meet by their voucher's number, by which they are dealt already, and are sorted once."""
+    w = Window.partitionBy("l_orderkey", "account", "dr_cr").orderBy(*LEG_ORDER)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = ledger_legs(spark, d, numbered=False).withColumns({"f": F.first("amount").over(whole), "place": F.row_number().over(w)})
+    t = t.withColumns({"merged": F.count_if(F.col("amount") == F.col("f")).over(whole), "conflicts": F.count_if(F.col("amount") != F.col("f")).over(whole)})
+    return t.where("place = 1").select("entry_id", "account", "dr_cr", F.col("f").cast("double").alias("amount"), "merged", "conflicts")
 
 
 @query("f13_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM events")

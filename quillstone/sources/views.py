@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files that one task joins.
+TASK_BYTES = 16 << 20
+
+
+def dealt(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables of a join dealt by its key into as many partitions as their files ask for, where the session has fewer: what a task sorts and holds does not grow with the tables."""
+    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (left, right))
+    n = -(-size // TASK_BYTES)
+    if n <= int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return left, right
+    return left.repartition(n, left_key), right.repartition(n, right_key)
+
+
 LEG_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
@@ -23,6 +36,7 @@ def entry_of_order():
 def ledger_legs(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """One row a leg: vouchers are orders, accounts are suppliers. Leg numbers cost a shuffle by voucher, so ask for them only where needed."""
     li, o, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    li, o = dealt(li, o, "l_orderkey", "o_orderkey")
     legs = li.join(o.select("o_orderkey", "o_orderdate", "o_orderstatus"), li.l_orderkey == F.col("o_orderkey")).join(s.select("s_suppkey", "s_name"), li.l_suppkey == F.col("s_suppkey"))
     cols = [
         entry_of_order().alias("entry_id"),

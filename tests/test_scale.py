@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.operators import anomaly
 from quillstone.operators import rules as R
 from quillstone.plans import registry
+from quillstone.sources import views
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,7 +37,7 @@ def test_few_voucher_types_do_not_deal_the_legs(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", CONVERGED)
+@pytest.mark.parametrize("name", [*CONVERGED, "f12_first_amount_wins"])
 def test_legs_are_not_dealt_again_by_voucher_id(spark, name):
     """Legs are put together by the voucher's number; dealing and grouping them by its id as well costs as much again."""
     assert "hashpartitioning(entry_id" not in plan(registry.QUERIES[name](spark, SF))
@@ -48,6 +49,18 @@ def test_counts_make_no_reasons(spark, name):
     assert "matches voucher" not in plan(registry.QUERIES[name](spark, SF))
 
 
+@needs_tables
+def test_large_joins_are_dealt_by_size(spark, monkeypatch):
+    """A task of a join holds so many bytes of the files, however few partitions the session has."""
+    li, o = (views.table(spark, SF, t) for t in ("lineitem", "orders"))
+    assert views.dealt(li, o, "l_orderkey", "o_orderkey") == (li, o)
+    want = sorted(map(tuple, registry.QUERIES["f12_first_amount_wins"](spark, SF).collect()))
+    monkeypatch.setattr(views, "TASK_BYTES", 10_000)
+    left, right = views.dealt(li, o, "l_orderkey", "o_orderkey")
+    assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() >= 10
+    assert sorted(map(tuple, registry.QUERIES["f12_first_amount_wins"](spark, SF).collect())) == want
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     """Keys of one, two and many vouchers, several legs of a voucher under one key, rounding, nulls in keys and persons."""
