@@ -1,19 +1,22 @@
 """Vouchers from ledger page lines.
 
 The account of a page is found by array expressions over its header lines.
-State never crosses a page, so each (doc, page) is parsed by itself in
-applyInPandas; merging occurrences into vouchers is windows and groupings.
+State never crosses a page, so pages are parsed one by one in mapInArrow, many
+to a batch as a group of its own costs more than its lines; merging occurrences into vouchers is windows and groupings.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.anomaly import kept
+
 # Fixed forms of ledger lines.
 DAY = r"\d{1,2}-[A-Z][a-z]{2}-\d{2,4}"
 TYPES = r"Journal|Payment|Receipt|Contra|Sales GST|Sales Cash|Sales|Purchase GST|Purchase|Debit Note|Credit Note"
@@ -29,6 +32,8 @@ NOISE = re.compile(r"^(Page \d+|Ledger Account|Date Particulars.*|\d{1,2}-\w{3}-
 NARRATION = re.compile(r"^(Being|Paid|Towards|Amount|Ch\.? ?No)\b", re.I)
 
 OCCURRENCES = "doc string, page int, line_no long, kind string, voucher int, date string, vch_type string, vch_no string, particulars string, dr_cr string, amount decimal(18,2), text string"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "decimal(18,2)": pa.decimal128(18, 2)}
+_FOUND = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in OCCURRENCES.split(", "))])
 
 
 def _whole_lines(rows: list[tuple]) -> list[tuple]:
@@ -45,15 +50,14 @@ def _whole_lines(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
-    """One row a leg, orphan, narration, state event or unresolved line of a page; an account column names the page's account."""
+def parse_page(rows: list[tuple], account: str | None = None, told: bool = False) -> list[tuple]:
+    """One row a leg, orphan, narration, state event or unresolved line of a page's lines (doc, page, line_no, text) in their order; account names the page's account, which is the first line that is nothing else unless told."""
     out, voucher, active, day = [], 0, None, None
-    account = lines["account"].iloc[0] if "account" in lines and len(lines) else None
-    account = account if isinstance(account, str) else None
-    for doc, page, no, text in _whole_lines(list(lines.sort_values("line_no")[["doc", "page", "line_no", "text"]].itertuples(index=False, name=None))):
+    for doc, page, no, text in _whole_lines(rows):
 
-        def put(kind, **more):
-            out.append({"doc": doc, "page": page, "line_no": no, "kind": kind, "voucher": voucher if active else None, **(active or {}), "text": text, **more})  # noqa: B023
+        def put(kind, particulars=None, dr_cr=None, amount=None, date=None):
+            date, kind_of, number_of = active or (date, None, None)  # noqa: B023
+            out.append((doc, page, no, kind, voucher if active else None, date, kind_of, number_of, particulars, dr_cr, amount, text))  # noqa: B023
 
         number = lambda m: Decimal(m["amount"].replace(",", ""))
         if not text or NOISE.match(text):
@@ -65,7 +69,7 @@ def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
         elif m := HEADER.match(text):
             day = m["date"] or day
             voucher += 1
-            active = {"date": day, "vch_type": m["type"], "vch_no": m["no"]}
+            active = (day, m["type"], m["no"])
             put("leg", particulars=account or "(page account)", dr_cr="Dr" if m["side"] == "To" else "Cr", amount=number(m))
             if m["name"] and m["name"] != "(as per details)":
                 put("narration", particulars=m["name"])
@@ -75,32 +79,61 @@ def parse_page(lines: pd.DataFrame) -> pd.DataFrame:
             put("leg", particulars=m["name"], dr_cr=m["dir"], amount=number(m))
         elif active and NARRATION.match(text):
             put("narration")
-        elif account is None and not out and "account" not in lines:
+        elif account is None and not out and not told:
             account = text
         else:
             put("unresolved")
-    cols = [c.split()[0] for c in OCCURRENCES.split(", ")]
-    frame = pd.DataFrame(out).reindex(columns=cols)
-    frame["voucher"] = frame["voucher"].astype("Int32")
-    for c in ("date", "vch_type", "vch_no", "particulars", "dr_cr", "amount"):
-        frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
-    return frame
+    return out
+
+
+def parse_pages(batches: Iterable[pa.RecordBatch], told: bool) -> Iterator[pa.RecordBatch]:
+    """Pages in a row, each with its lines in their order, parsed one by one; a row with told true names its page's account and the first line to read instead of being a line."""
+
+    def pages():
+        held, key = [], None
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and r[:2] != key:
+                    yield held
+                    held = []
+                held.append(r)
+                key = r[:2]
+        if held:
+            yield held
+
+    def batch(out):
+        cols = list(zip(*out, strict=True)) or [()] * len(_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
+
+    out = []
+    for page in pages():
+        named = next((r for r in page if r[4]), None)
+        account, start = (named[3], named[5]) if named else (None, None)
+        out += parse_page([r[:4] for r in page if not r[4] and (start is None or r[2] >= start)], account, told)
+        if len(out) >= 10_000:
+            yield batch(out)
+            out = []
+    if out:
+        yield batch(out)
 
 
 def occurrences(page_lines: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """page_lines: doc, page, line_no, text. accounts (doc, page, account, body_from) names the pages' accounts and where their headers end; else a page's first line that is nothing else is its account."""
-    if accounts is not None:
-        told = accounts.select("doc", "page", "account", "body_from")
-        page_lines = page_lines.join(told, ["doc", "page"], "left").where("body_from is null or line_no >= body_from").drop("body_from")
-    return page_lines.groupBy("doc", "page").applyInPandas(parse_page, OCCURRENCES)
+    told = accounts is not None
+    rows = page_lines.select("doc", "page", "line_no", "text", F.lit(False).alias("told"), F.lit(None).cast("long").alias("body_from"))
+    if told:  # beside the lines, so that these are shuffled once
+        rows = rows.unionByName(accounts.select("doc", "page", F.lit(None).cast("long").alias("line_no"), F.col("account").alias("text"), F.lit(True).alias("told"), F.col("body_from").cast("long").alias("body_from")))
+    rows = rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "line_no")
+    return rows.mapInArrow(lambda batches: parse_pages(batches, told), OCCURRENCES)
 
 
 def merged(found: DataFrame) -> DataFrame:
     """Legs of vouchers: occurrences of one type, number and date are one voucher; the first amount of a leg wins, equal ones corroborate it."""
     legs = found.where("kind = 'leg'").withColumn("base", F.concat_ws("_", "vch_type", "vch_no"))
     place = F.struct("page", "line_no")
-    first = legs.groupBy("doc", "base").agg(F.min_by("date", place).alias("first_date"))
-    named = legs.join(first, ["doc", "base"]).withColumn("entry_id", F.when(F.col("date").isNull() | (F.col("date") == F.col("first_date")), F.col("base")).otherwise(F.concat_ws("_", "base", "date")))
+    # a window, not a join: found would be parsed again for its other side
+    of_base = Window.partitionBy("doc", "base").orderBy("page", "line_no")
+    named = legs.withColumn("first_date", F.first("date").over(of_base)).withColumn("entry_id", F.when(F.col("date").isNull() | (F.col("date") == F.col("first_date")), F.col("base")).otherwise(F.concat_ws("_", "base", "date")))
     w = Window.partitionBy("doc", "entry_id", "particulars", "dr_cr").orderBy("page", "line_no")
     won = named.withColumn("first_amount", F.first("amount").over(w))
     same = F.col("amount") == F.col("first_amount")
@@ -177,9 +210,10 @@ def headed_pages(pages: DataFrame) -> DataFrame:
     Such a page takes the account of the next headed page if what it carries
     over is what that page brings forward; otherwise it stays null.
     """
-    ahead = Window.partitionBy("doc").orderBy("page").rowsBetween(1, Window.unboundedFollowing)
+    # from the last page backwards: a frame that ends at the last page is read anew for each page
+    ahead = Window.partitionBy("doc").orderBy(F.col("page").desc()).rowsBetween(Window.unboundedPreceding, -1)
     headed = F.when(F.col("account").isNotNull(), F.struct("account", "brought"))
-    nxt = F.first(headed, ignorenulls=True).over(ahead)
+    nxt = F.last(headed, ignorenulls=True).over(ahead)
     out = pages.withColumn("next_", nxt)
     fits = F.col("carried").isNotNull() & F.col("carried").eqNullSafe(F.col("next_.brought"))
     return out.withColumn("account", F.coalesce("account", F.when(fits, F.col("next_.account")))).drop("next_")
@@ -241,7 +275,7 @@ def reconstruct(page_lines: DataFrame) -> dict[str, DataFrame]:
     then pages are parsed and occurrences merged.
     """
     headers = page_headers(page_lines)
-    known = headed_pages(headers.join(page_balances(page_lines), ["doc", "page"], "left"))
+    known = kept(headed_pages(headers.join(page_balances(page_lines), ["doc", "page"], "left")))  # a row a page
     same = settled(continuations(known))
     named = known.join(same.withColumnRenamed("later", "account"), "account", "left").withColumn("account", F.coalesce("earlier", "account")).select("doc", "page", "account", "body_from")
     found = occurrences(page_lines, named)

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import anomaly
+from quillstone.operators import anomaly, reconstruct
 from quillstone.operators import rules as R
 from quillstone.plans import registry
 from quillstone.sources import views
@@ -93,3 +93,34 @@ def test_rules_together_as_one_by_one(spark, marked):
     dup = {(r.entry_id, r.leg_num): r.vouchers for r in R.duplicates(marked, keys).collect()}
     want = {(r.entry_id, r.leg_num): len(v) for r in marked.collect() if len(v := held.get((r.date, r.account or "", r.dr_cr, r.amount), ())) > 1 and not (r.account == "Round Off" and r.amount is not None and abs(r.amount) < 1)}
     assert dup == want and {2} < set(want.values())
+
+
+@needs_tables
+def test_pages_are_parsed_once_and_in_batches(spark):
+    p = plan(registry.QUERIES["h10_state_machine"](spark, SF))
+    assert p.count("MapInArrow") == 1 and "InPandas" not in p
+
+
+def test_headed_pages_read_their_document_once(spark):
+    """A frame up to the last page costs the square of a document's pages."""
+    n = 3000
+    pages = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page"), F.when(F.col("id") % 1000 == 999, F.concat(F.lit("A"), F.col("id").cast("string"))).alias("account"), F.lit(5).cast("decimal(18,2)").alias("brought"), F.when(F.col("id") % 2 == 0, 5).cast("decimal(18,2)").alias("carried"))
+    out = reconstruct.headed_pages(pages)
+    assert "unboundedfollowing" not in plan(out).lower()
+    got = {r.page: r.account for r in out.collect()}
+    assert got == {i: f"A{i // 1000 * 1000 + 999}" if i % 2 == 0 or i % 1000 == 999 else None for i in range(n)}
+
+
+def test_pages_that_batches_cut(spark):
+    """Pages over several batches, with and without a told account and first line; one that nothing is told of."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        lines = [("d", p, i, t) for p in range(9) for i, t in enumerate(["Title", "2-Apr-24 By Journal %d 10.00" % p, *(["Cash 10.00 Dr"] * p)])]
+        df = spark.createDataFrame(lines, "doc string, page int, line_no long, text string")
+        told = spark.createDataFrame([("d", p, f"Book {p}", 1) for p in range(8)], "doc string, page int, account string, body_from int")
+        plain = [(r.page, r.particulars, r.kind) for r in reconstruct.occurrences(df).orderBy("page", "line_no").collect()]
+        assert plain == [(p, name, "leg") for p in range(9) for name in ["Title", *["Cash"] * p]]
+        known = [(r.page, r.particulars, r.kind) for r in reconstruct.occurrences(df, told).orderBy("page", "line_no").collect()]
+        assert known == [(p, name, "leg") for p in range(8) for name in [f"Book {p}", *["Cash"] * p]] + [(8, None, "unresolved"), (8, "(page account)", "leg"), *[(8, "Cash", "leg")] * 8]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
